@@ -39,8 +39,8 @@ class Threshold(NamedTuple):
 #: The threshold table. Each row is one test of the projection; counts come from ``signals``.
 THRESHOLDS = (
     Threshold("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
-    Threshold("symbol_ratio", "n_symbols", "n_words", 0.0, 0.5),
-    Threshold("stop_word_ratio", "n_stop_words", "n_words", 0.005, 1.0),
+    Threshold("symbol_ratio", "n_symbols", "n_words", 0.0, 0.1),
+    Threshold("stop_word_ratio", "n_stop_words", "n_words", 0.02, 1.0),
     Threshold("dup_line_ratio", "n_dup_lines", "n_lines", 0.0, 0.5),
 )
 
