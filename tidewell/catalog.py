@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tidewell.plans import customer, recommend
+from tidewell.plans.registry import Query
 
-def queries() -> dict:
-    return {}
+AREAS = (customer.area, recommend.area)
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for area in AREAS for name, f in area.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for area in AREAS for name, sql in area.sql.items()}
