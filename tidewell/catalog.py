@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.plans import customer, recommend
+from tidewell.plans import customer, privacy, recommend
 from tidewell.plans.registry import Query
 
-AREAS = (customer.area, recommend.area)
+AREAS = (customer.area, recommend.area, privacy.area)
 
 
 def queries() -> dict[str, Query]:
