@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.plans import customer, messages, privacy, recommend
+from tidewell.plans import customer, learned, messages, privacy, recommend, streams
 from tidewell.plans.registry import Query
 
-AREAS = (customer.area, recommend.area, privacy.area, messages.area)
+AREAS = (customer.area, recommend.area, privacy.area, messages.area, learned.area, streams.area)
 
 
 def queries() -> dict[str, Query]:
