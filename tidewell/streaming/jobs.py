@@ -36,10 +36,10 @@ def rfm_stream(orders: DataFrame) -> DataFrame:
 VAULT = T.StructType([T.StructField("session", T.LongType()), T.StructField("entity", T.StringType()), T.StructField("token", T.StringType())])
 
 
-def vault_stream(mentions: DataFrame, prefix: str = "EVENT", idle: str = "1 hour") -> DataFrame:
-    """ST3: the same value of a session gets the same token across batches; state is one map per session and ends after
-    ``idle`` without rows. Input rows: session, entity, seq. Each new token is emitted once."""
-    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+def vault_stream(mentions: DataFrame, prefix: str = "EVENT", idle: str | None = None) -> DataFrame:
+    """ST3: the same value of a session gets the same token across batches; state is one list per session and, if ``idle`` is
+    given (as '1 hour'), ends after that long without rows. Input rows: session, entity, seq. Each new token is emitted once."""
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,11 +54,12 @@ def vault_stream(mentions: DataFrame, prefix: str = "EVENT", idle: str = "1 hour
                 known.append(entity)
                 new.append((key[0], entity, f"<{prefix}_{len(known)}>"))
         state.update((known,))
-        state.setTimeoutDuration(millis)
+        if millis:
+            state.setTimeoutDuration(millis)
         yield pd.DataFrame(new, columns=["session", "entity", "token"])
 
     kept = T.StructType([T.StructField("known", T.ArrayType(T.StringType()))])
-    return mentions.groupBy("session").applyInPandasWithState(assign, VAULT, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return mentions.groupBy("session").applyInPandasWithState(assign, VAULT, kept, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
