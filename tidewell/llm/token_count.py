@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ class TokenCounter:
         self.cache = ChunkCache(self._counts)
 
     def _counts(self, chunks: list[str]) -> list[int]:
-        pieces = [() if c in self.whole else self.bpe.pieces(c) for c in chunks]
-        rest = sorted({p for ps in pieces for p in ps if p not in self.whole})
-        merged = dict(zip(rest, map(len, self.bpe.encode(rest)), strict=True))
-        return [1 if c in self.whole else sum(merged.get(p, 1) for p in ps) for c, ps in zip(chunks, pieces, strict=True)]
+        pieces, many = self.bpe.cut([c for c in chunks if c not in self.whole])
+        rest = [p for p in pieces if p not in self.whole]
+        _, bounds = self.bpe.encode_pieces(rest)
+        merged = dict(zip(rest, np.diff(bounds).tolist(), strict=True))
+        return [sum(merged.get(p, 1) for p in many[c]) if c in many else merged.get(c, 1) for c in chunks]
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.bpe.chunks(t) for t in texts]

@@ -48,10 +48,11 @@ def _encoder(vocabulary: str, dtype: str) -> tuple[WordBpe, ChunkCache]:
         bpe = WordBpe(vocabulary)
 
         def resolve(chunks: list[str]) -> list[bytes]:
-            pieces = [bpe.pieces(c) for c in chunks]
-            distinct = sorted({p for ps in pieces for p in ps})
-            ids = {p: np.array(i, dtype=dtype).tobytes() for p, i in zip(distinct, bpe.encode(distinct), strict=True)}
-            return [b"".join(map(ids.__getitem__, ps)) for ps in pieces]
+            pieces, many = bpe.cut(chunks)
+            flat, bounds = bpe.encode_pieces(pieces)
+            raw, at = flat.astype(dtype).tobytes(), (bounds * np.dtype(dtype).itemsize).tolist()
+            ids = {p: raw[a:b] for p, a, b in zip(pieces, at, at[1:], strict=False)}
+            return [b"".join(map(ids.__getitem__, many[c])) if c in many else ids[c] for c in chunks]
 
         _encoders[vocabulary] = bpe, ChunkCache(resolve)
     return _encoders[vocabulary]

@@ -13,14 +13,15 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
 #: Python's str.split() also splits here, the tokenizer's white space does not; and a sigma's lower case depends on its place.
 _ODD = re.compile("[\x1c-\x1fΣ]")
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 500_000
 
 
 class WordBpe:
@@ -37,6 +38,11 @@ class WordBpe:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.vocabulary = spec["model"]["vocab"]
         self.suffix = spec["model"]["end_of_word_suffix"]
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer, self.merger.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.to_alphabet = {b: c for c, b in _byte_alphabet().items() if b != 32}
+        self.ends_word = np.zeros(max(self.vocabulary.values()) + 3, dtype=bool)
+        self.ends_word[[i for t, i in self.vocabulary.items() if t.endswith(self.suffix)]] = True
         self.specials = [t["content"] for t in spec["added_tokens"]]
 
     def chunks(self, text: str) -> list[str] | None:
@@ -47,12 +53,29 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return text.lower().split()
 
-    def pieces(self, chunk: str) -> list[str]:
-        return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
-
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """IDs of distinct pre-tokens, one after the other, and where each begins (with the end of the last).
+
+        Pre-tokens are normal already, so they go to a copy of the tokenizer without a text pipeline, in its byte
+        alphabet and many to a text: white space separates them, and only the last token of each carries the suffix.
+        """
+        step = 4096
+        texts = [" ".join(pieces[lo : lo + step]).encode().decode("latin-1").translate(self.to_alphabet) for lo in range(0, len(pieces), step)]
+        ids = [np.array(e.ids, dtype=np.int32) for e in self.merger.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        stops = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(stops) != len(pieces):
+            raise ValueError("a pre-token does not end with a word end")
+        return flat, np.concatenate(([0], stops))
+
+    def cut(self, chunks: list[str]) -> tuple[list[str], dict[str, list[str]]]:
+        """All distinct pre-tokens of some chunks, and the pre-tokens of those chunks that are not one themselves."""
+        many = {c: self.pattern.findall(c) for c in chunks if not c.isalpha()}
+        return list({c for c in chunks if c not in many}.union(*many.values())), many
+
     def whole_words(self) -> frozenset[str]:
         """The vocabulary strings proven to be one pre-token that encodes alone as one token."""
         byte_of = _byte_alphabet()
