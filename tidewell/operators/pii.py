@@ -103,15 +103,15 @@ def tokens_for(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     Numbers that a text already uses in a tag of that type are skipped.
     """
     keyed = spans.withColumn("entity", I.entity_key(F.col("pii_type"), F.col("surface")))
-    first = keyed.groupBy(key, "pii_type", "entity").agg(F.min("start").alias("at"))
-    numbered = first.withColumn("k", F.row_number().over(Window.partitionBy(key, "pii_type").orderBy("at"))).drop("at")
-    forms = keyed.groupBy(key, "pii_type", "entity", "surface").agg(F.min("start").alias("at"))
-    suffixed = forms.withColumn("form", F.row_number().over(Window.partitionBy(key, "pii_type", "entity").orderBy("at")) - 1).drop("at")
-    tags = texts.select(key, F.regexp_extract_all("text", F.lit(r"<([A-Z_]+_[0-9]+)[a-z]*>"), 1).alias("tags"))
+    first = keyed.groupBy(key, "pii_type", "entity").agg(F.min("start").alias("_at"))
+    numbered = first.withColumn("_number", F.row_number().over(Window.partitionBy(key, "pii_type").orderBy("_at"))).drop("_at")
+    forms = keyed.groupBy(key, "pii_type", "entity", "surface").agg(F.min("start").alias("_at"))
+    suffixed = forms.withColumn("_form", F.row_number().over(Window.partitionBy(key, "pii_type", "entity").orderBy("_at")) - 1).drop("_at")
+    tags = texts.select(key, F.regexp_extract_all("text", F.lit(r"<([A-Z_]+_[0-9]+)[a-z]*>"), 1).alias("_tags"))
     joined = keyed.join(numbered, [key, "pii_type", "entity"]).join(suffixed, [key, "pii_type", "entity", "surface"]).join(tags, key)
-    own = F.transform(F.filter("tags", lambda t: F.regexp_replace(t, "_[0-9]+$", "") == F.col("pii_type")), lambda t: F.regexp_extract(t, "([0-9]+)$", 1).cast("int"))
-    free = F.array_except(F.sequence(F.lit(1), F.col("k") + F.size(own)), own)
-    token = F.concat(F.lit("<"), "pii_type", F.lit("_"), F.element_at(free, F.col("k")).cast("string"), form_suffix(F.col("form")), F.lit(">"))
+    own = F.transform(F.filter("_tags", lambda t: F.regexp_replace(t, "_[0-9]+$", "") == F.col("pii_type")), lambda t: F.regexp_extract(t, "([0-9]+)$", 1).cast("int"))
+    free = F.array_except(F.sequence(F.lit(1), F.col("_number") + F.size(own)), own)
+    token = F.concat(F.lit("<"), "pii_type", F.lit("_"), F.element_at(free, F.col("_number")).cast("string"), form_suffix(F.col("_form")), F.lit(">"))
     return joined.select(key, "start", "stop", "pii_type", "surface", "entity", token.alias("token"))
 
 
