@@ -1,0 +1,41 @@
+"""The registered queries against their SQL, and the pipeline against its own stages."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from comparing import agree  # noqa: E402
+from conftest import DATA  # noqa: E402
+
+from tidewell.llm import queries as Q  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_agrees_with_sql(name, spark, duck):
+    agree(Q.queries()[name], Q.oracle_sql()[name], spark, duck, DATA)
+
+
+def test_ten_queries_are_registered():
+    assert [int(n[2:].split("_")[0]) for n in Q.queries()] == list(range(1, 11))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    start = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs, ids = start, [{r["doc_id"] for r in start.select("doc_id").collect()}]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == start.columns
+        ids.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+        assert ids[-1] <= ids[-2]
+    texts = spark.read.parquet(f"file://{tmp_path}/1")
+    assert texts.count() == texts.select("text").distinct().count()
+    assert docs.where("NOT round_trip").count() == 0
+    assert corpus_pipeline.run(spark, DATA).count() == docs.count()

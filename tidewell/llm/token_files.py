@@ -178,7 +178,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         start += int(n.sum())
                         yield pa.RecordBatch.from_arrays([listed.column(0), pa.array(starts), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = manifest.rdd.getNumPartitions()
+    n = max(1, manifest.rdd.getNumPartitions())
     return files.repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
