@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token IDs of each document, and whether decoding them gives its text again."""
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary, pattern), vocabulary, pattern)
+    coded = byte_bpe.round_trip_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary, pattern)
     return coded.select(
         "doc_id",
         "lang",

@@ -10,8 +10,8 @@ the new token has a lower rank); where it is not proven, it too contracts the le
 Decoding. The token IDs of the documents become rows, join the vocabulary and are put together by an ordered aggregation
 per document. Bytes travel as Latin-1 characters, one for each byte.
 
-Everything is per partition: no shuffle, and the memory of a task is bounded by ``SLICE`` characters of text, two caches
-of ``MAX_CACHED`` entries and DuckDB's memory limit.
+Everything is per partition: no shuffle, and the memory of a task is bounded by ``SLICE`` characters of text, a cache of
+``MAX_CACHED`` entries and DuckDB's memory limit.
 
 Defined results: a null text is empty and has no tokens; a column of the same name as a result is replaced; an empty
 table gives an empty result; texts of any length are encoded whole; unknown IDs raise an error.
@@ -34,10 +34,12 @@ from tidewell.llm.word_bpe import slices
 
 SHORT = 256
 SLICE = 4_000_000
-MAX_CACHED = 250_000
+DECODE_SLICE = 250_000
+MAX_CACHED = 600_000
 WORDS_PER_QUERY = 60_000
 _NONE = 2_147_483_647
-_coders: dict[tuple[str, str], ByteBpe] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 MERGE_SHORT = f"""
 WITH RECURSIVE b(k, x, y, t, n, rk) AS (
@@ -81,35 +83,20 @@ SELECT doc, string_agg(piece, '') AS bytes FROM (SELECT doc, pos, piece FROM ids
 """
 
 
-class ByteBpe:
-    """Encoder and decoder for a rank file; one per worker process."""
+class _Coder:
+    """The ranks of a file and a DuckDB connection of one thread; one of each kind per worker process."""
 
-    def __init__(self, vocabulary: str, pattern: str) -> None:
+    def __init__(self, vocabulary: str) -> None:
         with open(vocabulary, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("token IDs are packed into 16 bits")
-        self.pattern = regex.compile(pattern)
-        byte_ids = [self.ranks[bytes([i])] for i in range(256)]
-        self.byte_id = np.array(byte_ids, dtype=np.int32)
-        rows = [(a, b, t) for token, t in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
-        left, right, made = np.array(rows, dtype=np.int64).T
-        # contracting all occurrences at once is safe if whatever the new token merges into comes later than the token
-        first_use = np.full(1 << 16, 1 << 16)
-        np.minimum.at(first_use, left, made)
-        np.minimum.at(first_use, right, made)
-        self.db = duckdb.connect(config={"memory_limit": "256MB", "threads": 1, "temp_directory": tempfile.mkdtemp(prefix="byte-bpe-")})
-        merges = pa.table({"lr": left * 65536 + right, "rk": made.astype(np.int32), "safe": first_use[made] > made})
-        tokens = sorted(self.ranks.items(), key=lambda x: x[1])
-        vocabulary_rows = pa.table({"id": np.array([i for _, i in tokens], dtype=np.int32), "piece": [b.decode("latin-1") for b, _ in tokens]})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary_rows)):
-            self.db.register("arrow_rows", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_rows")
-            self.db.unregister("arrow_rows")
-        self.known = np.zeros(1 << 16, dtype=bool)
-        self.known[[i for _, i in tokens]] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.db = duckdb.connect(config={"memory_limit": "192MB", "threads": 1, "temp_directory": tempfile.mkdtemp(prefix="byte-bpe-")})
+
+    def _store(self, name: str, rows: pa.Table) -> None:
+        self.db.register("arrow_rows", rows)
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_rows")
+        self.db.unregister("arrow_rows")
 
     def _run(self, name: str, rows: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, rows)
@@ -118,9 +105,27 @@ class ByteBpe:
         finally:
             self.db.unregister(name)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The token IDs of byte strings that are no tokens themselves."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+
+class Encoder(_Coder):
+    """Texts to token IDs."""
+
+    def __init__(self, vocabulary: str, pattern: str) -> None:
+        super().__init__(vocabulary)
+        self.pattern = regex.compile(pattern)
+        self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        rows = [(a, b, t) for token, t in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
+        left, right, made = np.array(rows, dtype=np.int64).T
+        # contracting all occurrences at once is safe if whatever the new token merges into comes later than the token
+        first_use = np.full(1 << 16, 1 << 16)
+        np.minimum.at(first_use, left, made)
+        np.minimum.at(first_use, right, made)
+        self._store("merges", pa.table({"lr": left * 65536 + right, "rk": made.astype(np.int32), "safe": first_use[made] > made}))
+        self.chunks: dict[str, bytes | None] = {}  # what stands between two spaces, encoded with the space before it
+        self.others: dict[str, bytes] = {}  # pre-tokens that are no letters after a space
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The token IDs, two bytes each, of byte strings that are no tokens themselves."""
+        out = [b""] * len(words)
         for short in (True, False):
             mine = [k for k, w in enumerate(words) if (len(w) <= SHORT) == short]
             for lo in range(0, len(mine), WORDS_PER_QUERY):
@@ -137,35 +142,47 @@ class ByteBpe:
                 else:
                     got = self._run("word_bytes", pa.table({"w": w, "i": i, "t": t}), MERGE_LONG)
                 ids = got.column("ids").combine_chunks()
-                offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-                for k, a, b in zip(some, offsets[:-1], offsets[1:], strict=True):
-                    out[k] = values[a:b]
+                raw, at = ids.values.to_numpy().astype("<u2").tobytes(), (ids.offsets.to_numpy() * 2).tolist()
+                for k, a, b in zip(some, at, at[1:], strict=False):
+                    out[k] = raw[a:b]
         return out
 
-    def _learn_words(self, words: set[str]) -> None:
-        rest = []
-        for word in words:
-            token = self.ranks.get(word.encode())
-            if token is None:
-                rest.append(word)
-            else:
-                self.words[word] = token.to_bytes(2, "little")
-        for word, ids in zip(rest, self.merge([w.encode() for w in rest]), strict=True):
-            self.words[word] = ids.astype("<u2").tobytes()
+    def _code(self, words: list[bytes]) -> list[bytes]:
+        out = [self.ranks[w].to_bytes(2, "little") if w in self.ranks else None for w in words]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.merge([words[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        return self.chunks[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.others[piece]
 
     def _learn(self, splits: list[list[str]], whole: list[list[str]]) -> None:
-        for cache in (self.words, self.chunks):
-            if len(cache) > MAX_CACHED:
-                cache.clear()
+        """IDs of all new chunks, and of all new pre-tokens of texts that are cut as a whole."""
+        if splits and len(self.chunks) + len(self.others) > MAX_CACHED:
+            self.forget()
         seen: set[str] = set()
         for chunks in splits:
             seen.update(chunks)
-        cut = {c: [f" {c}"] if c.isalpha() else self.pattern.findall(f" {c}") for c in seen if c not in self.chunks}
-        needed = {w for words in cut.values() for w in words} | {w for words in whole for w in words}
-        self._learn_words({w for w in needed if w not in self.words})
-        for c, words in cut.items():
+        new = {c for c in seen if c not in self.chunks}
+        many = {c: self.pattern.findall(f" {c}") for c in new if not c.isalpha()}
+        plain, others = new.difference(many), set()
+        for piece in set().union(*many.values(), *whole):
+            if piece[0] == " " and piece[1:].isalpha():
+                if piece[1:] not in self.chunks:
+                    plain.add(piece[1:])
+            elif piece not in self.others:
+                others.add(piece)
+        coded = self._code([f" {c}".encode() for c in plain] + [p.encode() for p in others])
+        self.chunks.update(zip(plain, coded, strict=False))
+        self.others.update(zip(others, coded[len(plain) :], strict=True))
+        for c, pieces in many.items():
             # white space at a chunk's edge can belong to a run that goes on in the next chunk
-            self.chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else b"".join(map(self.words.__getitem__, words))
+            self.chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else b"".join(map(self._piece, pieces))
+
+    def forget(self) -> None:
+        """Drops the caches, so that an idle worker process holds little."""
+        self.chunks, self.others = {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The token IDs of each text.
@@ -181,14 +198,25 @@ class ByteBpe:
             try:
                 if len(split) > 1 and split[0][-1:].isspace():
                     raise TypeError
-                ids = b"".join(map(self.words.__getitem__, head)) + b"".join(map(self.chunks.__getitem__, split[1:]))
+                ids = b"".join(map(self._piece, head)) + b"".join(map(self.chunks.__getitem__, split[1:]))
             except TypeError:
-                words = self.pattern.findall(text)
-                self._learn_words({w for w in words if w not in self.words})
-                ids = b"".join(map(self.words.__getitem__, words))
+                pieces = self.pattern.findall(text)
+                self._learn([], [pieces])
+                ids = b"".join(map(self._piece, pieces))
             out.append(np.frombuffer(ids, dtype="<u2").astype(np.int32))
         return out
 
+
+class Decoder(_Coder):
+    """Token IDs to bytes."""
+
+    def __init__(self, vocabulary: str) -> None:
+        super().__init__(vocabulary)
+        tokens = sorted(self.ranks.items(), key=lambda x: x[1])
+        self._store("vocabulary", pa.table({"id": np.array([i for _, i in tokens], dtype=np.int32), "piece": [b.decode("latin-1") for b, _ in tokens]}))
+        self.known = np.zeros(1 << 16, dtype=bool)
+        self.known[[i for _, i in tokens]] = True
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of token IDs."""
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
@@ -203,47 +231,78 @@ class ByteBpe:
         return out
 
 
-def _coder(vocabulary: str, pattern: str) -> ByteBpe:
-    if (vocabulary, pattern) not in _coders:
-        _coders[vocabulary, pattern] = ByteBpe(vocabulary, pattern)
-    return _coders[vocabulary, pattern]
+def encoder(vocabulary: str, pattern: str) -> Encoder:
+    if (vocabulary, pattern) not in _encoders:
+        _encoders[vocabulary, pattern] = Encoder(vocabulary, pattern)
+    return _encoders[vocabulary, pattern]
+
 
+def decoder(vocabulary: str) -> Decoder:
+    if vocabulary not in _decoders:
+        _decoders[vocabulary] = Decoder(vocabulary)
+    return _decoders[vocabulary]
 
-def _append(df: DataFrame, column: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with a column made batch-wise from ``make(batch) -> iterator of (lo, hi, array)``."""
-    kept = [f for f in df.schema.fields if f.name != column]
+
+def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with columns made batch-wise from ``make(batch) -> iterator of (lo, hi, arrays)``."""
+    kept = [f for f in df.schema.fields if f.name not in columns]
+    names = [*[f.name for f in kept], *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, made in make(batch):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], made], [*[f.name for f in kept], column])
+        try:
+            for batch in batches:
+                for lo, hi, made in make(batch):
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
+        finally:
+            for coder in _encoders.values():
+                coder.forget()
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(column, kind)]))
+    return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, kind) for c, kind in columns.items()]]))
+
+
+def _encoded(batch: pa.RecordBatch, vocabulary: str, pattern: str, text_col: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    texts = [t or "" for t in batch.column(text_col).to_pylist()]
+    for lo, hi in slices(texts, SLICE):
+        yield lo, hi, encoder(vocabulary, pattern).encode(texts[lo:hi])
+
+
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
+def _decoded(ids: list[np.ndarray], vocabulary: str) -> list[bytes]:
+    return [b for lo, hi in slices(ids, DECODE_SLICE) for b in decoder(vocabulary).decode(ids[lo:hi])]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the token IDs of ``text_col`` in the array column ``to``."""
 
     def make(batch: pa.RecordBatch):
-        texts = [t or "" for t in batch.column(text_col).to_pylist()]
-        coder = _coder(vocabulary, pattern)
-        for lo, hi in slices(texts, SLICE):
-            ids = coder.encode(texts[lo:hi])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            yield lo, hi, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+        for lo, hi, ids in _encoded(batch, vocabulary, pattern, text_col):
+            yield lo, hi, [_id_lists(ids)]
 
-    return _append(docs, to, T.ArrayType(T.IntegerType()), make)
+    return _append(docs, {to: T.ArrayType(T.IntegerType())}, make)
 
 
-def decode_documents(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+def decode_documents(docs: DataFrame, vocabulary: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the bytes of the token IDs of ``ids_col`` in the binary column ``to``; null IDs give no bytes."""
 
     def make(batch: pa.RecordBatch):
         column = batch.column(ids_col)
         ids = [np.zeros(0, np.int32) if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in column]
-        coder = _coder(vocabulary, pattern)
-        for lo, hi in slices(ids, SLICE // 4):
-            yield lo, hi, pa.array(coder.decode(ids[lo:hi]), pa.binary())
+        for lo, hi in slices(ids, DECODE_SLICE):
+            yield lo, hi, [pa.array(decoder(vocabulary).decode(ids[lo:hi]), pa.binary())]
+
+    return _append(docs, {to: T.BinaryType()}, make)
+
+
+def round_trip_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", to: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with token IDs and the bytes decoded from them, by one worker process per task instead of two."""
+
+    def make(batch: pa.RecordBatch):
+        for lo, hi, ids in _encoded(batch, vocabulary, pattern, text_col):
+            yield lo, hi, [_id_lists(ids), pa.array(_decoded(ids, vocabulary), pa.binary())]
 
-    return _append(docs, to, T.BinaryType(), make)
+    return _append(docs, {to: T.ArrayType(T.IntegerType()), decoded: T.BinaryType()}, make)

@@ -27,8 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern).drop("text")
-    decoded = byte_bpe.decode_documents(encoded, vocabulary, pattern)
+    decoded = byte_bpe.round_trip_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
