@@ -185,14 +185,16 @@ def near_links(distinct: DataFrame, max_bits: int = 3, hot_node: int = HOT_NODE)
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, fingerprint, component_id``."""
     prints = checkpointed(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col).cast("string")).alias("fp")))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")))
     groups = connected_components(near_links(distinct.select("fp"), max_bits))
-    # only fingerprints with a link to another one go through the joins; all others are their own group
-    member = distinct.join(groups, distinct["fp"] == groups["vertex"]).select("fp", "smallest", "component")
-    smallest = member.groupBy("component").agg(F.min("smallest").alias("least"))
-    far = member.join(smallest, "component").select(F.col("fp"), "least")
-    alone = distinct.join(far, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("smallest")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(alone, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = distinct.join(groups, distinct["fp"] == groups["vertex"]).select("fp", "smallest", "component")
+    least = linked.groupBy("component").agg(F.min("smallest").alias("least"))
+    # a fingerprint of one document without a link decides for itself: only copies and linked ones go into the last join,
+    # whose sides are then plain shuffles that Spark can split where a fingerprint has very many documents
+    copies = distinct.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("smallest").alias("least"))
+    shared = checkpointed(linked.join(least, "component").select("fp", "least").unionByName(copies).withColumn("found", F.lit(True)))
+    component = F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id"))
+    return prints.join(shared, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
