@@ -344,12 +344,12 @@ def agg28_profile_projection(spark, d):
 
 @area.query(
     """WITH a AS (SELECT l_returnflag AS arm, count(*) AS n, avg(l_extendedprice) AS mean, median(l_extendedprice) AS median, stddev_pop(l_extendedprice) AS sd, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)
-SELECT arm, n, round(mean, 2) AS mean, round(median, 2) AS median, round(sd, 2) AS sd, lo, hi, round((SELECT max(mean) FILTER (arm = 'A') - max(mean) FILTER (arm = 'R') FROM a), 2) AS delta FROM a"""
+SELECT arm, n, round(mean, 2) AS mean, round(median, 4) AS median, round(sd, 2) AS sd, lo, hi, round((SELECT max(mean) FILTER (arm = 'A') - max(mean) FILTER (arm = 'R') FROM a), 2) AS delta FROM a"""
 )
 def agg29_two_arms(spark, d):
     x = F.col("l_extendedprice")
     arms = table(spark, d, "lineitem").where("l_returnflag IN ('A', 'R')").groupBy(F.col("l_returnflag").alias("arm")).agg(
-        F.count("*").alias("n"), F.avg(x).alias("m"), F.round(F.expr("percentile(l_extendedprice, 0.5)"), 2).alias("median"), F.round(F.stddev_pop(x), 2).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")
+        F.count("*").alias("n"), F.avg(x).alias("m"), F.round(F.expr("percentile(l_extendedprice, 0.5)"), 4).alias("median"), F.round(F.stddev_pop(x), 2).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")
     )
     delta = arms.agg(F.round(F.max(F.when(F.col("arm") == "A", F.col("m"))) - F.max(F.when(F.col("arm") == "R", F.col("m"))), 2).alias("delta"))
     return arms.crossJoin(F.broadcast(delta)).withColumn("mean", F.round("m", 2)).drop("m")  # two rows and one
