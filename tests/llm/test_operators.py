@@ -72,6 +72,36 @@ def test_language_accuracy_on_the_held_out_fold(spark):
     assert got.where("lang = lang_pred").count() >= 0.95 * got.count()
 
 
+FOREIGN = [
+    "Il governo ha annunciato ieri che le nuove misure per sostenere le famiglie entreranno in vigore dal prossimo mese, ma molti cittadini restano scettici sulla loro reale efficacia e chiedono maggiore chiarezza.",
+    "De regering heeft gisteren aangekondigd dat de nieuwe maatregelen om gezinnen te ondersteunen vanaf volgende maand van kracht worden, maar veel burgers blijven sceptisch over de werkelijke gevolgen daarvan.",
+    "Hallitus ilmoitti eilen, että uudet toimenpiteet perheiden tukemiseksi tulevat voimaan ensi kuussa, mutta monet kansalaiset suhtautuvat epäillen niiden todelliseen vaikutukseen ja vaativat lisää selkeyttä.",
+    "Hükümet dün aileleri desteklemek için alınan yeni önlemlerin gelecek aydan itibaren yürürlüğe gireceğini açıkladı, ancak birçok vatandaş bunların gerçek etkisi konusunda şüpheci olmaya devam ediyor.",
+]
+
+
+def test_language_rejects_unlearned_latin_script_and_keeps_its_own(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    texts = [t for f in FOREIGN for t in (f, " ".join(f.split()[:10]), " ".join([f] * 20))]
+    foreign = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(texts)], df.schema)
+    model = langid.fit(df)
+    assert langid.with_language(foreign, model).where("NOT language.rejected").count() == 0
+    own = df.where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    short = own.withColumn("text", F.array_join(F.slice(F.split("text", r"\s+"), 1, 10), " "))
+    for kept in (own, short):
+        assert langid.with_language(kept, model).where("language.rejected").count() == 0
+
+
+def test_language_left_out_is_rejected_and_the_others_stay(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    long = df.where("length(text) >= 400 AND lang IS NOT NULL")
+    for lang in ("de", "es"):
+        judged = langid.with_language(long, langid.fit(df.where(F.col("lang") != lang)))
+        out, rest = judged.where(F.col("lang") == lang), judged.where((F.col("lang") != lang) & langid.held_out(F.col("doc_id")))
+        assert out.where("language.rejected").count() >= 0.95 * out.count()
+        assert rest.where("language.rejected").count() == 0
+
+
 # ---- 2
 
 BPE = P.path("byte_bpe_multi_50k.tiktoken")

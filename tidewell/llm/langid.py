@@ -3,8 +3,11 @@
 Texts are lower-cased, everything but letters becomes one space, and character 1- to 3-grams are hashed into ``DIM``
 dimensions; counts are damped, weighted by inverse document frequency and normalised. A language has several centroids
 (spherical k-means), as one language comes in several kinds of text. A text gets the language of the centroid with the
-largest cosine; it is rejected if that cosine is under the language's limit, which is ``reject_scale`` times a low
-quantile of the cosines of the language's own training texts.
+largest cosine; it is rejected if that cosine is under the language's limit for texts of its size. Own cosines grow
+with the number of distinct n-grams, those of an unlearned language hardly do; so a limit is ``reject_scale`` times the
+1% quantile of the cosines of the language's own training texts, and of their beginnings, with as many distinct n-grams
+(by powers of two, interpolated from middle to middle). Below some 64 distinct n-grams, or five words, the two overlap,
+and the limits keep the text.
 
 The model is fitted on a bounded sample: ``per_language`` labelled rows of each language in expectation, taken by a hash
 of the identifier over the whole table; the bound is a parameter. The model (centroids, weights, limits) is broadcast;
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 DIM = 4096
 UNKNOWN = "und"
+CLASSES = DIM.bit_length()
 _letters: list[np.ndarray] = []
 
 
@@ -63,19 +67,22 @@ class LanguageModel:
     langs: list[str]  # of each centroid
     centroids: np.ndarray  # centroids x DIM, unit rows
     idf: np.ndarray
-    limits: np.ndarray  # of each centroid's language
+    limits: np.ndarray  # of each centroid's language, by size class
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts.astype(np.float32)) * self.idf)
 
+    def limit(self, centroid: int, counts: np.ndarray) -> float:
+        return float(np.interp(np.log2(np.count_nonzero(counts)), np.arange(CLASSES) + 0.5, self.limits[centroid]))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         found = [(i, c) for i, t in enumerate(texts) if (c := ngram_counts(t)) is not None]
         if found and self.langs:
             cosine = self.vectors(np.stack([c for _, c in found])) @ self.centroids.T
             best = cosine.argmax(axis=1)
-            for (i, _), k, s in zip(found, best, cosine[np.arange(len(found)), best], strict=True):
-                langs[i], scores[i], rejected[i] = self.langs[k], min(1.0, max(0.0, float(s))), s < self.limits[k]
+            for (i, c), k, s in zip(found, best, cosine[np.arange(len(found)), best], strict=True):
+                langs[i], scores[i], rejected[i] = self.langs[k], min(1.0, max(0.0, float(s))), s < self.limit(k, c)
         return langs, scores, rejected
 
 
@@ -96,44 +103,65 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def beginnings(text: str) -> list[str]:
+    """The text, and its beginnings of 1, 2, 4 and so on characters."""
+    return [text, *[text[: 1 << k] for k in range(max(0, len(text) - 1).bit_length())]]
+
+
+def _limits(classes: np.ndarray, cosines: np.ndarray, scale: float, least: int = 20) -> np.ndarray:
+    """The limit of each size class; a class of under ``least`` pieces takes those of the next smaller ones too."""
+    limits = np.zeros(CLASSES)
+    for k in range(CLASSES):
+        low = next((j for j in range(k, 0, -1) if ((classes >= j) & (classes <= k)).sum() >= least), 0)
+        near = cosines[(classes >= low) & (classes <= k)]
+        if len(near):
+            limits[k] = scale * float(np.quantile(near, 0.01))
+    return limits
+
+
 def held_out(id_col: Column) -> Column:
     """The fold that is never learned from: crc32(identifier as text) mod 4 is 2."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, reject_scale: float = 0.4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, reject_scale: float = 0.6
 ) -> LanguageModel:
     """The model of the labelled rows outside the held-out fold, from about ``per_language`` rows of each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
-        return LanguageModel([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(0))
+        return LanguageModel([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros((0, CLASSES)))
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1_000_000, 1_000_000 * per_language // n + 1))])
     sample = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")])
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(lang, c) for lang, t in zip(batch["lang"], batch["text"], strict=True) if (c := ngram_counts(t)) is not None]
-            yield pd.DataFrame({"lang": [x for x, _ in found], "at": [np.flatnonzero(c) for _, c in found], "n": [c[c > 0] for _, c in found]})
-
-    got = sorted((r["lang"], r["at"], r["n"]) for r in sample.select("lang", "text").mapInPandas(sparse, "lang string, at array<int>, n array<long>").collect())
-    counts = np.zeros((len(got), DIM), dtype=np.float32)
-    for i, (_, at, n) in enumerate(got):
+            pieces = [(lang, k == 0, ngram_counts(p)) for lang, t in zip(batch["lang"], batch["text"], strict=True) for k, p in enumerate(beginnings(t or ""))]
+            found = [(lang, whole, np.flatnonzero(c).astype("<u2"), c[c > 0].astype("<f4")) for lang, whole, c in pieces if c is not None]
+            yield pd.DataFrame({"lang": [f[0] for f in found], "whole": [f[1] for f in found], "at": [f[2].tobytes() for f in found], "n": [f[3].tobytes() for f in found]})
+
+    columns = "lang string, whole boolean, at binary, n binary"
+    got = sorted((r["lang"], r["whole"], bytes(r["at"]), bytes(r["n"])) for r in sample.select("lang", "text").mapInPandas(sparse, columns).collect())
+    pieces = [(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<f4")) for lang, _, at, n in got]
+    wholes = [p for p, g in zip(pieces, got, strict=True) if g[1]]
+    counts = np.zeros((len(wholes), DIM), dtype=np.float32)
+    for i, (_, at, n) in enumerate(wholes):
         counts[i, at] = n
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + len(wholes)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = _unit(np.log1p(counts) * idf)
     langs, centroids, limits = [], [], []
     for lang in sorted(sizes):
-        own = x[[i for i, g in enumerate(got) if g[0] == lang]]
+        own = x[[i for i, p in enumerate(wholes) if p[0] == lang]]
         if len(own):
             centers = _clusters(own, clusters)
-            limit = reject_scale * float(np.quantile((own @ centers.T).max(axis=1), 0.001))
+            mine = [(at, np.log1p(n) * idf[at]) for g, at, n in pieces if g == lang]
+            cosines = np.array([float((centers[:, at] @ v).max() / max(np.linalg.norm(v), 1e-12)) for at, v in mine])
             langs += [lang] * len(centers)
             centroids.append(centers)
-            limits += [limit] * len(centers)
-    return LanguageModel(langs, np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIM), np.float32), idf, np.array(limits))
+            limits += [_limits(np.array([len(at).bit_length() - 1 for at, _ in mine]), cosines, reject_scale)] * len(centers)
+    return LanguageModel(langs, np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIM), np.float32), idf, np.array(limits).reshape(-1, CLASSES))
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", to: str = "language") -> DataFrame:
