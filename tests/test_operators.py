@@ -207,3 +207,26 @@ def test_chain_reports_the_first_break(spark):
     log = spark.createDataFrame(rows, "chain int, seq long, tool string, prev_hash string, this_hash string")
     assert tuple(H.verify_chain(log, "chain", ("seq", "tool")).first()) == (1, 5, 3, "hash")
     assert H.verify_chain(log.where("seq < 3"), "chain", ("seq", "tool")).first()["broken_at"] is None
+
+
+def test_leaks_are_whole_known_values_however_many(spark, tmp_path):
+    from tidewell import catalog
+
+    head = "the same opening of sixty characters that several passages share, "
+    values = [head + "first end", head + "second end", " ab ", "x", "", None, "straße 😀 öl", *[f"number {i} of many values {i * 7919}" for i in range(10_500)]]
+    texts = [None, "", head, head + "first", "so " + head + "second end.", "cab", "a b", "1x", "Straße 😀 öl", "in der straße 😀 öl", "y" * 5000 + "number 10499 of many values 83141581", "number 10499 of many values 8314158", "cab"]
+    spark.createDataFrame([(i, v) for i, v in enumerate(values)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    known = [v.strip() for v in values if v and v.strip()]
+    want = sum(any(v in (t or "") for v in known) for t in texts)
+    (row,) = catalog.queries()["ev12_leak_rate"](spark, f"file://{tmp_path}").collect()
+    assert (row["payloads"], row["leaks"]) == (len(texts), want)
+
+
+def test_character_errors_count_beyond_sixty_characters(spark, tmp_path):
+    from tidewell import catalog
+
+    urls = ["http://a/" + "b" * 70 + "XYZ", "ab", None]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["cer"] for r in catalog.queries()["ev13_character_error_rate"](spark, f"file://{tmp_path}").collect()}
+    assert got == {0: round(5 / 80, 6), 1: 0.0, 2: None}
