@@ -7,6 +7,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -137,14 +138,51 @@ def test_bpe_on_any_text(coder, reference, texts):
     assert coder[1].decode(ids) == [t.encode() for t in texts]
 
 
-def test_long_and_short_queries_agree(coder):
-    words = [w.encode() for w in ("aaaaaaa", "abababab", "banana bandana", "straßenbahn", "zzz" * 60)]
-    short = coder[0].merge(words)
-    try:
-        byte_bpe.SHORT = 0
-        assert coder[0].merge(words) == short
-    finally:
-        byte_bpe.SHORT = 256
+def one_word(reference, text):
+    """The library on one pre-token."""
+    return reference._core_bpe.encode_single_piece(text.encode())
+
+
+@pytest.mark.parametrize("rows", [1, 50, 600_000])
+def test_words_are_contracted_like_the_library_does(coder, reference, monkeypatch, rows):
+    monkeypatch.setattr(byte_bpe, "ROWS", rows)
+    words = ["aaaaaaa", "abababab", "banana bandana", "straßenbahn", "zzz" * 60, "resse" * 50, "\xff\xfe", "漢字かな交じり文", "\t\t\t\t\t", "=" * 33]
+    got = coder[0].merge([w.encode() for w in words])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [one_word(reference, w) for w in words]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab e=rstnio"), min_size=2, max_size=60), min_size=1, max_size=8))
+def test_any_word_of_few_letters(coder, reference, words):
+    got = coder[0].merge([w.encode() for w in words])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [one_word(reference, w) for w in words]
+
+
+def random_word(kind):
+    draw = np.random.default_rng(3)
+    if kind == "letters":
+        return "".join(map(chr, draw.integers(97, 123, 100_000)))
+    if kind == "ideographs":
+        return "".join(map(chr, draw.integers(0x4E00, 0x9FFF, 50_000)))
+    return {"bases": "".join("ACGT"[k] for k in draw.integers(0, 4, 100_000)), "two": "ab" * 50_000, "one": "a" * 100_001, "marks": "=" * 300_000}[kind]
+
+
+@pytest.mark.parametrize("kind", ["letters", "ideographs", "bases", "two", "one", "marks"])
+def test_one_very_long_word(coder, reference, kind):
+    text, began = random_word(kind), time.perf_counter()
+    (ids,) = coder[0].encode([text])
+    assert time.perf_counter() - began < 10
+    assert ids.tolist() == one_word(reference, text)
+    assert coder[1].decode([ids]) == [text.encode()]
+
+
+def test_the_cache_is_bounded_and_changes_nothing(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 1000)
+    coder = byte_bpe.Encoder(BPE, P.PATTERN)
+    for k in range(6):
+        texts = [f"word{k}{j} shared, {'q' * j}" for j in range(20)]
+        assert [x.tolist() for x in coder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+        assert len(coder.chunks) <= 41
 
 
 def test_unknown_ids_are_an_error(coder):
@@ -201,9 +239,45 @@ def test_token_file_layout(spark, docs, library):
             assert table.schema.field("ids").type.list_size == table.schema.field("mask").type.list_size == 16
             for row, mask in zip(table["ids"].to_pylist(), table["mask"].to_pylist(), strict=True):
                 ids += [x for x, ok in zip(row, mask, strict=True) if ok]
+    (spark_mask,) = {table.schema.field("mask").type.value_type}
+    assert spark_mask == pa.uint8()
     assert ids == [y for i in (1, 7) for y in [*library.encode(dict(TEXTS)[i], add_special_tokens=False).ids, 1]]
 
 
+def test_token_files_of_other_attempts_are_left_out(spark, docs):
+    folder = token_files.new_folder(spark)
+    manifest = token_files.write_token_files(docs, folder, WORDS, length=16)
+    want = by_id(token_files.read_token_files(manifest, folder), "start", "n_tokens", "ids_crc32")
+    token_files.write_token_files(docs.where("doc_id < 5"), folder, WORDS, length=16)  # as if by attempts that were not taken
+    assert by_id(token_files.read_token_files(manifest, folder), "start", "n_tokens", "ids_crc32") == want
+    assert token_files.remove_leftovers(manifest, folder) > 0
+    assert token_files.remove_leftovers(manifest, folder) == 0
+    assert by_id(token_files.read_token_files(manifest, folder), "start", "n_tokens", "ids_crc32") == want
+
+
+def test_a_task_that_fails_once_is_retried_and_leaves_nothing(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    mark = f"{tmp_path}/failed"
+
+    @F.pandas_udf("string")
+    def fails_once(texts):
+        import os
+
+        if (texts.str.startswith("password")).any() and not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("first attempt")
+        return texts
+
+    once = docs.withColumn("text", F.when(F.col("text").isNotNull(), fails_once(F.coalesce("text", F.lit("")))))
+    try:
+        got = by_id(token_files.round_trip(once, WORDS), "start", "n_tokens", "ids_crc32")
+    except Exception as e:  # local mode gives a task one attempt: the job is run again
+        assert "first attempt" in str(e)
+        got = by_id(token_files.round_trip(once, WORDS), "start", "n_tokens", "ids_crc32")
+    assert got == by_id(token_files.round_trip(docs, WORDS), "start", "n_tokens", "ids_crc32")
+
+
 # ---- 4
 
 

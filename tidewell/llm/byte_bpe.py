@@ -1,26 +1,34 @@
 """Byte-level BPE encoding and decoding by DuckDB queries within each partition.
 
-Encoding. A text is cut into pre-tokens by the vocabulary's pattern; each distinct pre-token of a batch is encoded once.
-Its bytes become token-position rows that meet the merge table in a recursive query: every round contracts in each word
-the leftmost pair of the lowest rank, until no row joins. Rows carry the next position, the next token and the rank of
-their pair, so a round looks up only the pairs that it has just made. Words of over ``SHORT`` bytes take a second query
-that contracts all occurrences of the lowest pair at once where that is proven to be the same (no merge that involves
-the new token has a lower rank); where it is not proven, it too contracts the leftmost only.
+Encoding. A text is cut into pre-tokens by the vocabulary's pattern; each distinct pre-token is encoded once per worker
+process, within a cache of bounded size. Its bytes become token-position rows that meet the merge table in a recursive
+query: every round contracts leftmost pairs of the lowest rank, until no row joins. One query serves words of any
+length, as a round contracts in many places at once wherever that is proven to give the same tokens:
+
+* The merge table also holds the pairs that no merge joins but some merge spans: one whose left part ends with the left
+  token and whose right part begins with the right one. Between two tokens that are in neither way in the table no merge
+  can ever happen. Such boundaries cut a word into segments, and each segment contracts its own lowest pair.
+* Within a segment all occurrences of that pair are contracted, every second one where they overlap, up to and with the
+  first one whose new neighbours, or two new tokens side by side, form a pair of a lower rank still.
+
+Rows carry the next position, the next token, their segment and the rank of their pair, so that a round looks up only
+the pairs that it has just made, and rows of finished segments leave the recursion. A word of 100,000 random letters
+takes some 16 rounds.
 
 Decoding. The token IDs of the documents become rows, join the vocabulary and are put together by an ordered aggregation
 per document. Bytes travel as Latin-1 characters, one for each byte.
 
-Everything is per partition: no shuffle, and the memory of a task is bounded by ``SLICE`` characters of text, a cache of
-``MAX_CACHED`` entries and DuckDB's memory limit.
+Everything is per partition: no shuffle, no files. The memory of a task is bounded by ``SLICE`` characters of text, a
+cache of about ``CACHE_BYTES``, and some 100 bytes for each byte of the rows of one query (``ROWS`` or one pre-token).
 
 Defined results: a null text is empty and has no tokens; a column of the same name as a result is replaced; an empty
-table gives an empty result; texts of any length are encoded whole; unknown IDs raise an error.
+table gives an empty result; texts and words of any length are encoded whole; rows that repeat are rows of the result;
+unknown IDs raise an error.
 """
 
 from __future__ import annotations
 
 import base64
-import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -30,56 +38,57 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewell.llm.word_bpe import slices
+from tidewell.llm.word_bpe import marked_word, slices
 
-SHORT = 256
 SLICE = 4_000_000
 DECODE_SLICE = 250_000
-MAX_CACHED = 600_000
-WORDS_PER_QUERY = 60_000
+CACHE_BYTES = 160_000_000
+ENTRY_BYTES = 200
+ROWS = 600_000
 _NONE = 2_147_483_647
 _encoders: dict[tuple[str, str], Encoder] = {}
 _decoders: dict[str, Decoder] = {}
 
-MERGE_SHORT = f"""
-WITH RECURSIVE b(k, x, y, t, n, rk) AS (
-  SELECT 0, x, y, t, n, coalesce(m.rk, {_NONE})::INT FROM word_bytes LEFT JOIN merges m ON m.lr = t::BIGINT * 65536 + n
+#: x, y: this and the next position; t, n: this and the next token (-1 at a boundary); s: first position of the segment;
+#: rk: rank of the pair (t, n). A row is done once its segment has no pair left.
+MERGE = f"""
+WITH RECURSIVE b(x, y, t, n, s, rk, done) AS (
+  SELECT x, x + 1, t, n, s, coalesce(m.rk, {_NONE})::INT, false FROM word_bytes LEFT JOIN pairs m ON m.lr = t::BIGINT * 65536 + n
   UNION ALL
-  (WITH lowest AS (SELECT min((rk::BIGINT << 32) | x) AS best FROM b WHERE rk < {_NONE} GROUP BY x >> 12),
-        pair AS (SELECT (best & 4294967295)::INT AS p, (best >> 32)::INT AS r FROM lowest),
-        second AS (SELECT p, r, b.y AS q FROM pair JOIN b ON b.x = p),
-        after AS (SELECT p, r, q, b.y AS y2, b.n AS n2, p >> 12 AS w FROM second JOIN b ON b.x = q),
-        contracted AS (
-          SELECT b.k + 1 AS k, b.x, CASE WHEN b.x = p THEN y2 ELSE b.y END AS y, CASE WHEN b.x = p THEN r ELSE b.t END AS t,
-                 CASE WHEN b.x = p THEN n2 WHEN b.y = p THEN r ELSE b.n END AS n, CASE WHEN b.x = p OR b.y = p THEN NULL ELSE b.rk END AS rk
-          FROM b JOIN after ON b.x >> 12 = w WHERE b.x <> q)
-   SELECT k, x, y, t, n, rk FROM contracted WHERE rk IS NOT NULL
+  (WITH lowest AS (SELECT s, min(rk) AS r FROM b WHERE NOT done GROUP BY s),
+        live AS (SELECT x, y, t, n, b.s, rk, r FROM b JOIN lowest USING (s) WHERE NOT done),
+        hit AS (SELECT x, y, s, r FROM live WHERE rk = r AND r < {_NONE}),
+        -- of occurrences that overlap, every second one
+        linked AS (SELECT *, row_number() OVER o AS i, lag(y) OVER o IS DISTINCT FROM x AS fresh FROM hit WINDOW o AS (ORDER BY x)),
+        run AS (SELECT *, i - max(CASE WHEN fresh THEN i END) OVER (ORDER BY i) AS nth FROM linked),
+        pair AS (SELECT h.x, h.y AS q, h.s, h.r, live.y AS y2, live.n AS n2 FROM live JOIN (SELECT * FROM run WHERE nth % 2 = 0) h ON live.x = h.y),
+        before AS (SELECT live.x, live.y, live.t, pair.s, pair.r FROM live JOIN pair ON live.y = pair.x WHERE live.n >= 0),
+        -- of several occurrences in a segment, those up to the first that makes a lower pair
+        several AS (SELECT s FROM pair GROUP BY s HAVING count(*) > 1),
+        made AS (SELECT s, x, r, unnest([r::BIGINT * 65536 + r, r::BIGINT * 65536 + n2]) AS lr FROM pair SEMI JOIN several USING (s)
+                 UNION ALL SELECT s, y, r, t::BIGINT * 65536 + r FROM before SEMI JOIN several USING (s)),
+        stop AS (SELECT s, min(x) AS last FROM made JOIN pairs m USING (lr) WHERE m.rk < made.r GROUP BY s),
+        take AS (SELECT p.x, q, p.s, r, y2, n2 FROM pair p LEFT JOIN stop USING (s) WHERE p.x <= coalesce(last, p.x)),
+        -- the left row becomes the new token, the row before it gets a new neighbour, the right row goes
+        edit AS (
+          SELECT p.x, p.s, p.y2 AS y, p.r AS t, coalesce(f.r, p.n2) AS n FROM take p LEFT JOIN take f ON f.x = p.y2 AND p.n2 >= 0
+          UNION ALL SELECT v.x, v.s, v.y, v.t, p.r FROM before v JOIN take p ON p.x = v.y ANTI JOIN take g ON g.q = v.x
+          UNION ALL SELECT q, s, NULL, NULL, NULL FROM take),
+        ranked AS (SELECT e.x, e.s, e.y, e.t, CASE WHEN m.lr IS NULL THEN -1 ELSE e.n END AS n, m.lr IS NULL AND e.n >= 0 AS cut, coalesce(m.rk, {_NONE}) AS rk
+                   FROM edit e LEFT JOIN pairs m ON m.lr = e.t::BIGINT * 65536 + e.n),
+        parted AS (SELECT DISTINCT s, true AS parts FROM ranked WHERE cut),
+        after AS (SELECT live.x, live.s, r = {_NONE} AS done, cut, parts, CASE WHEN e.x IS NULL THEN live.y ELSE e.y END AS y, CASE WHEN e.x IS NULL THEN live.t ELSE e.t END AS t,
+                         CASE WHEN e.x IS NULL THEN live.n ELSE e.n END AS n, CASE WHEN e.x IS NULL THEN live.rk ELSE e.rk END AS rk
+                  FROM live LEFT JOIN ranked e ON e.x = live.x LEFT JOIN parted ON parted.s = live.s)
+   SELECT x, y, t, n, s, rk, done FROM after WHERE t IS NOT NULL AND parts IS NULL
    UNION ALL
-   SELECT k, x, y, c.t, n, coalesce(m.rk, {_NONE})::INT FROM contracted c LEFT JOIN merges m ON m.lr = c.t::BIGINT * 65536 + n WHERE c.rk IS NULL))
-SELECT b.x >> 12 AS w, list(t ORDER BY x) AS ids
-FROM b JOIN (SELECT x >> 12 AS w, max(k) AS k FROM b GROUP BY 1) last ON last.w = b.x >> 12 AND last.k = b.k GROUP BY 1 ORDER BY 1
-"""
-
-MERGE_LONG = """
-WITH RECURSIVE b(k, w, i, t) AS (
-  SELECT 0, w, i, t FROM word_bytes
-  UNION ALL
-  SELECT k + 1, w, i, CASE WHEN take THEN rk ELSE t END FROM (
-    SELECT *, lag(take, 1, false) OVER (PARTITION BY w ORDER BY i) AS gone FROM (
-      SELECT *, hit AND CASE WHEN safe THEN (i - start) % 2 = 1 ELSE hits = 1 END AS take FROM (
-        SELECT *, max(CASE WHEN NOT hit THEN i ELSE -1 END) OVER o AS start, count(*) FILTER (hit) OVER o AS hits FROM (
-          SELECT *, coalesce(rk = lowest, false) AS hit FROM (
-            SELECT p.*, m.rk, m.safe, min(m.rk) OVER (PARTITION BY w) AS lowest FROM (
-              SELECT k, w, t, (row_number() OVER (PARTITION BY w ORDER BY i))::INT - 1 AS i,
-                     t::BIGINT * 65536 + lead(t) OVER (PARTITION BY w ORDER BY i) AS lr FROM b) p
-            LEFT JOIN merges m ON m.lr = p.lr) WHERE lowest IS NOT NULL)
-        WINDOW o AS (PARTITION BY w ORDER BY i ROWS UNBOUNDED PRECEDING))))
-  WHERE NOT gone)
-SELECT w, list(t ORDER BY i) AS ids FROM b JOIN (SELECT w, max(k) AS k FROM b GROUP BY w) last USING (w, k) GROUP BY w ORDER BY w
+   SELECT x, y, t, n, greatest(s, max(CASE WHEN cut THEN y END) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), rk, done
+   FROM after WHERE t IS NOT NULL AND parts))
+SELECT x, t FROM b WHERE done ORDER BY x
 """
 
 DECODE = """
-SELECT doc, string_agg(piece, '') AS bytes FROM (SELECT doc, pos, piece FROM ids JOIN vocabulary USING (id) ORDER BY pos) GROUP BY doc
+SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -91,7 +100,9 @@ class _Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("token IDs are packed into 16 bits")
-        self.db = duckdb.connect(config={"memory_limit": "192MB", "threads": 1, "temp_directory": tempfile.mkdtemp(prefix="byte-bpe-")})
+        # no folder to spill to; joins in the order of their text, as the small side always comes second
+        self.db = duckdb.connect(config={"memory_limit": "1GB", "threads": 1, "temp_directory": ""})
+        self.db.execute("SET disabled_optimizers = 'join_order,build_side_probe_side'")
 
     def _store(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
@@ -106,6 +117,39 @@ class _Coder:
             self.db.unregister(name)
 
 
+def _spanned_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (left * 65536 + right) that a merge joins or spans, and the rank of the merge that joins them."""
+    split: list[tuple[int, int, int]] = []
+    tails: list[list[int]] = [[] for _ in range(1 << 16)]
+    heads: list[list[int]] = [[] for _ in range(1 << 16)]
+    for token, t in ranks.items():
+        tails[t].append(t)
+        heads[t].append(t)
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None:
+                heads[t].append(left)
+            if right is not None:
+                tails[t].append(right)
+                if left is not None:
+                    split.append((left, right, t))
+    a, b, made = np.array(split, dtype=np.int64).T
+
+    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in lists])
+        return np.array([y for x in lists for y in x], dtype=np.int64), np.cumsum(sizes) - sizes, sizes
+
+    (tail, tail_at, tail_n), (head, head_at, head_n) = flat(tails), flat(heads)
+    times = tail_n[a] * head_n[b]
+    merge = np.repeat(np.arange(len(a)), times)
+    k = np.arange(len(merge)) - np.repeat(np.cumsum(times) - times, times)
+    spans = tail[tail_at[a][merge] + k // head_n[b][merge]] * 65536 + head[head_at[b][merge] + k % head_n[b][merge]]
+    pairs = np.unique(spans)
+    rank = np.full(len(pairs), _NONE, dtype=np.int32)
+    rank[np.searchsorted(pairs, a * 65536 + b)] = made
+    return pairs, rank
+
+
 class Encoder(_Coder):
     """Texts to token IDs."""
 
@@ -113,38 +157,27 @@ class Encoder(_Coder):
         super().__init__(vocabulary)
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        rows = [(a, b, t) for token, t in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
-        left, right, made = np.array(rows, dtype=np.int64).T
-        # contracting all occurrences at once is safe if whatever the new token merges into comes later than the token
-        first_use = np.full(1 << 16, 1 << 16)
-        np.minimum.at(first_use, left, made)
-        np.minimum.at(first_use, right, made)
-        self._store("merges", pa.table({"lr": left * 65536 + right, "rk": made.astype(np.int32), "safe": first_use[made] > made}))
-        self.chunks: dict[str, bytes | None] = {}  # what stands between two spaces, encoded with the space before it
-        self.others: dict[str, bytes] = {}  # pre-tokens that are no letters after a space
+        pairs, ranks = _spanned_pairs(self.ranks)
+        self._store("pairs", pa.table({"lr": pairs, "rk": ranks}))
+        ids = self.byte_id.astype(np.int64)
+        self.warm = np.isin(ids[:, None] * 65536 + ids, pairs)  # between which two bytes a merge can happen
+        self.forget()
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The token IDs, two bytes each, of byte strings that are no tokens themselves."""
-        out = [b""] * len(words)
-        for short in (True, False):
-            mine = [k for k, w in enumerate(words) if (len(w) <= SHORT) == short]
-            for lo in range(0, len(mine), WORDS_PER_QUERY):
-                some = mine[lo : lo + WORDS_PER_QUERY]
-                sizes = np.array([len(words[k]) for k in some])
-                t = self.byte_id[np.frombuffer(b"".join(words[k] for k in some), dtype=np.uint8)]
-                w = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
-                i = np.arange(len(t), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
-                if short:
-                    n = np.append(t[1:], -1).astype(np.int32)
-                    n[np.cumsum(sizes) - 1] = -1
-                    x = (w << 12) | i
-                    got = self._run("word_bytes", pa.table({"x": x, "y": x + 1, "t": t, "n": n}), MERGE_SHORT)
-                else:
-                    got = self._run("word_bytes", pa.table({"w": w, "i": i, "t": t}), MERGE_LONG)
-                ids = got.column("ids").combine_chunks()
-                raw, at = ids.values.to_numpy().astype("<u2").tobytes(), (ids.offsets.to_numpy() * 2).tolist()
-                for k, a, b in zip(some, at, at[1:], strict=False):
-                    out[k] = raw[a:b]
+        out: list[bytes] = []
+        for lo, hi in slices(words, ROWS):
+            raw = np.frombuffer(b"".join(words[lo:hi]), dtype=np.uint8)
+            ends = np.cumsum([len(w) for w in words[lo:hi]])
+            t, x = self.byte_id[raw], np.arange(len(raw), dtype=np.int32)
+            goes_on = np.append(self.warm[raw[:-1], raw[1:]], False)
+            goes_on[ends - 1] = False
+            n = np.where(goes_on, np.append(t[1:], -1), -1).astype(np.int32)
+            s = np.maximum.accumulate(np.where(np.append(True, ~goes_on[:-1]), x, 0))
+            got = self._run("word_bytes", pa.table({"x": x, "t": t, "n": n, "s": s}), MERGE)
+            ids = got.column("t").to_numpy().astype("<u2").tobytes()
+            at = (np.searchsorted(got.column("x").to_numpy(), np.append(0, ends)) * 2).tolist()
+            out += [ids[i:j] for i, j in zip(at, at[1:], strict=False)]
         return out
 
     def _code(self, words: list[bytes]) -> list[bytes]:
@@ -159,13 +192,13 @@ class Encoder(_Coder):
 
     def _learn(self, splits: list[list[str]], whole: list[list[str]]) -> None:
         """IDs of all new chunks, and of all new pre-tokens of texts that are cut as a whole."""
-        if splits and len(self.chunks) + len(self.others) > MAX_CACHED:
+        if splits and self.held > CACHE_BYTES:
             self.forget()
         seen: set[str] = set()
         for chunks in splits:
             seen.update(chunks)
         new = {c for c in seen if c not in self.chunks}
-        many = {c: self.pattern.findall(f" {c}") for c in new if not c.isalpha()}
+        many = {c: [f" {cut[0]}", cut[1]] if (cut := marked_word(c)) else self.pattern.findall(f" {c}") for c in new if not c.isalpha()}
         plain, others = new.difference(many), set()
         for piece in set().union(*many.values(), *whole):
             if piece[0] == " " and piece[1:].isalpha():
@@ -176,13 +209,16 @@ class Encoder(_Coder):
         coded = self._code([f" {c}".encode() for c in plain] + [p.encode() for p in others])
         self.chunks.update(zip(plain, coded, strict=False))
         self.others.update(zip(others, coded[len(plain) :], strict=True))
+        self.held += sum(map(len, coded)) + 2 * sum(map(len, seen)) + ENTRY_BYTES * (len(coded) + len(many))
         for c, pieces in many.items():
             # white space at a chunk's edge can belong to a run that goes on in the next chunk
             self.chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else b"".join(map(self._piece, pieces))
 
     def forget(self) -> None:
-        """Drops the caches, so that an idle worker process holds little."""
-        self.chunks, self.others = {}, {}
+        """Empties the cache. It is kept from task to task, and filled again from the texts at hand."""
+        self.chunks: dict[str, bytes | None] = {}  # what stands between two spaces, encoded with the space before it
+        self.others: dict[str, bytes] = {}  # pre-tokens that are no letters after a space
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The token IDs of each text.
@@ -249,14 +285,10 @@ def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
     names = [*[f.name for f in kept], *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                for lo, hi, made in make(batch):
-                    part = batch.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
-        finally:
-            for coder in _encoders.values():
-                coder.forget()
+        for batch in batches:
+            for lo, hi, made in make(batch):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
 
     return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, kind) for c, kind in columns.items()]]))
 

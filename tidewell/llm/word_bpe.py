@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import unicodedata
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -21,7 +23,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
 #: Python's str.split() also splits here, the tokenizer's white space does not; and a sigma's lower case depends on its place.
 _ODD = re.compile("[\x1c-\x1fΣ]")
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 800_000
 
 
 class WordBpe:
@@ -73,8 +75,8 @@ class WordBpe:
 
     def cut(self, chunks: list[str]) -> tuple[list[str], dict[str, list[str]]]:
         """All distinct pre-tokens of some chunks, and the pre-tokens of those chunks that are not one themselves."""
-        many = {c: self.pattern.findall(c) for c in chunks if not c.isalpha()}
-        return list({c for c in chunks if c not in many}.union(*many.values())), many
+        many = {c: marked_word(c) or self.pattern.findall(c) for c in chunks if not c.isalpha()}
+        return list({*(c for c in chunks if c not in many), *chain.from_iterable(many.values())}), many
 
     def whole_words(self) -> frozenset[str]:
         """The vocabulary strings proven to be one pre-token that encodes alone as one token."""
@@ -91,6 +93,12 @@ class WordBpe:
         return frozenset(w for w, ids in zip(words, self.encode(words), strict=True) if len(ids) == 1)
 
 
+def marked_word(chunk: str) -> list[str] | None:
+    """Letters and the ASCII punctuation after them, which patterns of this kind cut once, in between; None for others."""
+    word = chunk.rstrip(string.punctuation)
+    return [word, chunk[len(word) :]] if word.isalpha() and len(word) < len(chunk) else None
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Character to byte of the byte-level alphabet: printable Latin-1 stands for itself, the rest follows from U+0100."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
