@@ -1,11 +1,11 @@
 """Token IDs as Arrow files of equal-length sequences.
 
 ``write_token_files`` range-partitions documents by identifier, sorts each partition, encodes it and streams the IDs into
-one Arrow IPC file per partition. A record batch has two fixed-size-list columns of ``length`` items: ``ids`` (uint16 or
-uint32, by the size of the vocabulary) and ``mask`` (uint8, 1 where a position holds a token; only the last sequence of
-a file is padded). Sequence k of a file is item k modulo batch size of batch k div batch size, so a memory-mapped file
-gives any sequence and its mask without a copy. A second file beside it lists identifier and number of tokens of its
-documents.
+one Arrow IPC file per partition. A record batch has two fixed-size-list columns, of sequences of equal ``length`` (a
+multiple of 8): ``ids`` (uint16 or uint32, by the size of the vocabulary) and ``mask`` (bytes of eight positions, the
+first in the lowest bit; a bit is 1 where a position holds a token; only the last sequence of a file is padded). Sequence
+k of a file is item k modulo batch size of batch k div batch size, so a memory-mapped file gives any sequence and its
+mask as views, without a copy. A second file beside it lists identifier and number of tokens of its documents.
 
 ``read_token_files`` gives documents back from the files alone. Files go to a folder that all executors share, by
 pyarrow's file systems. Every attempt of a task writes files of its own names, and the manifest names those of the
@@ -65,9 +65,11 @@ class SequenceWriter:
     """Packs documents into fixed-size-list batches of one Arrow file."""
 
     def __init__(self, sink, dtype: str, length: int) -> None:
+        if length % 8:
+            raise ValueError("the length of sequences is a multiple of 8")
         self.length, self.dtype = length, np.dtype(dtype)
-        kinds = [("ids", pa.from_numpy_dtype(self.dtype)), ("mask", pa.uint8())]
-        self.schema = pa.schema([(n, pa.list_(pa.field("item", k, nullable=False), length)) for n, k in kinds], {"length": str(length), "batch": str(BATCH)})
+        kinds = [("ids", pa.from_numpy_dtype(self.dtype), length), ("mask", pa.uint8(), length // 8)]
+        self.schema = pa.schema([(n, pa.list_(pa.field("item", k, nullable=False), items)) for n, k, items in kinds], {"length": str(length), "batch": str(BATCH)})
         self.file = pa.ipc.new_file(sink, self.schema)
         self.ids: list[bytes] = []
         self.held = 0
@@ -82,8 +84,8 @@ class SequenceWriter:
         ids, size, at = np.frombuffer(b"".join(self.ids), dtype=self.dtype), self.length * BATCH, 0
         while self.held - at >= size or last and at < self.held:
             part = ids[at : at + size]
-            pad = -len(part) % self.length
-            columns = [np.pad(x, (0, pad)) for x in (part, np.ones(len(part), dtype=np.uint8))]
+            padded = np.pad(part, (0, -len(part) % self.length))
+            columns = [padded, np.packbits(np.arange(len(padded)) < len(part), bitorder="little")]
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip(columns, self.schema, strict=True)]
             self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
             at += len(part)
@@ -156,7 +158,7 @@ def documents_of(tokens: pa.ipc.RecordBatchFileReader, sizes: Iterator[int]) ->
         while missing:
             batch = tokens.get_batch(k)
             ids, mask = (batch.column(i).values.to_numpy() for i in range(2))  # views into the file's buffers
-            held, k = ids if mask[-1] else ids[mask.view(bool)], k + 1
+            held, k = ids if mask[-1] == 255 else ids[: np.bitwise_count(mask).sum(dtype=np.int64)], k + 1
             parts.append(held[:missing])
             held, missing = held[missing:], missing - len(parts[-1])
         yield parts[0] if len(parts) == 1 else np.concatenate([p for p in parts if len(p)])
