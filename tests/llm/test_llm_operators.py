@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import math
 import re
 import time
@@ -426,23 +427,68 @@ def brute_targets(sizes):
         fixed |= {s: 3 * sizes[s] for s in over}
 
 
-def test_mixing_meets_targets(docs, none):
-    got = mixing.mix(docs).collect()
-    assert len(got) == len(TEXTS)
-    sizes = Counter()
-    for r in got:
-        sizes[r["source"]] += r["size"]
-        assert 0 <= r["taken"] <= 3 * r["size"]
-    targets = brute_targets(sizes)
-    for s, size in sizes.items():
-        mine = [r for r in got if r["source"] == s]
-        assert mine[0]["source_size"] == size and math.isclose(mine[0]["target"], targets[s], rel_tol=1e-9, abs_tol=1e-9)
-        assert abs(sum(r["taken"] for r in mine) - targets[s]) <= 1
-    assert by_id(mixing.mix(docs), "taken") == sorted(((r["doc_id"], r["taken"]) for r in got), key=repr)
-    assert mixing.mix(none).count() == 0
+def brute_queue(rows, packet, max_epochs=3):
+    """Words taken by row, from one heap of the sources' next packets, served until the budget is spent."""
+    by_source = {}
+    for k, (i, source, text) in enumerate(rows):
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        key = hashlib.md5(f"{'' if i is None else i}|{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
+        by_source.setdefault(source, []).append((key, k, size))
+    targets = brute_targets({s: sum(x[2] for x in q) for s, q in by_source.items()})
+
+    def packets(source):
+        done = 0
+        for _ in range(max_epochs):
+            for _, k, size in sorted(by_source[source]):
+                for at in range(0, size, packet):
+                    words = min(packet, size - at)
+                    done += words
+                    yield done / targets[source], source is None, source or "", done, k, words
+
+    lines = {s: packets(s) for s, q in by_source.items() if sum(x[2] for x in q)}
+    heap = [next(line) for line in lines.values()]
+    heapq.heapify(heap)
+    budget, taken = sum(x[2] for q in by_source.values() for x in q), Counter()
+    while budget and heap:
+        _, null, source, _, k, words = heap[0]
+        taken[k] += min(words, budget)
+        budget -= min(words, budget)
+        following = next(lines[None if null else source], None)
+        heapq.heapreplace(heap, following) if following else heapq.heappop(heap)
+    return targets, taken
+
+
+@pytest.mark.parametrize(("packet", "range_words"), [(3, 70), (256, 4_000_000)])
+def test_mixing_is_the_queue(spark, docs, none, monkeypatch, packet, range_words):
+    monkeypatch.setattr(mixing, "RANGE_WORDS", range_words)
+    many = [(i, f"src{i * i % 7}" if i % 5 else None, "w " * (i * 37 % 90) + "long " * (3000 * (i == 11))) for i in range(120)] + [(7, "hot", "copy of it")] * 9 + [(None, "hot", f"text {k}") for k in range(9)]
+    for rows, df in ((many, spark.createDataFrame(many, "doc_id long, source string, text string").repartition(4)), (docs.select("doc_id", "source", "text").collect(), docs)):
+        targets, taken = brute_queue(rows, packet)
+        got = mixing.mix(df, packet=packet).collect()
+        key = lambda i, s, n: (str(i), str(s), n)
+        want = Counter(key(i, s, taken[k]) for k, (i, s, _) in enumerate(rows))
+        assert Counter(key(r["doc_id"], r["source"], r["taken"]) for r in got) == want
+        totals = Counter()
+        for r in got:
+            totals[r["source"]] += r["taken"]
+            assert math.isclose(r["target"], targets[r["source"]], rel_tol=1e-9, abs_tol=1e-9) and 0 <= r["taken"] <= 3 * r["size"]
+        spare = packet * (1 + len(targets))
+        assert all(abs(totals[s] - targets[s]) <= spare for s in targets)
+        order = [(r["doc_id"], r["text"]) for r in mixing.mixed_documents(df, packet=packet).collect()]
+        served = {(i, t) for k, (i, _, t) in enumerate(rows) if taken[k]}
+        assert set(order) == served
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_come_in_the_order_of_their_finish_times(spark):
+    rows = [(1, "a", "x " * 10), (2, "b", "y " * 10), (3, "b", "z " * 10)]
+    # a: target 3 x 10 words at most, weight 5; b: the rest
+    got = [r["doc_id"] for r in mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()]
+    targets, taken = brute_queue(rows, 256)
+    assert Counter(got)[1] == math.ceil(taken[0] / 10) and set(got) == {rows[k][0] for k in taken if taken[k]}
+
+
 # ---- 10
 
 

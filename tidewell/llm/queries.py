@@ -60,7 +60,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ SELECT h.page_id, host, path, m.rule, coalesce(m.rv, 'allow') AS verdict FROM h
 """
 
 OP8_SQL = r"""
-WITH q AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+WITH q AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM q GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM p),
 l AS (SELECT *, (coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before,
@@ -138,11 +138,13 @@ k AS (SELECT min(share) FILTER (share * weight <= source_size * 3) AS lowest,
       arg_min(share, source_size * 3 / weight) FILTER (share * weight <= source_size * 3) AS common FROM c),
 t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, coalesce(common * weight, (source_size * 3)::DOUBLE)) AS target FROM c, k),
 b AS (SELECT q.*, t.source_size, t.target,
-      (sum(size) OVER (PARTITION BY q.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS begin
-      FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, round(target)::BIGINT - begin)) + greatest(0, least(size, round(target)::BIGINT - source_size - begin))
-   + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - begin)))::BIGINT AS taken FROM b
+      (sum(size) OVER (PARTITION BY q.source ORDER BY h ROWS UNBOUNDED PRECEDING))::BIGINT - size AS begin
+      FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, begin + epoch * source_size AS ahead, unnest(range(0, size, 256)) AS done FROM (SELECT *, unnest([0, 1, 2]) AS epoch FROM b WHERE size > 0)),
+f AS (SELECT doc_id, source, least(256, size - done) AS words, ahead + done + least(256, size - done) AS position, target FROM e),
+o AS (SELECT doc_id, words, (sum(words) OVER (ORDER BY position::DOUBLE / target, source NULLS LAST, position ROWS UNBOUNDED PRECEDING))::BIGINT AS until FROM f),
+s AS (SELECT doc_id, sum(greatest(0, least(words, (SELECT sum(size) FROM q)::BIGINT - until + words))) AS served FROM o GROUP BY doc_id)
+SELECT b.doc_id, size, source_size, target, coalesce(served, 0)::BIGINT AS taken FROM b LEFT JOIN s ON s.doc_id = b.doc_id
 """
 
 
