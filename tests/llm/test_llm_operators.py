@@ -19,11 +19,13 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewell.llm import byte_bpe, components, exact_dedup, langid, mixing, quality, secrets, simhash, token_count, token_files, url_filter
 
+DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, size long, target double, fp long, node long, ids string, _text string"
 PROSE = "The cat and the dog are in the house of the old man, and it is a fine day."
 TEXTS = [
@@ -104,6 +106,52 @@ def test_language_left_out_is_rejected_and_the_others_stay(spark):
         assert rest.where("language.rejected").count() == 0
 
 
+def brute_prediction(model, text):
+    """Language, score and rejection by dictionaries of n-grams and plain sums."""
+    clean = re.sub(r"\s+", " ", f" {''.join(c if c.isalpha() else ' ' for c in (text or '').lower())} ")
+    if not clean.strip():
+        return "und", 0.0, True
+    low = lambda x: x & 0xFFFFFFFF
+    counts = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(clean) - n + 1):
+            c = [ord(x) for x in clean[k : k + n]]
+            h = low(c[0] * 2654435761)
+            if n > 1:
+                h = low((h ^ low(c[1] * 2246822519)) * 3266489917)
+            if n > 2:
+                h = low((h ^ low(c[2] * 668265263)) * 374761393)
+            counts[h >> 20] += 1
+    weights = {d: math.log1p(n) * float(model.idf[d]) for d, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    scores = [sum(w * float(c[d]) for d, w in weights.items()) / norm for c in model.centroids]
+    best = max(range(len(scores)), key=scores.__getitem__)
+    middle, at = math.log2(len(counts)) - 0.5, model.limits[best]
+    k = min(max(int(math.floor(middle)), 0), len(at) - 1)
+    limit = at[0] if middle <= 0 else at[k] + (at[min(k + 1, len(at) - 1)] - at[k]) * (middle - k)
+    return model.langs[best], scores[best], scores[best] < limit
+
+
+def test_language_equals_brute_force(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(df)
+    texts = [r["text"] for r in df.select("text").collect()] + ["", "  ", "12 3", "Ä", "αβγ δεζ"]
+    langs, scores, rejected = model.predict(texts)
+    for text, *got in zip(texts, langs, scores, rejected, strict=True):
+        lang, score, out = brute_prediction(model, text)
+        assert got[0] == lang and abs(got[1] - score) < 1e-4 and got[2] == out
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_language_sample_is_bounded_and_distinct(spark, hot):
+    rows = [(i, f"text {i}", "en") for i in range(500)] + [(hot, "the same", "de")] * 700 + [(hot, f"other {i}", "de") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    got = langid.labelled_sample(df, {"en": 500, "de": 1000}, 40).collect()
+    assert {n: c for n, c in Counter(r["lang"] for r in got).items()} == {"en": 40, "de": 40}
+    assert len({(r["lang"], r["text"]) for r in got}) == 80
+    assert sorted(got) == sorted(langid.labelled_sample(df.repartition(7), {"en": 500, "de": 1000}, 40).collect())
+
+
 # ---- 2
 
 BPE = P.path("byte_bpe_multi_50k.tiktoken")

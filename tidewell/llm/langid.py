@@ -9,8 +9,8 @@ with the number of distinct n-grams, those of an unlearned language hardly do; s
 (by powers of two, interpolated from middle to middle). Below some 64 distinct n-grams, or five words, the two overlap,
 and the limits keep the text.
 
-The model is fitted on a bounded sample: ``per_language`` labelled rows of each language in expectation, taken by a hash
-of the identifier over the whole table; the bound is a parameter. The model (centroids, weights, limits) is broadcast;
+The model is fitted on a bounded sample: at most ``per_language`` distinct labelled rows of each language, those with
+the smallest hashes of identifier and text in the whole table; the bound is a parameter. The model (centroids, weights, limits) is broadcast;
 its size is languages x clusters x ``DIM`` floats whatever the input. Every text is judged whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and counts as rejected; the same holds
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 4096
@@ -47,8 +47,8 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     if not letter.any():
         return None
     codes = np.where(letter, codes, np.uint32(32))
-    keep = np.r_[True, letter[1:] | letter[:-1]]
-    c = np.concatenate(([32], codes[keep], [32])).astype(np.uint32)
+    keep = np.r_[letter[0], letter[1:] | letter[:-1]]
+    c = np.concatenate(([32], codes[keep], [32][: int(letter[-1])])).astype(np.uint32)
     counts = np.zeros(DIM, dtype=np.int64)
     for lo in range(0, len(c), 1 << 20):  # pieces overlap by two, so that no gram is lost
         x = c[lo : lo + (1 << 20) + 2]
@@ -124,17 +124,28 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def labelled_sample(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """Of rows (id, text, lang): the ``per_language`` distinct ones of each language with the smallest hashes.
+
+    A threshold that lets about twice as many of each language pass goes first, so that only these few are shuffled.
+    """
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2.0 * per_language / n + 64.0 / n))])
+    place = F.xxhash64("id", "text", F.lit("langid"))  # even from -2^63 to 2^63
+    few = rows.withColumn("place", place).where(F.col("place").cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")]).dropDuplicates(["lang", "place"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text")
+
+
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, reject_scale: float = 0.6
 ) -> LanguageModel:
-    """The model of the labelled rows outside the held-out fold, from about ``per_language`` rows of each language."""
+    """The model of the labelled rows outside the held-out fold, from at most ``per_language`` rows of each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return LanguageModel([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros((0, CLASSES)))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1_000_000, 1_000_000 * per_language // n + 1))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")])
+    sample = labelled_sample(rows, sizes, per_language)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,7 +154,7 @@ def fit(
             yield pd.DataFrame({"lang": [f[0] for f in found], "whole": [f[1] for f in found], "at": [f[2].tobytes() for f in found], "n": [f[3].tobytes() for f in found]})
 
     columns = "lang string, whole boolean, at binary, n binary"
-    got = sorted((r["lang"], r["whole"], bytes(r["at"]), bytes(r["n"])) for r in sample.select("lang", "text").mapInPandas(sparse, columns).collect())
+    got = sorted((r["lang"], r["whole"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInPandas(sparse, columns).collect())
     pieces = [(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<f4")) for lang, _, at, n in got]
     wholes = [p for p, g in zip(pieces, got, strict=True) if g[1]]
     counts = np.zeros((len(wholes), DIM), dtype=np.float32)
