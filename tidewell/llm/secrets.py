@@ -8,9 +8,9 @@ Every segment of at most ``WINDOW`` characters is tried at every place, and brut
 is the minimum over all segmentations. A value of at least two kinds of characters that takes ``MIN_COST`` or more is a
 secret. Values that overlap a base span are not reported again.
 
-The dictionary is a short list of weak passwords, then the ``n_words`` most frequent words of letters of all texts, by
-count: counts cover every document, and what is broadcast is bounded by ``n_words``, a parameter. With 0 the texts are
-read once, and the list is all.
+The dictionary is a short list of weak passwords, then the most frequent words of letters of all texts, ``n_words`` of
+them at most: counts cover every document, and what is broadcast is bounded by that parameter. With 0 the texts are read
+once, and the list is all.
 
 Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive; spans are ordered by
 start, then kind in the order of ``KINDS``; texts and values of any length are scanned whole, in time linear in their
@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.session import checkpointed
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 9.0
 MIN_LENGTH = 8
@@ -158,11 +160,24 @@ _guessers: dict[str, Guesser] = {}
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", n_words: int = N_WORDS) -> list[str]:
-    """The ``n_words`` most frequent words of letters of all texts, lower-cased, most frequent first."""
+    """The most frequent words of letters of all texts, lower-cased, most frequent first.
+
+    Words are classed by count (64 classes for each factor e, so a few thousand at any size); the uppermost classes come
+    whole, as many as hold ``n_words`` together, and nothing else reaches the driver.
+    """
     low, high = WORD_LENGTHS
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.where(F.length("word").between(low, high)).groupBy("word").count()
-    return [r["word"] for r in counted.orderBy(F.col("count").desc(), "word").limit(n_words).collect()]
+    counted = words.where(F.length("word").between(low, high)).groupBy("word").count().withColumn("class", F.floor(F.log("count") * 64))
+    counted = checkpointed(counted)
+    held, least = 0, None
+    for r in counted.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.col("class").desc()).collect():
+        held += r["n"]
+        if held > n_words:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    return [r["word"] for r in counted.where(F.col("class") >= least).orderBy(F.col("count").desc(), "word").collect()]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS) -> DataFrame:
