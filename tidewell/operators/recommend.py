@@ -24,7 +24,7 @@ def naive_bayes(hist: DataFrame, candidates: DataFrame, n_classes: int = 500) ->
 
     Classes are the most bought items. Each (user, owned class) is a training row with the user's other items as
     features; a class's score is its log prior plus the smoothed log likelihoods of the user's whole history,
-    normalised over all classes.
+    normalised over all classes. Users times classes never exists: only classes that gain from the history get a row.
     """
     buyers = hist.groupBy("item").agg(F.count("*").alias("c"))
     classes = buyers.orderBy(F.col("c").desc(), "item").limit(n_classes).select(F.col("item").alias("cls"), F.col("c").alias("rows"))
@@ -45,12 +45,17 @@ def naive_bayes(hist: DataFrame, candidates: DataFrame, n_classes: int = 500) ->
     sizes = hist.groupBy("user").agg(F.count("*").alias("n"))
     # an item that never met the class adds ln(1 / denominator); what it adds beyond that comes from the pairs that exist
     extra = hist.select("user", "item").join(pairs.withColumn("gain", F.ln(F.col("c") + F.lit(1.0))), "item").groupBy("user", "cls").agg(F.sum("gain").alias("gain"))
-    every = sizes.crossJoin(F.broadcast(prior))  # at most n_classes rows
-    logs = every.join(extra, ["user", "cls"], "left").withColumn("raw", F.col("prior") - F.col("n") * F.ln("denominator") + F.coalesce("gain", F.lit(0.0)))
-    top = logs.groupBy("user").agg(F.max("raw").alias("top"))
-    norm = logs.join(top, "user").groupBy("user", "top").agg(F.ln(F.sum(F.exp(F.col("raw") - F.col("top")))).alias("rest"))
-    wanted = candidates.select("user", F.col("item").alias("cls"))
-    return logs.join(wanted, ["user", "cls"]).join(norm, "user").select("user", F.col("cls").alias("item"), F.round(F.col("raw") - F.col("top") - F.col("rest"), 6).alias("score"))
+    # without gains a class's score depends on the history's size alone, so all classes meet the sizes, not the users
+    base = sizes.select("n").distinct().crossJoin(F.broadcast(prior)).select("n", "cls", (F.col("prior") - F.col("n") * F.ln("denominator")).alias("base"))  # at most n_classes rows
+    best = base.groupBy("n").agg(F.max("base").alias("best"))
+    plain = base.join(best, "n").groupBy("n", "best").agg(F.sum(F.exp(F.col("base") - F.col("best"))).alias("mass"))
+    gained = extra.join(sizes, "user").join(base, ["n", "cls"]).select("user", "n", "cls", "base", (F.col("base") + F.col("gain")).alias("raw"))
+    tops = sizes.join(gained.groupBy("user").agg(F.max("raw").alias("raw")), "user", "left").join(plain, "n")
+    tops = tops.select("user", "n", F.greatest("best", "raw").alias("top"), "best", "mass")
+    over = gained.join(tops.select("user", "top"), "user").groupBy("user").agg(F.sum(F.exp(F.col("raw") - F.col("top")) - F.exp(F.col("base") - F.col("top"))).alias("over"))
+    norm = tops.join(over, "user", "left").select("user", "n", (F.col("top") + F.ln(F.col("mass") * F.exp(F.col("best") - F.col("top")) + F.coalesce("over", F.lit(0.0)))).alias("norm"))
+    wanted = candidates.select("user", F.col("item").alias("cls")).join(norm, "user").join(base, ["n", "cls"]).join(gained.select("user", "cls", "raw"), ["user", "cls"], "left")
+    return wanted.select("user", F.col("cls").alias("item"), F.round(F.coalesce("raw", "base") - F.col("norm"), 6).alias("score"))
 
 
 def pair_rules(hist: DataFrame, min_support: float, min_confidence: float, top_items: int = 2000) -> DataFrame:
@@ -85,10 +90,11 @@ def adamic_adar(hist: DataFrame, candidates: DataFrame) -> DataFrame:
     return reach.join(near, ["user", "other"]).groupBy("user", "item").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """REC7: Okapi scores of rows queries(user, term) against docs(item, term), through an inverted index.
+def bm25(queries: DataFrame, docs: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """REC7: Okapi scores of rows queries(user, term) against docs(item, term), for the candidates.
 
-    Negative idf values become ``epsilon`` times the mean idf.
+    Candidates meet the terms of their items, and those the terms of the user, so a frequent term never pairs all users
+    with all items. Negative idf values become ``epsilon`` times the mean idf. No common term is no opinion.
     """
     tf = docs.groupBy("item", "term").agg(F.count("*").alias("tf"))
     size = docs.groupBy("item").agg(F.count("*").alias("len"))
@@ -97,9 +103,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + F.lit(0.5)))  # one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
-    index = tf.join(size, "item").join(idf, "term")
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return queries.join(index.select("term", "item", gain.alias("gain")), "term").groupBy("user", "item").agg(F.round(F.sum("gain"), 6).alias("score"))
+    gains = tf.join(size, "item").join(idf, "term").select("item", "term", gain.alias("gain"))
+    met = candidates.select("user", "item").join(gains, "item").join(queries.select("user", "term").distinct(), ["user", "term"])
+    return met.groupBy("user", "item").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
 def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:

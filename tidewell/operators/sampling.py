@@ -12,25 +12,58 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def sampled_candidates(split: DataFrame, catalog: DataFrame, n: int = 20, factor: int = 3, seed: str = "7") -> DataFrame:
-    """TOP5: up to ``n`` items that a user never bought, plus the hidden item.
+def positions(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``pos``, the place of each row from 0 in the order of the key's MD5.
 
-    ``factor * n`` positions are drawn per user and joined to the catalogue, so users times items never exists; items of
-    the history are removed by an anti join.
+    Numbering is in two levels, so that no task holds the table: counts of the 4096 prefixes of the hash give each prefix
+    its offset, and a window numbers the rows of one prefix.
     """
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn("_slot", F.substring("_hash", 1, 3))
+    counts = hashed.groupBy("_slot").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_slot", (F.sum("_n").over(Window.orderBy("_slot")) - F.col("_n")).alias("_offset"))  # 4096 rows at most
+    within = F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", key)) - 1
+    return hashed.withColumn("_within", within).join(F.broadcast(offsets), "_slot").withColumn("pos", F.col("_offset") + F.col("_within")).drop("_hash", "_slot", "_n", "_offset", "_within")
+
+
+def next_prime(n: int) -> int:
+    """The least prime that is not less than ``n``."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def fresh_items(wants: DataFrame, taken: DataFrame, catalog: DataFrame, seed: str) -> DataFrame:
+    """For rows wants(user, n): the first ``n`` items of each user's own order that ``taken`` (user, item) does not hold.
+
+    Rows (user, item, k). A user's order walks the catalogue, in the order of its hashes, by steps of the user's own
+    modulo a prime: no item comes twice, so n plus as many places as the user has taken items are enough, whatever n and
+    the catalogue are, and users times items never exists. A user gets fewer only where the catalogue is spent.
+    """
+    items = positions(catalog.select("item"), "item")
+    n_items = catalog.count()
+    prime = next_prime(n_items)
+    held = taken.groupBy("user").agg(F.count("*").alias("held"))
+    steps = F.least(F.col("n") + F.coalesce("held", F.lit(0)) + F.lit(prime - n_items), F.lit(prime)).cast("int")
+    start, step = draw(seed, F.col("user").cast("string"), "start") % prime, draw(seed, F.col("user").cast("string"), "step") % (prime - 1) + 1
+    walks = wants.join(held, "user", "left").select("user", "n", F.explode(F.sequence(F.lit(0), steps - 1)).alias("j"))
+    drawn = walks.select("user", "n", "j", ((step * F.col("j") + start) % prime).alias("pos")).join(items, "pos").select("user", "n", "j", "item")
+    left = drawn.join(taken.select("user", "item"), ["user", "item"], "left_anti")
+    return left.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy("j"))).where(F.col("k") <= F.col("n")).select("user", "item", "k")
+
+
+def sampled_candidates(split: DataFrame, catalog: DataFrame, n: int = 100, seed: str = "7") -> DataFrame:
+    """TOP5: ``n`` items that a user never bought (all of them, if the catalogue holds fewer), plus the hidden item."""
     hidden = split.where("hidden").select("user", "item")
-    items = catalog.select("item").withColumn("pos", (F.row_number().over(Window.orderBy("item")) - 1).cast("long"))
-    total = catalog.agg(F.count("*").alias("total"))
-    draws = (
-        hidden.select("user", F.explode(F.sequence(F.lit(0), F.lit(factor * n - 1))).alias("j"))
-        .crossJoin(F.broadcast(total))  # one row
-        .select("user", "j", (draw(seed, F.col("user").cast("string"), F.col("j").cast("string")) % F.col("total")).alias("pos"))
-    )
-    drawn = draws.join(items, "pos").groupBy("user", "item").agg(F.min("j").alias("j"))
-    fresh = drawn.join(split.select("user", "item"), ["user", "item"], "left_anti")
-    k = F.row_number().over(Window.partitionBy("user").orderBy("j"))
-    negatives = fresh.withColumn("k", k).where(F.col("k") <= n).select("user", "item", F.lit(False).alias("hidden"))
-    return negatives.unionByName(hidden.withColumn("hidden", F.lit(True)))
+    negatives = fresh_items(hidden.select("user", F.lit(n).alias("n")), split.select("user", "item"), catalog, seed)
+    return negatives.select("user", "item", F.lit(False).alias("hidden")).unionByName(hidden.withColumn("hidden", F.lit(True)))
+
+
+def training_negatives(split: DataFrame, catalog: DataFrame, candidates: DataFrame, per_item: int = 5, seed: str = "n") -> DataFrame:
+    """TOP7: ``per_item`` items for each item of a user's history, neither bought nor among the user's candidates."""
+    wants = split.where("NOT hidden").groupBy("user").agg((F.count("*") * per_item).cast("int").alias("n"))
+    taken = split.select("user", "item").union(candidates.where("NOT hidden").select("user", "item"))
+    return fresh_items(wants, taken, catalog, seed).select("user", "item")
 
 
 def shuffled(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
@@ -56,9 +89,13 @@ def weighted_draws(draws: DataFrame, population: DataFrame, weight: str, key: st
     equi-join on the part with a check of the bounds.
     """
     slots = int(slot)
-    order = Window.orderBy(key)
-    total = F.sum(weight).over(Window.partitionBy())
-    ranges = population.select(key, (F.sum(weight).over(order) - F.col(weight)).alias("lo"), F.sum(weight).over(order).alias("hi"), total.alias("total"))
+    # prefix sums in two levels: of the hash prefixes of the key, then within each
+    hashed = population.select(key, weight, F.substring(F.md5(F.col(key).cast("string")), 1, 3).alias("_slot"))
+    sums = hashed.groupBy("_slot").agg(F.sum(weight).alias("_sum"))
+    offsets = sums.select("_slot", (F.sum("_sum").over(Window.orderBy("_slot")) - F.col("_sum")).alias("_offset"), F.sum("_sum").over(Window.partitionBy()).alias("total"))  # 4096 rows at most
+    within = F.sum(weight).over(Window.partitionBy("_slot").orderBy(F.md5(F.col(key).cast("string")), key))
+    ranges = hashed.withColumn("_within", within).join(F.broadcast(offsets), "_slot")
+    ranges = ranges.select(key, (F.col("_offset") + F.col("_within") - F.col(weight)).alias("lo"), (F.col("_offset") + F.col("_within")).alias("hi"), "total")
     part = lambda c: F.floor(c * slots / F.col("total"))
     cut = ranges.withColumn("part", F.explode(F.sequence(part(F.col("lo")), F.least(part(F.col("hi")), F.lit(slots - 1)))))
     return draws.withColumn("part", F.floor(F.col("u") * slots)).join(cut, "part").where("u * total >= lo AND u * total < hi").drop("part", "lo", "hi", "total")

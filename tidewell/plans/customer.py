@@ -588,7 +588,7 @@ def jn8_semi_join(spark, d):
 
 @area.query(
     """WITH w AS (SELECT n_nationkey, greatest(count(s_suppkey), 0) AS weight FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
-r AS (SELECT n_nationkey, sum(weight) OVER (ORDER BY n_nationkey) - weight AS lo, sum(weight) OVER (ORDER BY n_nationkey) AS hi, sum(weight) OVER () AS total FROM w),
+r AS (SELECT n_nationkey, sum(weight) OVER (ORDER BY md5(n_nationkey::VARCHAR), n_nationkey) - weight AS lo, sum(weight) OVER (ORDER BY md5(n_nationkey::VARCHAR), n_nationkey) AS hi, sum(weight) OVER () AS total FROM w),
 u AS (SELECT c_custkey AS user, ('0x' || substr(md5('w|' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM customer)
 SELECT user, n_nationkey FROM u JOIN r ON u.u * total >= lo AND u.u * total < hi"""
 )

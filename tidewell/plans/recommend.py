@@ -46,7 +46,7 @@ def rec1_popularity(spark, d):
     return R.popularity(Arena(spark, d).hist)
 
 
-NB = """buyers AS (SELECT item, count(*) AS c FROM hist GROUP BY item), classes AS (SELECT item AS cls, c AS rows FROM buyers ORDER BY c DESC, item LIMIT 50),
+NB = """buyers AS (SELECT item, count(*) AS c FROM hist GROUP BY item), classes AS (SELECT item AS cls, c AS rows FROM buyers ORDER BY c DESC, item LIMIT 500),
 own AS (SELECT user, item AS cls FROM hist WHERE item IN (SELECT cls FROM classes)),
 pairs AS (SELECT cls, h.item, count(*) AS c FROM own JOIN hist h USING (user) WHERE h.item <> cls GROUP BY ALL), mass AS (SELECT cls, sum(c) AS mass FROM pairs GROUP BY 1),
 prior AS (SELECT classes.cls, ln(rows::DOUBLE / (SELECT sum(rows) FROM classes)) AS prior, (coalesce(mass, 0) + (SELECT count(DISTINCT item) FROM hist))::DOUBLE AS den FROM classes LEFT JOIN mass USING (cls)),
@@ -58,7 +58,7 @@ norm AS (SELECT user, max(raw) AS top, ln(sum(exp(raw - m))) AS rest FROM (SELEC
 @area.query(f"WITH {Q.CANDIDATES}, {NB} SELECT l.user, cls AS item, round(raw - top - rest, 6) AS score FROM logs l JOIN cand c ON c.user = l.user AND c.item = l.cls JOIN norm n ON n.user = l.user")
 def rec4_naive_bayes(spark, d):
     a = Arena(spark, d)
-    return R.naive_bayes(a.hist, a.candidates, n_classes=50)
+    return R.naive_bayes(a.hist, a.candidates)
 
 
 RULES = """cnt AS (SELECT item, count(*) AS c FROM hist GROUP BY item ORDER BY c DESC, item LIMIT 2000), bask AS (SELECT user, item, c FROM hist JOIN cnt USING (item)),
@@ -101,8 +101,8 @@ def _bm25(spark, d):
     a = Arena(spark, d)
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))), " ")).alias("term"))
     words = a.hist.join(parts, "item").groupBy("user", "term").agg(F.count("*").alias("n"))
-    top = words.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("n"), "term"))).where("k <= 10").select("user", "term")
-    return a, R.bm25(top, parts)
+    top = words.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("n"), "term"))).where("k <= 200").select("user", "term")
+    return R.bm25(top, parts, a.candidates)
 
 
 BM = """terms AS (SELECT p_partkey AS item, unnest(string_split(lower(p_name || ' ' || p_brand || ' ' || p_size), ' ')) AS term FROM part),
@@ -111,13 +111,12 @@ rawidf AS (SELECT term, avg_len, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) +
 idf AS (SELECT term, avg_len, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM rawidf) ELSE idf END AS idf FROM rawidf),
 gains AS (SELECT term, item, idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)) AS gain FROM tf JOIN sz USING (item) JOIN idf USING (term)),
 words AS (SELECT user, term, row_number() OVER (PARTITION BY user ORDER BY count(*) DESC, term) AS k FROM hist JOIN terms USING (item) GROUP BY user, term),
-bm AS (SELECT user, item, round(sum(gain), 6) AS score FROM words JOIN gains USING (term) WHERE k <= 10 GROUP BY ALL)"""
+bm AS (SELECT c.user, c.item, round(sum(gain), 6) AS score FROM cand c JOIN gains USING (item) JOIN words ON words.user = c.user AND words.term = gains.term WHERE k <= 200 GROUP BY ALL)"""
 
 
-@area.query(f"WITH {Q.CANDIDATES}, {BM} SELECT bm.* FROM bm JOIN cand USING (user, item)")
+@area.query(f"WITH {Q.CANDIDATES}, {BM} SELECT * FROM bm")
 def rec7_bm25(spark, d):
-    a, scores = _bm25(spark, d)
-    return scores.join(a.candidates.select("user", "item"), ["user", "item"])
+    return _bm25(spark, d)
 
 
 def _vectors(spark, d):
@@ -329,13 +328,11 @@ def jn9_co_buyers(spark, d):
     return near.where("w > 1").select("user", "other", F.round("w", 6).alias("w"))
 
 
-@area.query(f"WITH {Q.SPLIT}, d AS (SELECT user, count(*) AS n FROM hist GROUP BY 1), j AS (SELECT h.user, ('0x' || substr(md5('n|' || h.user || '|' || h.item || '|' || k), 1, 8))::BIGINT % (SELECT count(*) FROM part) AS pos FROM hist h, range(0, 5) r(k)), i AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) SELECT user, count(DISTINCT item) AS negatives FROM j JOIN i USING (pos) WHERE NOT EXISTS (SELECT 1 FROM split_ s WHERE s.user = j.user AND s.item = i.item) GROUP BY user")
+@area.query(
+    f"""WITH {Q.CANDIDATES}, more_ AS (SELECT user, count(*) * 5 AS n FROM hist GROUP BY user), taken_ AS (SELECT user, item FROM split_ UNION ALL SELECT user, item FROM negs), {Q.walked("trains", "more_", "taken_", "n")}
+SELECT user, item FROM trains"""
+)
 def top7_training_negatives(spark, d):
-    """Five draws per bought item; what the user owns is removed."""
+    """Five items for each bought one, neither bought nor among the candidates."""
     a = Arena(spark, d)
-    items = a.catalog.select("item").withColumn("pos", (F.row_number().over(Window.orderBy("item")) - 1).cast("long"))
-    n = a.catalog.agg(F.count("*").alias("total"))
-    draws = a.hist.select("user", F.col("item").alias("bought"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).crossJoin(F.broadcast(n))  # one row
-    pos = draws.select("user", (S.draw("n", F.col("user").cast("string"), F.col("bought").cast("string"), F.col("k").cast("string")) % F.col("total")).alias("pos"))
-    drawn = pos.join(items, "pos").select("user", "item").distinct().join(a.split.select("user", "item"), ["user", "item"], "left_anti")
-    return drawn.groupBy("user").agg(F.count("*").alias("negatives"))
+    return S.training_negatives(a.split, a.catalog, a.candidates)

@@ -18,16 +18,22 @@ hist AS (SELECT user, item, rating, ts FROM split_ WHERE NOT hidden),
 hid AS (SELECT user, item FROM split_ WHERE hidden)"""
 )
 
-#: n sampled negatives of each user, drawn by MD5 over item positions; see operators.sampling.sampled_candidates.
-CANDIDATES = (
-    SPLIT
-    + """,
-items_ AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part),
-draws AS (SELECT user, j, ('0x' || substr(md5('7|' || user || '|' || j), 1, 8))::BIGINT % (SELECT count(*) FROM part) AS pos FROM hid, range(0, 60) r(j)),
-drawn AS (SELECT user, item, min(j) AS j FROM draws JOIN items_ USING (pos) GROUP BY user, item),
-negs AS (SELECT user, item, row_number() OVER (PARTITION BY user ORDER BY j) AS k FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM split_ s WHERE s.user = d.user AND s.item = d.item)),
-cand AS (SELECT user, item, false AS hidden FROM negs WHERE k <= 20 UNION ALL SELECT user, item, true FROM hid)"""
-)
+#: 100 sampled negatives of each user by a walk over the catalogue in hash order; see operators.sampling.fresh_items.
+WALK = """items_ AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS pos FROM part), n_items AS (SELECT count(*) AS c FROM part),
+prime AS (SELECT min(p) AS p FROM (SELECT unnest(range(c, 2 * c + 3)) AS p FROM n_items) WHERE p > 1 AND len(list_filter(range(2, sqrt(p)::BIGINT + 1), lambda d: p % d = 0 AND d < p)) = 0)"""
+
+
+def walked(name: str, wants: str, taken: str, seed: str) -> str:
+    """The first n items of each user's walk outside ``taken``, as a table (user, item, k)."""
+    word = lambda what: f"('0x' || substr(md5('{seed}|' || user || '|{what}'), 1, 8))::BIGINT"
+    return f"""{name}_w AS (SELECT w.user, n, unnest(range(0, least(n + coalesce(held, 0) + p - c, p)::BIGINT)) AS j, {word("start").replace("user", "w.user")} % p AS start, {word("step").replace("user", "w.user")} % (p - 1) + 1 AS step, p
+  FROM {wants} w LEFT JOIN (SELECT user, count(*) AS held FROM {taken} GROUP BY user) h ON h.user = w.user CROSS JOIN prime CROSS JOIN n_items),
+{name} AS (SELECT user, item, k FROM (SELECT user, item, n, row_number() OVER (PARTITION BY user ORDER BY j) AS k FROM {name}_w JOIN items_ ON pos = (step * j + start) % p
+  WHERE NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.user = {name}_w.user AND t.item = items_.item)) WHERE k <= n)"""
+
+
+CANDIDATES = f"""{SPLIT}, {WALK}, wants_ AS (SELECT user, 100 AS n FROM hid), {walked("negs", "wants_", "split_", "7")},
+cand AS (SELECT user, item, false AS hidden FROM negs UNION ALL SELECT user, item, true FROM hid)"""
 
 
 def ranked(scores: str) -> str:
