@@ -42,22 +42,28 @@ def history(log: DataFrame) -> DataFrame:
 
 
 def chain_hash(*columns: str):
-    return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    """The digest of a row's fields; a null field keeps its place as an empty one."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
 def verify_chain(audit: DataFrame, group: str, fields: tuple[str, ...], linked_hash: bool = True) -> DataFrame:
     """AUD1: per chain the number of rows, the first row whose sequence, link or own hash breaks, and its kind.
 
-    Each row carries the hash of the row before it, so rows are checked in parallel; only neighbours meet in a window.
-    ``linked_hash``: whether the row's own hash covers the hash before it.
+    Each row carries the hash of the row before it, so rows meet their neighbour in an equi-join on (chain, seq), and one
+    very long chain is spread over all tasks. ``linked_hash``: whether the row's own hash covers the hash before it.
+    A number that is missing, or is there twice, breaks the sequence; a null hash breaks what it should prove.
     """
-    w = Window.partitionBy(group).orderBy("seq")
-    genesis = F.lit("0" * 64)
+    at = audit.groupBy(group, "seq").agg(F.count("*").alias("_times"), F.first("this_hash").alias("_hash"))
+    before = at.select(F.col(group).alias("_group"), (F.col("seq") + 1).alias("_next"), F.col("_hash").alias("_before"), F.lit(True).alias("_known"))
+    twice = at.where("_times > 1").select(F.col(group).alias("_g"), F.col("seq").alias("_s"), F.lit(True).alias("_twice"))
+    joined = audit.join(before, audit[group].eqNullSafe(F.col("_group")) & (F.col("seq") == F.col("_next")), "left")
+    joined = joined.join(twice, audit[group].eqNullSafe(F.col("_g")) & (F.col("seq") == F.col("_s")), "left")
+    own = chain_hash(*fields, *(("prev_hash",) if linked_hash else ()))
     kind = (
-        F.when(F.col("seq") != F.coalesce(F.lag("seq").over(w) + 1, F.lit(0)), "sequence")
-        .when(F.col("prev_hash") != F.coalesce(F.lag("this_hash").over(w), genesis), "link")
-        .when(F.col("this_hash") != chain_hash(*fields, *(("prev_hash",) if linked_hash else ())), "hash")
+        F.when(F.coalesce("_twice", F.lit(False)) | F.col("seq").isNull() | ((F.col("seq") != 0) & F.col("_known").isNull()), "sequence")
+        .when(~F.col("prev_hash").eqNullSafe(F.when(F.col("seq") == 0, F.lit("0" * 64)).otherwise(F.col("_before"))), "link")
+        .when(~F.col("this_hash").eqNullSafe(own), "hash")
     )
-    broken = audit.withColumn("kind", kind)
+    broken = joined.select(audit[group].alias(group), "seq", kind.alias("kind"))
     first = F.min(F.when(F.col("kind").isNotNull(), F.struct("seq", "kind"))).alias("first")
     return broken.groupBy(group).agg(F.count("*").alias("n"), first).select(group, "n", F.col("first.seq").alias("broken_at"), F.col("first.kind").alias("kind"))

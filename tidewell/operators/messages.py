@@ -87,6 +87,12 @@ def route(rules_ok: Column, first: Column, second: Column, arbiter: Column) -> t
     return state, reason
 
 
+def evidence_status(evidence: Column, message: Column) -> Column:
+    """VAL4: 'found' if every quoted fragment of the evidence is in the message, 'missing' if one is not, 'n/a' without any."""
+    parts = F.filter(F.regexp_extract_all(evidence, F.lit('"([^"]*)"'), F.lit(1)), lambda x: F.trim(x) != "")
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) <= 0, "n/a").when(F.forall(parts, lambda x: F.contains(message, x)), "found").otherwise("missing")
+
+
 def categorise(text: Column) -> Column:
     """VAL13: the category with the most matched stems, ties by name, with its confidence."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -108,12 +114,15 @@ def term_index(docs: DataFrame, key: str, *columns: str) -> DataFrame:
 def search(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """Keys that hold every word of a query. ``queries`` has query, word; a final ``*`` asks for a prefix.
 
-    Exact words meet the index in an equi-join on the term, prefixes in one on the term's beginning.
+    Exact words meet the index in an equi-join on the term, prefixes in one on the term's beginning, for which only
+    beginnings of the lengths that are asked for are made.
     """
     asked = queries.withColumn("n", F.count("*").over(Window.partitionBy("query")))
     exact = asked.where("NOT word LIKE '%*'").join(index, F.col("word") == F.col("term")).select("query", "word", "n", key)
     prefixes = asked.where("word LIKE '%*'").withColumn("head", F.regexp_replace("word", r"\*$", ""))
-    starts = index.withColumn("head", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("term"), F.lit(8))), lambda k: F.col("term").substr(F.lit(1), k))))
+    lengths = sorted(r["n"] for r in prefixes.select(F.length("head").alias("n")).distinct().collect())  # of the asked words only
+    long_enough = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("term"))
+    starts = index.withColumn("head", F.explode(F.transform(long_enough, lambda k: F.col("term").substr(F.lit(1), k))))
     begun = prefixes.join(starts, "head").select("query", "word", "n", key)
     found = exact.unionByName(begun).groupBy("query", key, "n").agg(F.countDistinct("word").alias("hits"))
     return found.where("hits = n").select("query", key)

@@ -63,6 +63,22 @@ def _checked(pii_type: str):
     return lambda s: CHECKS[pii_type](s["surface"])
 
 
+def located(text: Column, values: tuple[str, ...]) -> Column:
+    """PII15: the spans of planted values, the longest first, none overlapping."""
+    found = [matches(text, r"\Q" + v.replace(r"\E", r"\E\\E\Q") + r"\E", "PLANTED") for v in values]
+    return without_overlap(F.concat(*found), "longest", "earliest", "type")
+
+
+def snapped(text: Column, start: Column, stop: Column, letter: str = "[A-Za-zÀ-ÿ]", trail: str = "[ ,;:!?)]+") -> tuple[Column, Column]:
+    """PII8: offsets without trailing marks (a dot stays, as of an abbreviation), then out to whole words on both sides."""
+    end = stop - F.length(F.regexp_extract(text.substr(start + 1, stop - start), f"{trail}$", 0))
+    first, last = text.substr(start + 1, F.lit(1)), text.substr(end, F.lit(1))
+    before = F.regexp_extract(text.substr(F.lit(1), start), f"{letter}*$", 0)
+    after = F.regexp_extract(text.substr(end + 1, F.length(text)), f"^{letter}*", 0)
+    begin = start - F.when(first.rlike(f"^{letter}$"), F.length(before)).otherwise(0)
+    return begin, end + F.when((end > 0) & last.rlike(f"^{letter}$"), F.length(after)).otherwise(0)
+
+
 def exploded(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
     return df.select(key, F.explode(spans).alias("s")).select(key, "s.*")
 

@@ -58,12 +58,20 @@ def val3_rule_verdict(spark, d):
     return rows.withColumn("v", verdict).select("conv_id", "turn", "v.vocative_ok", "v.duplicate", "v.register_ok", "v.bleed", "v.pricing_ok", F.concat_ws(",", F.when(F.col("g").isNull(), "vocative"), F.when(F.col("f").isNull(), "register"), F.lit("pricing")).alias("unchecked"))
 
 
-@area.query("SELECT a.conv_id, a.turn, CASE WHEN a.turn % 5 = 0 THEN 'n/a' WHEN contains(b.text, substr(a.text, 1, 12)) THEN 'found' ELSE 'missing' END AS evidence FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@area.query(
+    r"""WITH c AS (SELECT a.conv_id, a.turn, b.text AS message, CASE WHEN a.turn % 5 = 0 THEN 'none' ELSE '"' || substr(b.text, 3, 12) || '", "' || CASE WHEN a.turn % 3 = 0 THEN substr(a.text, 1, 12) ELSE substr(b.text, 20, 9) END || '"' END AS evidence
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+f AS (SELECT *, list_filter(regexp_extract_all(evidence, '"([^"]*)"', 1), lambda x: trim(x) <> '') AS parts FROM c)
+SELECT conv_id, turn, CASE WHEN len(parts) = 0 THEN 'n/a' WHEN len(list_filter(parts, lambda x: NOT contains(message, x))) = 0 THEN 'found' ELSE 'missing' END AS evidence FROM f"""
+)
 def val4_evidence(spark, d):
+    """Evidence of two quotes, some of them from another message, against the message that it is on."""
     conv = table(spark, d, "conversations")
-    after = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    state = F.when(F.col("turn") % 5 == 0, "n/a").when(F.contains("next", F.substring("text", 1, 12)), "found").otherwise("missing")
-    return conv.join(after, ["conv_id", "turn"]).select("conv_id", "turn", state.alias("evidence"))
+    after = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("message"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    second = F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.substring("message", 20, 9))
+    evidence = F.when(F.col("turn") % 5 == 0, "none").otherwise(F.concat(quoted(F.substring("message", 3, 12)), F.lit(", "), quoted(second)))
+    return conv.join(after, ["conv_id", "turn"]).select("conv_id", "turn", M.evidence_status(evidence, F.col("message")).alias("evidence"))
 
 
 @area.query(
@@ -162,7 +170,7 @@ def val13_categories(spark, d):
 
 # ---- search and filters
 
-QUERIES = {"q1": ("der", "und"), "q2": ("sch*", "zu"), "q3": ("license", "the"), "q4": ("com*", "para")}
+QUERIES = {"q1": ("der", "und"), "q2": ("sch*", "zu"), "q3": ("license", "the"), "q4": ("com*", "para"), "q5": ("c*", "internatio*"), "q6": ("p*", "d*")}
 FOLDED = "translate(lower(text), 'áàâäãåčçďéèêëěíìîïňñóòôöõřšťúùûüůýÿž', 'aaaaaaccdeeeeeiiiinnooooorstuuuuuyyz')"
 
 

@@ -14,21 +14,33 @@ from tidewell.plans.registry import Registry
 from tidewell.session import table
 
 area = Registry()
-TYPES = ("EMAIL", "PHONE", "BBAN", "PSC")
+TYPES = A.RULES
+#: The checks of the types that have a checksum, on the matched text ``m[k]``.
+_DIGITS = "regexp_replace(m[k], '[^0-9]', '', 'g')"
+_MONTH = "CASE WHEN mm BETWEEN 1 AND 12 THEN mm WHEN mm BETWEEN 21 AND 32 THEN mm - 20 WHEN mm BETWEEN 51 AND 62 THEN mm - 50 WHEN mm BETWEEN 71 AND 82 THEN mm - 70 END"
+CHECK_SQL = {
+    "ICO": f"substr({_DIGITS}, 8, 1)::INT = (11 - list_sum(list_transform(range(1, 8), lambda i: substr({_DIGITS}, i, 1)::INT * (9 - i)))::INT % 11) % 10",
+    "RC": f"""(SELECT coalesce(mo IS NOT NULL AND try_cast(printf('%04d-%02d-%02d', CASE WHEN length(x) = 9 THEN 2000 WHEN yy >= 54 THEN 1900 + yy ELSE 2000 + yy END, mo, dd) AS DATE) IS NOT NULL
+ AND (length(x) = 9 OR right(x, 1)::INT = CASE WHEN left(x, 9)::BIGINT % 11 = 10 THEN 0 ELSE left(x, 9)::BIGINT % 11 END), false)
+ FROM (SELECT *, {_MONTH} AS mo FROM (SELECT x, substr(x, 1, 2)::INT AS yy, substr(x, 3, 2)::INT AS mm, substr(x, 5, 2)::INT AS dd FROM (SELECT replace(m[k], '/', '') AS x))))""",
+    "IBAN_CZ": f"(substr({_DIGITS}, 3, 20) || '1235' || substr({_DIGITS}, 1, 2))::DECIMAL(38, 0) % 97 = 1",
+}
 
 
 def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "text")
 
 
-def _sql_spans(pattern: str, pii_type: str) -> str:
+def _sql_spans(pattern: str, pii_type: str, check: str = "true") -> str:
     """One row per match with offsets, from the gaps between matches."""
     p = pattern.replace("'", "''")
     return f"""SELECT doc_id, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT AS start, length(m[k])::INT AS n, '{pii_type}' AS pii_type, m[k] AS surface
-FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM documents))"""
+FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM documents)) WHERE {check}"""
 
 
-SPANS = "sp AS (" + " UNION ALL ".join(_sql_spans(I.SHAPES[t], t) for t in TYPES) + "), spans AS (SELECT doc_id, start, start + n AS stop, pii_type, surface FROM sp)"
+_FOUND = "), spans AS (SELECT doc_id, start, start + n AS stop, pii_type, surface FROM sp)"
+SHAPED = "sp AS (" + " UNION ALL ".join(_sql_spans(p, t) for t, p in I.SHAPES.items()) + _FOUND
+SPANS = "sp AS (" + " UNION ALL ".join(_sql_spans(I.SHAPES[t], t, CHECK_SQL.get(t, "true")) for t in TYPES) + _FOUND
 #: Greedy choice per text: a fold over lists of one span each.
 RULED = (
     SPANS
@@ -42,9 +54,9 @@ def _ruled(spark, d):
     return A.exploded(_docs(spark, d).select("doc_id", A.rule_spans(F.col("text"), TYPES).alias("spans")), "doc_id")
 
 
-@area.query(f"WITH {SPANS} SELECT doc_id, pii_type, start, stop, surface FROM spans")
+@area.query(f"WITH {SHAPED} SELECT doc_id, pii_type, start, stop, surface FROM spans")
 def pii1_shapes(spark, d):
-    parts = [A.matches(F.col("text"), I.SHAPES[t], t) for t in TYPES]
+    parts = [A.matches(F.col("text"), pattern, t) for t, pattern in I.SHAPES.items()]
     return A.exploded(_docs(spark, d).select("doc_id", F.concat(*parts).alias("spans")), "doc_id")
 
 
@@ -112,23 +124,31 @@ def pii6_join_fragments(spark, d):
 
 
 @area.query(
-    f"""WITH {RULED}, {MODEL_SQL}, al AS (SELECT doc_id, start, stop, pii_type, 'rule' AS source, CASE WHEN pii_type = 'PSC' THEN 2 ELSE 0 END AS tier, 0.0::DOUBLE AS conf FROM ruled UNION ALL SELECT doc_id, start, stop, pii_type, 'model', 1, confidence FROM model WHERE start % 5 = 0),
+    f"""WITH {RULED}, {MODEL_SQL}, al AS (SELECT doc_id, start, stop, pii_type, 'rule' AS source, CASE WHEN pii_type = 'PSC' THEN 2 ELSE 0 END AS tier, 0.0::DOUBLE AS conf FROM ruled UNION ALL SELECT doc_id, start, stop, pii_type, 'model', 1, confidence FROM model),
 o AS (SELECT doc_id, list([{{'start': start, 'stop': stop, 'pii_type': pii_type, 'source': source}}] ORDER BY tier, -conf, start, stop, pii_type) AS l FROM al GROUP BY doc_id),
 k AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.start < x[1].stop AND x[1].start < k.stop)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS s FROM o)
 SELECT doc_id, s.start AS start, s.stop AS stop, s.pii_type AS pii_type, s.source AS source FROM k"""
 )
 def pii7_merge(spark, d):
     rules = _ruled(spark, d).select("doc_id", "start", "stop", "pii_type", F.lit("rule").alias("source"), F.lit(None).cast("double").alias("confidence"))
-    model = _model(spark, d).where("start % 5 = 0").select("doc_id", "start", "stop", "pii_type", F.lit("model").alias("source"), "confidence")
+    model = _model(spark, d).select("doc_id", "start", "stop", "pii_type", F.lit("model").alias("source"), "confidence")
     return A.merge_by_precedence(rules.unionByName(model), "doc_id")
 
 
-@area.query(f"WITH {MODEL_SQL} SELECT doc_id, start, start + length(regexp_extract(substr(text, start + 1), '^[A-Za-zÀ-ÿ]+')) AS stop FROM (SELECT doc_id, start, text FROM model JOIN documents USING (doc_id))")
+LETTER, TRAIL = "[A-Za-zÀ-ÿ]", "[ ,;:!?)]+"
+
+
+@area.query(
+    f"""WITH {MODEL_SQL}, l AS (SELECT doc_id, greatest(start - 2, 0) AS a, stop + confidence::INT AS b, text FROM model JOIN documents USING (doc_id)),
+t AS (SELECT doc_id, a, b - length(regexp_extract(substr(text, a + 1, b - a), '{TRAIL}$')) AS b, text FROM l)
+SELECT doc_id, (a - CASE WHEN regexp_full_match(substr(text, a + 1, 1), '{LETTER}') THEN length(regexp_extract(left(text, a), '{LETTER}*$')) ELSE 0 END)::INT AS start,
+(b + CASE WHEN b > 0 AND regexp_full_match(substr(text, b, 1), '{LETTER}') THEN length(regexp_extract(substr(text, b + 1), '^{LETTER}*')) ELSE 0 END)::INT AS stop FROM t"""
+)
 def pii8_word_snap(spark, d):
-    """Spans extended to the end of their word."""
-    joined = _model(spark, d).select("doc_id", "start").join(_docs(spark, d), "doc_id")
-    rest = F.col("text").substr(F.col("start") + 1, F.length("text"))
-    return joined.select("doc_id", "start", (F.col("start") + F.length(F.regexp_extract(rest, "^[A-Za-zÀ-ÿ]+", 0))).alias("stop"))
+    """Spans that begin or end within a word or with the marks after it: marks off, then to the whole word on both sides."""
+    loose = _model(spark, d).select("doc_id", F.greatest(F.col("start") - 2, F.lit(0)).alias("start"), (F.col("stop") + F.bround("confidence").cast("int")).alias("stop"))
+    start, stop = A.snapped(F.col("text"), F.col("start"), F.col("stop"))
+    return loose.join(_docs(spark, d), "doc_id").select("doc_id", start.alias("start"), stop.alias("stop"))
 
 
 NAMES = ("Novák", "Nováka", "Novákovi", "Nováková", "Novákové", "Černý", "Černého", "Hájek", "Hájka", "Pavel", "Pavla", "Svoboda", "Svobodou", "Dvořák", "Dvořákem")
@@ -203,9 +223,26 @@ def pii14_session_vault(spark, d):
     return per.select("session", "entity", F.format_string("<EVENT_%d>", k).alias("token"), "uses")
 
 
-@area.query("SELECT doc_id, length(text) AS n, length(text) BETWEEN 80 AND 1500 AS fits, (length(text) - length(replace(text, 'License', ''))) // 7 AS planted FROM documents")
+#: Stand-in for a corpus' planted values, longest first; one of them is part of another.
+PLANTED = ("License", "licen", "password", "word", "die ", "the ")
+PLANTED_SQL = f"""pl AS (SELECT doc_id, text, unnest([{", ".join(f"'{p}'" for p in PLANTED)}]) AS value FROM documents),
+oc AS (SELECT doc_id, value, (list_sum(list_transform(g[1:k], lambda x: length(x))) + (k - 1) * length(value))::INT AS start FROM (SELECT doc_id, value, string_split(text, value) AS g, unnest(range(1, len(string_split(text, value)))) AS k FROM pl)),
+ol AS (SELECT doc_id, list([{{'start': start, 'stop': (start + length(value))::INT, 'value': value}}] ORDER BY -length(value), start, value) AS l FROM oc GROUP BY doc_id),
+gold AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.start < x[1].stop AND x[1].start < k.stop)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS s FROM ol)"""
+
+
+@area.query(
+    f"""WITH {PLANTED_SQL}, g AS (SELECT doc_id, count(*) AS found, string_agg(s.value || '@' || s.start, ' ' ORDER BY s.start) AS located FROM gold GROUP BY doc_id)
+SELECT d.doc_id, length(text) BETWEEN 80 AND 1500 AS fits, {" AND ".join(f"contains(text, '{p}')" for p in PLANTED)} AS complete, coalesce(found, 0) AS found, coalesce(located, '') AS located FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
+)
 def pii15_planted_values(spark, d):
-    return _docs(spark, d).select("doc_id", F.length("text").alias("n"), F.length("text").between(80, 1500).alias("fits"), F.regexp_count("text", F.lit("License")).alias("planted"))
+    """Whether all planted values are there and the length fits, and where they are: longest first, none overlapping."""
+    spans = A.located(F.col("text"), PLANTED)
+    where = F.array_join(F.transform("spans", lambda s: F.concat(s["surface"], F.lit("@"), s["start"].cast("string"))), " ")
+    complete = F.lit(True)
+    for p in PLANTED:
+        complete = complete & F.contains("text", F.lit(p))
+    return _docs(spark, d).withColumn("spans", spans).select("doc_id", F.length("text").between(80, 1500).alias("fits"), complete.alias("complete"), F.size("spans").cast("long").alias("found"), where.alias("located"))
 
 
 @area.query(
@@ -267,20 +304,21 @@ def ev7_ev9_strict_scores(spark, d):
 
 
 @area.query(
-    f"""WITH {RULED}, g AS (SELECT doc_id, start, stop, pii_type FROM ruled WHERE pii_type = 'EMAIL'), p AS (SELECT doc_id, start + 2 AS start, stop + 3 AS stop, pii_type FROM ruled WHERE pii_type = 'EMAIL' AND doc_id % 3 <> 0),
-m AS (SELECT g.doc_id, g.start AS gs, p.start AS ps, least(g.stop, p.stop) - greatest(g.start, p.start) AS ov FROM g JOIN p ON g.doc_id = p.doc_id AND g.pii_type = p.pii_type AND g.start < p.stop AND p.start < g.stop),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gs ORDER BY ov DESC, ps) AS a, row_number() OVER (PARTITION BY doc_id, ps ORDER BY ov DESC, gs) AS c FROM m)
-SELECT (SELECT count(*) FROM b WHERE a = 1 AND c = 1) AS tp, (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM p) AS predicted"""
+    f"""WITH {RULED}, g AS (SELECT doc_id, start, stop, pii_type FROM ruled), p AS (SELECT doc_id, CASE WHEN start % 4 = 0 THEN start ELSE start + 2 END AS start, CASE WHEN start % 4 = 0 THEN stop ELSE stop + 9 END AS stop, CASE WHEN pii_type = 'PSC' AND start % 3 = 0 THEN 'ADDRESS' ELSE pii_type END AS pii_type FROM ruled WHERE doc_id % 3 <> 0),
+exact AS (SELECT g.doc_id, g.start, g.stop, g.pii_type FROM g JOIN p USING (doc_id, start, stop, pii_type)),
+g2 AS (SELECT * FROM g EXCEPT SELECT * FROM exact), p2 AS (SELECT * FROM p EXCEPT SELECT * FROM exact),
+m AS (SELECT g2.doc_id, g2.start AS gs, g2.stop AS ge, p2.start AS ps, p2.stop AS pe, least(g2.stop, p2.stop) - greatest(g2.start, p2.start) AS ov, p2.pii_type AS t FROM g2 JOIN p2 ON g2.doc_id = p2.doc_id AND (g2.pii_type = p2.pii_type OR g2.pii_type = 'PSC' AND p2.pii_type = 'ADDRESS') AND g2.start < p2.stop AND p2.start < g2.stop),
+l AS (SELECT doc_id, list([{{'gs': gs, 'ge': ge, 'ps': ps, 'pe': pe, 't': t}}] ORDER BY -ov, gs, ps, ge, pe, t) AS l FROM m GROUP BY doc_id),
+k AS (SELECT doc_id, len(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: (k.gs = x[1].gs AND k.ge = x[1].ge) OR (k.ps = x[1].ps AND k.pe = x[1].pe AND k.t = x[1].t))) > 0 THEN acc ELSE list_concat(acc, x) END)) AS n FROM l)
+SELECT (SELECT count(*) FROM exact) AS strict, (SELECT coalesce(sum(n), 0)::BIGINT FROM k) AS partial, (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM p) AS predicted"""
 )
 def ev8_partial_matching(spark, d):
-    """Shifted predictions matched one to one by the largest overlap: an interval join within each text."""
-    mail = _ruled(spark, d).where("pii_type = 'EMAIL'").select("doc_id", "start", "stop")
-    pred = mail.where("doc_id % 3 <> 0").select("doc_id", (F.col("start") + 2).alias("ps"), (F.col("stop") + 3).alias("pe"))
-    pairs = mail.join(pred, "doc_id").where("start < pe AND ps < stop").withColumn("ov", F.least("stop", "pe") - F.greatest("start", "ps"))
-    a = F.row_number().over(Window.partitionBy("doc_id", "start").orderBy(F.desc("ov"), "ps"))
-    c = F.row_number().over(Window.partitionBy("doc_id", "ps").orderBy(F.desc("ov"), "start"))
-    tp = pairs.withColumn("a", a).withColumn("c", c).agg(F.count_if((F.col("a") == 1) & (F.col("c") == 1)).alias("tp"))
-    return tp.crossJoin(mail.agg(F.count("*").alias("gold"))).crossJoin(pred.agg(F.count("*").alias("predicted")))  # one row each
+    """Shifted predictions of all types: exact ones first, the rest one to one by the largest overlap within each text."""
+    gold = _ruled(spark, d).select("doc_id", "start", "stop", "pii_type")
+    stays = F.col("start") % 4 == 0
+    kind = F.when((F.col("pii_type") == "PSC") & (F.col("start") % 3 == 0), "ADDRESS").otherwise(F.col("pii_type"))
+    pred = gold.where("doc_id % 3 <> 0").select("doc_id", F.when(stays, F.col("start")).otherwise(F.col("start") + 2).alias("start"), F.when(stays, F.col("stop")).otherwise(F.col("stop") + 9).alias("stop"), kind.alias("pii_type"))
+    return E.partial_matches(gold, pred, "doc_id")
 
 
 @area.query(f"WITH {TOKENS} SELECT pii_type, count(*) AS spans, count(DISTINCT doc_id || entity) AS entities, round(1 - count(DISTINCT doc_id || entity) / count(*)::DOUBLE, 6) AS unification FROM tok GROUP BY 1")
@@ -400,15 +438,18 @@ def txt9_cut_at_word(spark, d):
 NQ = r"rtrim(lower(trim(regexp_replace(regexp_replace({0}, '[\x{{22}}\x{{27}}\x{{AB}}\x{{BB}}\x{{2018}}-\x{{201F}}]', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), '.,!?;: ')"
 
 
-@area.query(f"WITH q AS (SELECT doc_id, text, upper(substr(text, doc_id % 40 + 1, 30)) AS quote FROM documents) SELECT doc_id, {NQ.format('quote')} <> '' AND contains({NQ.format('text')}, {NQ.format('quote')}) AS found FROM q WHERE lang = 'en'".replace("SELECT doc_id, text, upper", "SELECT doc_id, lang, text, upper"))
+@area.query(f"WITH q AS (SELECT doc_id, text, '»  ' || substr(text, doc_id % 40 + 1, 30) || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END || ' !«' AS quote FROM documents) SELECT doc_id, {NQ.format('quote')} <> '' AND contains({NQ.format('text')}, {NQ.format('quote')}) AS found FROM q")
 def txt10_quote_found(spark, d):
-    q = F.upper(F.col("text").substr((F.col("doc_id") % 40 + 1).cast("int"), F.lit(30)))
-    return _docs(spark, d).where("lang = 'en'").select("doc_id", X.quote_found(q, F.col("text")).alias("found"))
+    """Quotes in marks with added spaces and end marks; every third has a letter too many."""
+    piece = F.col("text").substr((F.col("doc_id") % 40 + 1).cast("int"), F.lit(30))
+    q = F.concat(F.lit("»  "), piece, F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""), F.lit(" !«"))
+    return _docs(spark, d).select("doc_id", X.quote_found(q, F.col("text")).alias("found"))
 
 
-@area.query("SELECT doc_id, md5(lower(text)) AS lower_md5, length(upper(text)) = length(text) AS upper_fits FROM documents WHERE length(lower(text)) = length(text) AND NOT contains(text, 'ß')")
+@area.query("SELECT doc_id, md5(lower(text)) AS lower_md5, length(text) = length(replace(text, 'ß', 'SS')) AS upper_fits FROM documents WHERE length(lower(text)) = length(text)")
 def txt11_recase(spark, d):
-    docs = _docs(spark, d).where("NOT contains(text, 'ß')")
+    """Texts whose lower case is as long as they are, and whether their upper case is too. (In the SQL ß becomes SS.)"""
+    docs = _docs(spark, d)
     return docs.where(F.length(F.lower("text")) == F.length("text")).select("doc_id", F.md5(F.lower("text")).alias("lower_md5"), (F.length(F.upper("text")) == F.length("text")).alias("upper_fits"))
 
 
