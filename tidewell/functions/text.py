@@ -6,6 +6,9 @@ that this file holds no invisible characters.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,11 @@ CLASSES = {
     "WS_EDGE": r"(?:^[\x20\x09-\x0D]|[\x20\x09-\x0D]$)",
 }
 CRITICAL = ("ZW", "BIDI", "C0", "C1", "PUA", "VS", "TAGS", "NONCHAR", "FFFD", "MOJI", "ESCSEQ_X000D")
-# Named entities that occur in the feeds; numeric ones are computed.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "eacute": "é", "Atilde": "Ã", "cent": "¢", "Acirc": "Â", "ndash": "–", "mdash": "—", "hellip": "…", "trade": "™", "amp": "&"}
+#: The named entities of HTML5, name to characters.
+ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+# What cleaning removes, what it turns into a space, and sequences that no decoding repairs.
 REMOVED = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x00-\x08\x0E-\x1F\x7F\x{80}-\x{84}\x{86}-\x{9F}\x{AD}\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFF}\x{FE00}-\x{FE0F}\x{E0000}-\x{E01EF}\x{FFFD}\x{FFF0}-\x{FFF8}\x{FFFE}\x{FFFF}]"
 TO_SPACE = r"(?:_x000D_|[\x{A0}\x{2028}\x{2029}\x{85}\x0B\x0C\x09\x0D])"
-#: Undecodable sequences that are known, after unescaping.
 KNOWN_BROKEN = {"Ã¢ÂÂ¢": "™"}
 
 
@@ -52,8 +55,10 @@ def _unescape_once(text: Column) -> Column:
     code = lambda n: F.when(n.startswith("x"), F.conv(n.substr(2, 8), 16, 10)).otherwise(n).cast("int")
     char = lambda c: F.when(c.between(32, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
     out = F.aggregate(numbers, text, lambda s, n: F.replace(s, F.concat(F.lit("&#"), n, F.lit(";")), let(code(n), char)))
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]{1,31});"), 1))
+    known = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folded into one constant
+    named = F.filter(F.transform(names, lambda n: F.struct(n.alias("name"), F.try_element_at(known, n).alias("value"))), lambda x: x["value"].isNotNull())
+    out = F.aggregate(named, out, lambda s, x: F.replace(s, F.concat(F.lit("&"), x["name"], F.lit(";")), x["value"]))
     return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
@@ -66,9 +71,13 @@ def unescape(text: Column, rounds: int = 4) -> Column:
 
 
 def repair_mojibake(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1: re-encoded where the text has the pattern and every character fits."""
-    fits = lambda s: s.rlike(CLASSES["MOJI"]) & s.rlike(r"^[\x00-\x{FF}]*$")
-    return let(text, lambda s: F.when(fits(s), F.try_to_binary(F.hex(F.encode(s, "ISO-8859-1")), F.lit("hex")).cast("string")).otherwise(s))
+    """UTF-8 that was read as Latin-1: each run of Latin-1 characters with the pattern that is valid UTF-8 is re-encoded."""
+    raw = lambda s: F.try_to_binary(F.hex(F.encode(s, "ISO-8859-1")), F.lit("hex")).cast("string")
+    whole = lambda s: F.when(s.rlike(CLASSES["MOJI"]), F.coalesce(F.try_validate_utf8(raw(s)), s)).otherwise(s)
+    others = r"[^\x00-\x{FF}]+"
+    runs, between = F.split(text, others, -1), F.regexp_extract_all(text, F.lit(others), F.lit(0))
+    pieces = F.zip_with(F.transform(runs, whole), between, lambda r, o: F.concat(r, F.coalesce(o, F.lit(""))))
+    return F.when(text.rlike(CLASSES["MOJI"]), F.array_join(pieces, "")).otherwise(text)
 
 
 def strip_html(text: Column) -> Column:
@@ -149,7 +158,7 @@ def clean_nested(df: DataFrame, column: str) -> DataFrame:
 
     def walk(value: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
-            return tidy(value)
+            return clean_text(value)
         if isinstance(kind, T.ArrayType):
             return F.transform(value, lambda x: walk(x, kind.elementType))
         if isinstance(kind, T.MapType):

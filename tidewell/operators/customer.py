@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.sampling import positions
+
 DAY = 86400
 
 
@@ -69,8 +71,29 @@ def character_budget(rows: DataFrame, group: str, order: list[Column], line: str
     return used.where(before < cap).withColumn(line, F.when(F.col("used") <= cap, F.col(line)).otherwise(F.col(line).substr(F.lit(1), (F.lit(cap) - before).cast("int"))))
 
 
-def pair_within(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str) -> DataFrame:
-    """WIN9: the k-th row of a group on the left takes the k-th row of that group on the right."""
-    a = left.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(left_id)))
-    b = right.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(right_id)))
-    return a.join(b, [group, "k"])
+def pair_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *groups: str) -> DataFrame:
+    """WIN9: the k-th row of a group on the left takes the k-th row of that group on the right, in hash order of the ids;
+    without groups, of all rows."""
+    return positions(left, left_id, *groups).join(positions(right, right_id, *groups), [*groups, "pos"]).drop("pos")
+
+
+def nearest_controls(items: DataFrame, flagged: str, kind: str, size: str, key: str, n: int = 3) -> DataFrame:
+    """JN11: for each flagged row the ``n`` others of its kind with the nearest size, ties by key: rows (dirty, clean).
+
+    Rows are first reduced to the distinct sizes of each kind, each with its ``n`` smallest keys. Windows over these, one
+    row per distinct size, bring each size the next ``n`` sizes that have controls below and above; a flagged row finds
+    its controls among them, however far away they are.
+    """
+    of = items.groupBy(kind, size).agg(F.slice(F.sort_array(F.collect_set(F.when(~F.col(flagged), F.col(key)))), 1, n).alias("_ids"))
+    sizes = of.withColumn("_own", F.when(F.size("_ids") > 0, F.transform("_ids", lambda i: F.struct(F.col(size).alias("size"), i.alias("id")))))
+    w = Window.partitionBy(kind).orderBy(size)
+    some = sizes.where("_own IS NOT NULL")
+    flat = lambda over: F.flatten(F.collect_list("_own").over(over))
+    some = some.select(kind, size, flat(w.rowsBetween(1 - n, 0)).alias("_down"), flat(w.rowsBetween(0, n - 1)).alias("_up"))
+    known = sizes.select(kind, size).join(some, [kind, size], "left")
+    below = F.last("_down", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("_up", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = known.select(kind, size, F.array_union(F.coalesce(below, F.array().cast("array<struct<size:long,id:long>>")), F.coalesce(above, F.array().cast("array<struct<size:long,id:long>>"))).alias("_near"))
+    asked = items.where(F.col(flagged)).select(F.col(key).alias("dirty"), kind, size).join(near, [kind, size])
+    ranked = F.slice(F.sort_array(F.transform("_near", lambda c: F.struct(F.abs(c["size"] - F.col(size)).alias("d"), c["id"].alias("id")))), 1, n)
+    return asked.select("dirty", F.explode(ranked).alias("c")).select("dirty", F.col("c.id").alias("clean"))

@@ -12,17 +12,21 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def positions(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``pos``, the place of each row from 0 in the order of the key's MD5.
+def positions(df: DataFrame, key: str, *groups: str, hashed: bool = False) -> DataFrame:
+    """``df`` with ``pos``, the place of each row from 0 in the order of the key's MD5, in its group if there are groups.
 
-    Numbering is in two levels, so that no task holds the table: counts of the 4096 prefixes of the hash give each prefix
-    its offset, and a window numbers the rows of one prefix.
+    Numbering is in two levels, so that no task holds the table or a group: counts of the 4096 prefixes of the hash give
+    each prefix its offset, and a window numbers the rows of one prefix. ``hashed``: the key is a hash already.
     """
-    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn("_slot", F.substring("_hash", 1, 3))
-    counts = hashed.groupBy("_slot").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_slot", (F.sum("_n").over(Window.orderBy("_slot")) - F.col("_n")).alias("_offset"))  # 4096 rows at most
-    within = F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", key)) - 1
-    return hashed.withColumn("_within", within).join(F.broadcast(offsets), "_slot").withColumn("pos", F.col("_offset") + F.col("_within")).drop("_hash", "_slot", "_n", "_offset", "_within")
+    order = F.col(key).cast("string") if hashed else F.md5(F.col(key).cast("string"))
+    slots = df.withColumn("_hash", order).withColumn("_slot", F.substring("_hash", 1, 3))
+    keys = [*groups, "_slot"]
+    counts = slots.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_slot")  # 4096 rows at most
+    offsets = counts.select(*keys, (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", key)) - 1
+    placed = slots.withColumn("_within", within).join(offsets, keys)
+    return placed.withColumn("pos", F.col("_offset") + F.col("_within")).drop("_hash", "_slot", "_offset", "_within")
 
 
 def next_prime(n: int) -> int:

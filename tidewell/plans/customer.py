@@ -435,18 +435,24 @@ def win8_minmax(spark, d):
 
 
 @area.query(
-    """WITH c AS (SELECT c_custkey AS user, c_nationkey AS grp, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
-s AS (SELECT s_suppkey AS partner, s_nationkey AS grp, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier), a AS (SELECT user, partner, 'group' AS how FROM c JOIN s USING (grp, k)),
-c2 AS (SELECT user, row_number() OVER (ORDER BY user) AS k FROM c WHERE user NOT IN (SELECT user FROM a)), s2 AS (SELECT partner, row_number() OVER (ORDER BY partner) AS k FROM s WHERE partner NOT IN (SELECT partner FROM a))
-SELECT * FROM a UNION ALL SELECT user, partner, 'left over' FROM c2 JOIN s2 USING (k)"""
+    """WITH u AS (SELECT c_custkey AS user, CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey END AS grp FROM customer), p AS (SELECT s_suppkey AS partner, s_nationkey AS grp FROM supplier),
+ku AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(user::VARCHAR), user) AS k FROM u WHERE grp IS NOT NULL), kp AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(partner::VARCHAR), partner) AS k FROM p),
+a AS (SELECT user, partner, 'group' AS how FROM ku JOIN kp USING (grp, k)),
+u2 AS (SELECT user, row_number() OVER (ORDER BY md5(user::VARCHAR), user) AS k FROM u WHERE grp IS NULL), p2 AS (SELECT partner, row_number() OVER (ORDER BY md5(partner::VARCHAR), partner) AS k FROM p WHERE partner NOT IN (SELECT partner FROM a)),
+b AS (SELECT user, partner, 'unknown' AS how FROM u2 JOIN p2 USING (k)), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+u3 AS (SELECT user, row_number() OVER (ORDER BY md5(user::VARCHAR), user) AS k FROM u WHERE user NOT IN (SELECT user FROM ab)), p3 AS (SELECT partner, row_number() OVER (ORDER BY md5(partner::VARCHAR), partner) AS k FROM p WHERE partner NOT IN (SELECT partner FROM ab))
+SELECT * FROM ab UNION ALL SELECT user, partner, 'left over' FROM u3 JOIN p3 USING (k)"""
 )
 def win9_pairing(spark, d):
-    """Two passes: by group, then what is left over by rank. Suppliers are the bounded side of the second pass."""
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("grp"))
+    """Three passes: by group, then users of unknown group, then whoever is left over; a fifth of the groups is unknown."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey")).alias("grp"))
     partners = table(spark, d, "supplier").select(F.col("s_suppkey").alias("partner"), F.col("s_nationkey").alias("grp"))
-    paired = C.pair_within(users, partners, "grp", "user", "partner").select("user", "partner", F.lit("group").alias("how"))
-    rest_u, rest_p = users.join(paired, "user", "left_anti").withColumn("all", F.lit(1)).drop("grp"), partners.join(paired, "partner", "left_anti").withColumn("all", F.lit(1)).drop("grp")
-    return paired.union(C.pair_within(rest_u, rest_p, "all", "user", "partner").select("user", "partner", F.lit("left over")))
+    done = C.pair_within(users.where("grp IS NOT NULL"), partners, "user", "partner", "grp").select("user", "partner", F.lit("group").alias("how"))
+    for left, how in ((users.where("grp IS NULL"), "unknown"), (users, "left over")):
+        rest = left.join(done, "user", "left_anti").select("user")
+        free = partners.join(done, "partner", "left_anti").select("partner")
+        done = done.union(C.pair_within(rest, free, "user", "partner").select("user", "partner", F.lit(how)))
+    return done
 
 
 @area.query(
@@ -600,15 +606,12 @@ def jn10_weighted_draw(spark, d):
 
 @area.query(
     """WITH g AS (SELECT doc_id, lang, n_chars, toxic FROM documents JOIN labels USING (doc_id)), t AS (SELECT * FROM g WHERE toxic = 1), c AS (SELECT * FROM g WHERE toxic = 0)
-SELECT t.doc_id AS dirty, c.doc_id AS clean FROM t JOIN c ON c.lang = t.lang AND c.n_chars // 2000 BETWEEN t.n_chars // 2000 - 1 AND t.n_chars // 2000 + 1
-QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY abs(c.n_chars - t.n_chars), c.doc_id) <= 3"""
+SELECT t.doc_id AS dirty, c.doc_id AS clean FROM t JOIN c ON c.lang = t.lang QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY abs(c.n_chars - t.n_chars), c.doc_id) <= 3"""
 )
 def jn11_nearest_controls(spark, d):
-    """For each flagged document the three clean ones of its language with the nearest length, by a bucketed range join."""
-    g = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "n_chars", "toxic", F.floor(F.col("n_chars") / 2000).alias("bucket"))
-    dirty = g.where("toxic = 1").select(F.col("doc_id").alias("dirty"), "lang", F.col("n_chars").alias("n"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    clean = g.where("toxic = 0").select(F.col("doc_id").alias("clean"), "lang", "n_chars", "bucket")
-    return C.top_per(dirty.join(clean, ["lang", "bucket"]), "dirty", [F.abs(F.col("n_chars") - F.col("n")), F.col("clean")], 3).select("dirty", "clean")
+    """For each flagged document the three clean ones of its language with the nearest length, however far."""
+    g = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", F.col("n_chars").cast("long").alias("n_chars"), (F.col("toxic") == 1).alias("flagged"))
+    return C.nearest_controls(g, "flagged", "lang", "n_chars", "doc_id")
 
 
 @area.query("SELECT d.doc_id, l.quality, l.toxic, b.item_id IS NOT NULL AS benchmark, p.url IS NOT NULL AS page FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id")

@@ -399,7 +399,10 @@ def txt2_strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
-@area.query(f"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(html, '{X.REMOVED}', '', 'g'), '{X.TO_SPACE}', ' ', 'g'), ' {{2,}}', ' ', 'g')), '') AS text FROM pages")
+TIDY_SQL = "nullif(trim(regexp_replace(regexp_replace(regexp_replace({0}, '" + X.REMOVED.replace("{", "{{").replace("}", "}}") + "', '', 'g'), '" + X.TO_SPACE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'), ' {{2,}}', ' ', 'g')), '')"
+
+
+@area.query(f"SELECT page_id, {TIDY_SQL.format('html')} AS text FROM pages")
 def txt1_tidy(spark, d):
     """The part of cleaning that regular expressions express alike everywhere."""
     return table(spark, d, "pages").select("page_id", X.tidy(F.col("html")).alias("text"))
@@ -410,6 +413,13 @@ def txt1_clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.clean_text(F.col("html"), html=True).alias("text"))
 
 
+@area.query(f"SELECT doc_id, {TIDY_SQL.format('source')} AS source, {TIDY_SQL.format('text')} AS text FROM documents")
+def txt5_clean_nested(spark, d):
+    """Cleaning within structs, arrays and maps; the given documents hold no entities, which the SQL leaves alone."""
+    nested = table(spark, d, "documents").select("doc_id", F.struct(F.array("text").alias("texts"), F.create_map(F.lit("source"), F.col("source")).alias("facts")).alias("n"))
+    return X.clean_nested(nested, "n").select("doc_id", F.col("n.facts")["source"].alias("source"), F.col("n.texts")[0].alias("text"))
+
+
 @area.query(None)
 def txt6_stage_trace(spark, d):
     """Class counts before, after unescaping and after cleaning."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers as I
+from tidewell.operators import sampling as S
 from tidewell.plans.customer import KEYS
 from tidewell.plans.registry import Registry
 from tidewell.session import ensure_checkpoint_dir, table
@@ -27,7 +28,7 @@ def _stream(spark, d, name):
 
 
 MASK = "text"
-for _kind in ("EMAIL", "PHONE", "BBAN"):
+for _kind in jobs.STREAMED:
     MASK = f"regexp_replace({MASK}, '{I.SHAPES[_kind]}', '<{_kind}>', 'g')"
 
 
@@ -67,6 +68,44 @@ def src2_commented_csv(spark, d):
     return back.where("n_nationkey IS NOT NULL").select("n_nationkey", "n_name", F.array_join("tags", "|").alias("tags"))
 
 
+@area.query("SELECT c_nationkey AS nation, 'Žďár ' || c_mktsegment AS place, array_to_string(list_sort(list_distinct(list(c_custkey % 10)))::VARCHAR[], '|') AS codes FROM customer GROUP BY ALL")
+def src3_legacy_csv(spark, d):
+    """Codes per (nation, place), through semicolon CSV in a legacy encoding."""
+    folder = _folder(spark)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows = table(spark, d, "customer").select("c_nationkey", F.concat(F.lit("Žďár "), "c_mktsegment").alias("place"), (F.col("c_custkey") % 10).alias("code"))
+    rows.write.csv(folder, sep=";", header=True, encoding="windows-1250")
+    back = readers.legacy_csv(spark, folder, "nation long, place string, code long")
+    return back.groupBy("nation", "place").agg(F.array_join(F.transform(F.sort_array(F.collect_set("code")), lambda c: c.cast("string")), "|").alias("codes"))
+
+
+@area.query("SELECT name, n, hint FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, NULL AS hint FROM {t}" for t in ("part", "orders", "lineitem")) + ") UNION ALL SELECT 'absent', NULL, 'build the tables first'")
+def src5_table_access(spark, d):
+    """Rows of tables opened by name, and the hint that a missing one gives."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(None).cast("string").alias("hint")) for name, df in readers.require_tables(spark, d, ("part", "orders", "lineitem")).items()]
+    try:
+        readers.require_tables(spark, d, ("absent",))
+        hint = None
+    except FileNotFoundError as e:
+        hint = str(e).rpartition(": ")[2]
+    parts.append(spark.range(1).select(F.lit("absent").alias("name"), F.lit(None).cast("long").alias("n"), F.lit(hint).alias("hint")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@area.query("SELECT ['ok', 'size-mismatch', 'md5-mismatch', 'missing'][(row_number() OVER (ORDER BY md5(s_name || chr(10))) - 1) % 4 + 1] AS state, count(*) AS n FROM supplier GROUP BY ALL".replace("SELECT [", "SELECT state, count(*) AS n FROM (SELECT [").replace(" AS state, count(*) AS n FROM supplier GROUP BY ALL", " AS state FROM supplier) GROUP BY state"))
+def src6_pinned_files(spark, d):
+    """One file per supplier against a manifest of which three quarters are off, each in its own way."""
+    folder = _folder(spark)
+    names = table(spark, d, "supplier").select("s_name")
+    names.repartition(names.count(), "s_name").write.option("maxRecordsPerFile", 1).text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    listed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+    k = S.positions(listed, "md5", hashed=True)
+    off = F.col("pos") % 4
+    manifest = k.select(F.when(off == 3, F.concat("name", F.lit(".gone"))).otherwise(F.col("name")).alias("name"), F.when(off == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(off == 2, "x").otherwise(F.col("md5")).alias("md5"))
+    return readers.verify_pinned(spark, folder, manifest).groupBy("state").agg(F.count("*").alias("n"))
+
+
 @area.query("SELECT conv_id, turn, length(text) AS n FROM conversations")
 def src4_wrapped_json(spark, d):
     """Conversations nested as one JSON document each, and exploded again."""

@@ -49,7 +49,8 @@ def commented_csv(spark: SparkSession, path: str, schema: str, lists: tuple[str,
 
 
 def legacy_csv(spark: SparkSession, path: str, schema: str, encoding: str = "windows-1250") -> DataFrame:
-    """SRC3: semicolon CSV in a legacy encoding; needs ``spark.sql.legacy.javaCharsets`` in the session."""
+    """SRC3: semicolon CSV in a legacy encoding, for which the session is set to accept all of Java's charsets."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.csv(path, schema=schema, sep=";", header=True, encoding=encoding)
 
 

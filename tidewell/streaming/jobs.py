@@ -20,10 +20,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.option("pathGlobFilter", name).parquet(folder) if single_file else reader.parquet(path)
 
 
+#: The types of the stream, in the order of masking. It blanks what has the shape, whether or not a checksum holds.
+STREAMED = ("EMAIL", "IBAN_CZ", "DIC", "RC", "BBAN", "PHONE", "ICO", "PSC")
+
+
 def masked_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """ST1: each text masked by type as it arrives; stateless, so any sink and mode will do."""
+    """ST1: each text masked by type as it arrives, longer shapes first; stateless, so any sink and mode will do."""
     out = F.col(text_col)
-    for kind in ("EMAIL", "PHONE", "BBAN"):
+    for kind in STREAMED:
         out = F.regexp_replace(out, I.SHAPES[kind], f"<{kind}>")
     return texts.withColumn(text_col, out)
 
