@@ -32,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, or a temporary one where none is set (tests)."""
+    """The shared folder for checkpoints: the cluster's own setting, or in local mode, where none is set, a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = configured or f"file://{tempfile.mkdtemp(prefix='tidewell-checkpoint-')}"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
