@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import math
 import re
 import time
@@ -16,13 +15,14 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from brute import brute_components, brute_fingerprint, brute_prediction, brute_queue
+
 from tidewell.llm import byte_bpe, components, exact_dedup, langid, mixing, quality, secrets, simhash, token_count, token_files, url_filter
 
 DATA = "/root/testdata/sf0.001"
@@ -106,32 +106,6 @@ def test_language_left_out_is_rejected_and_the_others_stay(spark):
         assert rest.where("language.rejected").count() == 0
 
 
-def brute_prediction(model, text):
-    """Language, score and rejection by dictionaries of n-grams and plain sums."""
-    clean = re.sub(r"\s+", " ", f" {''.join(c if c.isalpha() else ' ' for c in (text or '').lower())} ")
-    if not clean.strip():
-        return "und", 0.0, True
-    low = lambda x: x & 0xFFFFFFFF
-    counts = Counter()
-    for n in (1, 2, 3):
-        for k in range(len(clean) - n + 1):
-            c = [ord(x) for x in clean[k : k + n]]
-            h = low(c[0] * 2654435761)
-            if n > 1:
-                h = low((h ^ low(c[1] * 2246822519)) * 3266489917)
-            if n > 2:
-                h = low((h ^ low(c[2] * 668265263)) * 374761393)
-            counts[h >> 20] += 1
-    weights = {d: math.log1p(n) * float(model.idf[d]) for d, n in counts.items()}
-    norm = math.sqrt(sum(w * w for w in weights.values()))
-    scores = [sum(w * float(c[d]) for d, w in weights.items()) / norm for c in model.centroids]
-    best = max(range(len(scores)), key=scores.__getitem__)
-    middle, at = math.log2(len(counts)) - 0.5, model.limits[best]
-    k = min(max(int(math.floor(middle)), 0), len(at) - 1)
-    limit = at[0] if middle <= 0 else at[k] + (at[min(k + 1, len(at) - 1)] - at[k]) * (middle - k)
-    return model.langs[best], scores[best], scores[best] < limit
-
-
 def test_language_equals_brute_force(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.fit(df)
@@ -331,29 +305,6 @@ def test_a_task_that_fails_once_is_retried_and_leaves_nothing(spark, docs, tmp_p
 # ---- 4
 
 
-def brute_fingerprint(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    parts = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
-    counts = Counter(k for p in parts for h in [xxhash.xxh64_intdigest(p.encode(), seed=42)] for k in range(64) if h >> k & 1)
-    return sum(1 << k for k in range(64) if 2 * counts[k] > len(parts))
-
-
-def brute_components(values):
-    parent = {v: v for v in values}
-
-    def root(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for a in values:
-        for b in values:
-            if (a ^ b).bit_count() <= 3:
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {v: root(v) for v in values}
-
-
 def test_simhash_groups(docs, none):
     got = by_id(simhash.simhash_groups(docs), "fingerprint", "component_id")
     prints = [(i, brute_fingerprint(t)) for i, t in TEXTS]
@@ -462,57 +413,12 @@ def test_url_rules(spark):
 # ---- 8
 
 
-def brute_targets(sizes):
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
-    total, fixed = sum(sizes.values()), {}
-    while True:
-        free = [s for s in order if s not in fixed]
-        rest = total - sum(fixed.values())
-        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = [s for s in free if share[s] > 3 * sizes[s]]
-        if not over:
-            return fixed | share
-        fixed |= {s: 3 * sizes[s] for s in over}
-
-
-def brute_queue(rows, packet, max_epochs=3):
-    """Words taken by row, from one heap of the sources' next packets, served until the budget is spent."""
-    by_source = {}
-    for k, (i, source, text) in enumerate(rows):
-        size = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-        key = hashlib.md5(f"{'' if i is None else i}|{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
-        by_source.setdefault(source, []).append((key, k, size))
-    targets = brute_targets({s: sum(x[2] for x in q) for s, q in by_source.items()})
-
-    def packets(source):
-        done = 0
-        for _ in range(max_epochs):
-            for _, k, size in sorted(by_source[source]):
-                for at in range(0, size, packet):
-                    words = min(packet, size - at)
-                    done += words
-                    yield done / targets[source], source is None, source or "", done, k, words
-
-    lines = {s: packets(s) for s, q in by_source.items() if sum(x[2] for x in q)}
-    heap = [next(line) for line in lines.values()]
-    heapq.heapify(heap)
-    budget, taken = sum(x[2] for q in by_source.values() for x in q), Counter()
-    while budget and heap:
-        _, null, source, _, k, words = heap[0]
-        taken[k] += min(words, budget)
-        budget -= min(words, budget)
-        following = next(lines[None if null else source], None)
-        heapq.heapreplace(heap, following) if following else heapq.heappop(heap)
-    return targets, taken
-
-
 @pytest.mark.parametrize(("packet", "range_words"), [(3, 70), (256, 4_000_000)])
 def test_mixing_is_the_queue(spark, docs, none, monkeypatch, packet, range_words):
     monkeypatch.setattr(mixing, "RANGE_WORDS", range_words)
     many = [(i, f"src{i * i % 7}" if i % 5 else None, "w " * (i * 37 % 90) + "long " * (3000 * (i == 11))) for i in range(120)] + [(7, "hot", "copy of it")] * 9 + [(None, "hot", f"text {k}") for k in range(9)]
     for rows, df in ((many, spark.createDataFrame(many, "doc_id long, source string, text string").repartition(4)), (docs.select("doc_id", "source", "text").collect(), docs)):
-        targets, taken = brute_queue(rows, packet)
+        targets, taken, copies = brute_queue(rows, packet)
         got = mixing.mix(df, packet=packet).collect()
         key = lambda i, s, n: (str(i), str(s), n)
         want = Counter(key(i, s, taken[k]) for k, (i, s, _) in enumerate(rows))
@@ -523,9 +429,12 @@ def test_mixing_is_the_queue(spark, docs, none, monkeypatch, packet, range_words
             assert math.isclose(r["target"], targets[r["source"]], rel_tol=1e-9, abs_tol=1e-9) and 0 <= r["taken"] <= 3 * r["size"]
         spare = packet * (1 + len(targets))
         assert all(abs(totals[s] - targets[s]) <= spare for s in targets)
-        order = [(r["doc_id"], r["text"]) for r in mixing.mixed_documents(df, packet=packet).collect()]
-        served = {(i, t) for k, (i, _, t) in enumerate(rows) if taken[k]}
-        assert set(order) == served
+        order = Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(df, packet=packet).collect())
+        times, alike = Counter(k for k, _ in copies), Counter((i, t) for i, _, t in rows)
+        served = Counter()
+        for k, (i, _, t) in enumerate(rows):
+            served[i, t] = max(served[i, t], times[k])
+        assert order == Counter({x: n * alike[x] for x, n in served.items() if n})
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
 
@@ -534,7 +443,7 @@ def test_mixed_documents_come_in_the_order_of_their_finish_times(spark):
     rows = [(1, "a", "x " * 10), (2, "b", "y " * 10), (3, "b", "z " * 10)]
     # a: target 3 x 10 words at most, weight 5; b: the rest
     got = [r["doc_id"] for r in mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()]
-    targets, taken = brute_queue(rows, 256)
+    targets, taken, copies = brute_queue(rows, 256)
     assert Counter(got)[1] == math.ceil(taken[0] / 10) and set(got) == {rows[k][0] for k in taken if taken[k]}
 
 
