@@ -1,16 +1,26 @@
 """From raw documents to encoded training text: the five stages of the corpus pipeline.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A
+run writes what each stage keeps as Parquet into the folder that the cluster shares, and the next stage reads it from
+there: no stage is worked out twice, and a lost executor costs a reread.
+
+Defined results: documents with a null text or one without letters, and those of an unlearned language, go in the first
+stage; a null label is only left out of learning, a null source is a source of its own; of equal texts the largest
+identifier stays, of near ones the smallest; rows that repeat an identifier are judged by their texts in exact dedup and
+as one document in near-dedup; ties and very long texts are settled as the operators say; an empty table gives an empty
+result with the columns of its stage.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import byte_bpe, exact_dedup, langid, mixing, simhash
-from tidewell.session import table
+from tidewell.session import ensure_checkpoint_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +65,15 @@ STAGES = [
     ("byte-level BPE encoding and decoding", encode),
 ]
 
-#: Language ID, SimHash and BPE are not expressible in SQL; the tests hold the pipeline against a brute-force version.
+#: Language ID, SimHash and BPE are not expressible in SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    docs, folder = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs
