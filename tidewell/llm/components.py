@@ -25,6 +25,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is cut by a checkpoint; a round that changes nothing ends the search. Nothing but a count and a sum of
     hashes reaches the driver.
+
+    Defined results: links of a vertex to itself are left out, and with it a vertex that has no other; so are links with a
+    null end; links that repeat count once; an empty table gives an empty result.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

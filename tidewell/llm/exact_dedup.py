@@ -2,9 +2,12 @@
 
 Every input partition is one run: its rows as (SHA-256 digest, length, second hash, identifier), sorted by digest. In
 each round, groups of ``fan_in`` neighbouring runs exchange their rows by (run group, digest) and merge them, keeping of
-each digest the identifier that stays and the number of copies. After log(runs) rounds one run is left, dealt out over
-all tasks by digest. A group of copies that holds a third of all rows is thus at most ``fan_in`` rows per digest and
-merge task from the second round on, and partial aggregation shortens it before the first exchange.
+each digest the identifier that stays and the number of copies. With the default of eight, a round is three levels of the
+binomial tree in one multiway merge; with two, it is one. Spark has no exchange that keeps runs in order, so the merge of
+a round is its sort-based aggregation: what arrives is sorted by (run group, digest) again and reduced in one pass. After
+log(runs) rounds one run is left, dealt out over all tasks by digest. A group of copies that holds a third of all rows is
+thus at most ``fan_in`` rows per digest and merge task from the second round on, and partial aggregation shortens it
+before the first exchange.
 
 The digest is verified: rows merge only if digest, length and an independent 64-bit hash of the whole text agree.
 

@@ -4,7 +4,9 @@
 of ``THRESHOLDS`` into one boolean column. No user function, no shuffle: each row is judged where it is read.
 
 Defined results: a null text has no words and no lines; a text of fewer than three words has no repeated words; very long
-texts are judged whole; an empty table gives an empty result. Other columns are not touched.
+texts are judged whole; rows that repeat are rows of the result; an empty table gives an empty result. Other columns are
+not touched, but names that begin with ``_signal`` are the operator's own. Windows of a text count as equal if their
+64-bit hashes are: two of 10,000 windows that differ are taken as equal in one text of 10^11.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 
 
 class Threshold(NamedTuple):
-    """A text of ``n_words`` in [from_words, ...) fails if numerator / denominator lies outside [low, high]."""
+    """A text fails if numerator / denominator lies outside [low, high]; without a denominator it passes."""
 
     name: str
     numerator: str
@@ -55,22 +57,22 @@ def signals(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = null_as_empty(F.col(text_col))
     stop = sorted({w for x in STOP_WORDS for w in (x, x.capitalize())})
     staged = (
-        df.withColumn("_text", text)
-        .withColumn("_words", words(F.col("_text")))
-        .withColumn("_n", F.size("_words"))
-        .withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+        df.withColumn("_signal_text", text)
+        .withColumn("_signal_words", words(F.col("_signal_text")))
+        .withColumn("_signal_n", F.size("_signal_words"))
+        .withColumn("_signal_lines", F.filter(F.split("_signal_text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
         .withColumn(
-            "_windows",
+            "_signal_windows",
             F.sort_array(
                 F.transform(
-                    F.when(F.col("_n") >= 3, F.sequence(F.lit(0), F.col("_n") - 3)).otherwise(F.array().cast("array<int>")),
-                    lambda p: F.struct(F.xxhash64(F.get("_words", p), F.get("_words", p + 1), F.get("_words", p + 2)).alias("h"), p.alias("p")),
+                    F.when(F.col("_signal_n") >= 3, F.sequence(F.lit(0), F.col("_signal_n") - 3)).otherwise(F.array().cast("array<int>")),
+                    lambda p: F.struct(F.xxhash64(F.get("_signal_words", p), F.get("_signal_words", p + 1), F.get("_signal_words", p + 2)).alias("h"), p.alias("p")),
                 )
             ),
         )
     )
-    same = lambda x, i, d: F.coalesce(F.get("_windows", i + d)["h"] == x["h"], F.lit(False))
-    at = F.sort_array(F.transform(F.filter("_windows", lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["p"]))
+    same = lambda x, i, d: F.coalesce(F.get("_signal_windows", i + d)["h"] == x["h"], F.lit(False))
+    at = F.sort_array(F.transform(F.filter("_signal_windows", lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["p"]))
     covered = F.aggregate(
         at,
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
@@ -81,15 +83,15 @@ def signals(df: DataFrame, text_col: str = "text") -> DataFrame:
     return staged.withColumn(
         "_signals",
         F.struct(
-            long(F.col("_n"), "n_words"),
-            long(F.length(F.translate("_text", SPACE, "")), "word_chars"),
-            long(F.length("_text") - F.length(F.translate("_text", SYMBOLS, "")), "n_symbols"),
-            long(F.size("_lines"), "n_lines"),
-            long(F.size("_lines") - F.size(F.array_distinct("_lines")), "n_dup_lines"),
+            long(F.col("_signal_n"), "n_words"),
+            long(F.length(F.translate("_signal_text", SPACE, "")), "word_chars"),
+            long(F.length("_signal_text") - F.length(F.translate("_signal_text", SYMBOLS, "")), "n_symbols"),
+            long(F.size("_signal_lines"), "n_lines"),
+            long(F.size("_signal_lines") - F.size(F.array_distinct("_signal_lines")), "n_dup_lines"),
             long(covered, "n_repeat_words"),
-            long(F.size(F.filter("_words", lambda w: w.isin(stop))), "n_stop_words"),
+            long(F.size(F.filter("_signal_words", lambda w: w.isin(stop))), "n_stop_words"),
         ),
-    ).drop("_text", "_words", "_n", "_lines", "_windows")
+    ).drop("_signal_text", "_signal_words", "_signal_n", "_signal_lines", "_signal_windows")
 
 
 def base_failed(s: Column) -> Column:

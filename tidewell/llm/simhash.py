@@ -12,7 +12,7 @@ bits that were not counted above, and drops a whole group once the count exceeds
 
 Scale and skew. Equal fingerprints meet in a map-side combined aggregation first, so copies never reach the index. A
 node with more than ``HOT_NODE`` distinct fingerprints is split by the same argument once more: its other 48 bits are
-cut into four parts, one of which must be equal. A task emits a star per local group, at most one link per fingerprint
+cut into four parts, one of which must be equal; results are the same on both sides of that size. A task emits a star per local group, at most one link per fingerprint
 and node, never all pairs. Components are found by distributed large-star / small-star rounds, cut by checkpoints.
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other; null identifiers count after
@@ -143,16 +143,17 @@ def _links_of(max_bits: int):
             a, b = linked_groups(fps.view(np.uint64), nodes, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        nodes, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        nodes, fps, full = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], FLUSH_ROWS
         for batch in batches:  # sorted by node: only the last node of what was read may go on
             nodes.append(batch.column("node").to_numpy())
             fps.append(batch.column("fp").to_numpy())
-            if sum(map(len, nodes)) >= FLUSH_ROWS:
+            if sum(map(len, nodes)) >= full:
                 n, f = np.concatenate(nodes), np.concatenate(fps)
                 cut = np.searchsorted(n, n[-1])
                 if cut:
                     yield star(n[:cut], f[:cut])
                 nodes, fps = [n[cut:]], [f[cut:]]
+                full = max(FLUSH_ROWS, 2 * len(n[cut:]))  # a node that goes on is put together a few times only
         n, f = np.concatenate(nodes), np.concatenate(fps)
         if len(n):
             yield star(n, f)

@@ -3,6 +3,9 @@
 The tokenizer lower-cases, drops white space and merges within pre-tokens only. What stands between white space (a
 chunk) therefore encodes alone as it does within a text, and each distinct chunk is encoded once per worker. Texts with
 anything for which this does not hold are encoded whole by the library.
+
+Defined results: an empty text, or one of white space, has no chunks and no tokens; callers turn nulls into empty texts;
+texts and chunks of any length are encoded whole; repeated chunks are encoded once.
 """
 
 from __future__ import annotations
