@@ -42,9 +42,9 @@ from tidewell.llm.word_bpe import marked_word, slices
 
 SLICE = 4_000_000
 DECODE_SLICE = 250_000
-CACHE_BYTES = 160_000_000
+CACHE_BYTES = 90_000_000
 ENTRY_BYTES = 200
-ROWS = 600_000
+ROWS = 300_000
 _NONE = 2_147_483_647
 _encoders: dict[tuple[str, str], Encoder] = {}
 _decoders: dict[str, Decoder] = {}
