@@ -209,6 +209,20 @@ def test_the_cache_is_bounded_and_changes_nothing(reference, monkeypatch):
         assert len(coder.chunks) <= 41
 
 
+def test_an_idle_worker_drops_its_cache(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "IDLE_SECONDS", 0.1)
+    coder, rest = byte_bpe.encoder(BPE, P.PATTERN), byte_bpe._Rest()
+    rest.begin()
+    coder.encode(["some words to keep"])
+    rest.end()
+    rest.begin()
+    time.sleep(0.4)
+    assert coder.chunks
+    rest.end()
+    time.sleep(0.4)
+    assert not coder.chunks and coder.encode(["some words"])[0].size == 2
+
+
 def test_unknown_ids_are_an_error(coder):
     with pytest.raises(ValueError, match="vocabulary"):
         coder[1].decode([np.array([60_000])])

@@ -19,7 +19,7 @@ Decoding. The token IDs of the documents become rows, join the vocabulary and ar
 per document. Bytes travel as Latin-1 characters, one for each byte.
 
 Everything is per partition: no shuffle, no files. The memory of a task is bounded by ``SLICE`` characters of text, a
-cache of about ``CACHE_BYTES``, and some 100 bytes for each byte of the rows of one query (``ROWS`` or one pre-token).
+cache of about ``CACHE_BYTES``, which a worker process without a task drops after ``IDLE_SECONDS``, and some 100 bytes for each byte of the rows of one query (``ROWS`` or one pre-token).
 
 Defined results: a null text is empty and has no tokens; a column of the same name as a result is replaced; an empty
 table gives an empty result; texts and words of any length are encoded whole; rows that repeat are rows of the result;
@@ -29,6 +29,7 @@ unknown IDs raise an error.
 from __future__ import annotations
 
 import base64
+import threading
 from collections.abc import Iterator
 
 import duckdb
@@ -45,6 +46,7 @@ DECODE_SLICE = 250_000
 CACHE_BYTES = 90_000_000
 ENTRY_BYTES = 200
 ROWS = 300_000
+IDLE_SECONDS = 2.0
 _NONE = 2_147_483_647
 _encoders: dict[tuple[str, str], Encoder] = {}
 _decoders: dict[str, Decoder] = {}
@@ -215,7 +217,7 @@ class Encoder(_Coder):
             self.chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else b"".join(map(self._piece, pieces))
 
     def forget(self) -> None:
-        """Empties the cache. It is kept from task to task, and filled again from the texts at hand."""
+        """Empties the cache. It is filled again from the texts at hand."""
         self.chunks: dict[str, bytes | None] = {}  # what stands between two spaces, encoded with the space before it
         self.others: dict[str, bytes] = {}  # pre-tokens that are no letters after a space
         self.held = 0
@@ -267,6 +269,35 @@ class Decoder(_Coder):
         return out
 
 
+class _Rest:
+    """Empties the caches of a worker process that has had no task for ``IDLE_SECONDS``."""
+
+    def __init__(self) -> None:
+        self.lock, self.running, self.timer = threading.Lock(), 0, None
+
+    def begin(self) -> None:
+        with self.lock:
+            self.running += 1
+            if self.timer:
+                self.timer.cancel()
+
+    def end(self) -> None:
+        with self.lock:
+            self.running -= 1
+            self.timer = threading.Timer(IDLE_SECONDS, self.drop)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def drop(self) -> None:
+        with self.lock:
+            if not self.running:
+                for coder in _encoders.values():
+                    coder.forget()
+
+
+_rest = _Rest()
+
+
 def encoder(vocabulary: str, pattern: str) -> Encoder:
     if (vocabulary, pattern) not in _encoders:
         _encoders[vocabulary, pattern] = Encoder(vocabulary, pattern)
@@ -285,10 +316,14 @@ def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
     names = [*[f.name for f in kept], *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, made in make(batch):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
+        _rest.begin()
+        try:
+            for batch in batches:
+                for lo, hi, made in make(batch):
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
+        finally:
+            _rest.end()
 
     return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, kind) for c, kind in columns.items()]]))
 
