@@ -298,6 +298,14 @@ class _Rest:
 _rest = _Rest()
 
 
+def _task_begins() -> None:
+    _rest.begin()
+
+
+def _task_ends() -> None:
+    _rest.end()
+
+
 def encoder(vocabulary: str, pattern: str) -> Encoder:
     if (vocabulary, pattern) not in _encoders:
         _encoders[vocabulary, pattern] = Encoder(vocabulary, pattern)
@@ -316,14 +324,14 @@ def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
     names = [*[f.name for f in kept], *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _rest.begin()
+        _task_begins()
         try:
             for batch in batches:
                 for lo, hi, made in make(batch):
                     part = batch.slice(lo, hi - lo)
                     yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
         finally:
-            _rest.end()
+            _task_ends()
 
     return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, kind) for c, kind in columns.items()]]))
 
