@@ -18,8 +18,9 @@ takes some 16 rounds.
 Decoding. The token IDs of the documents become rows, join the vocabulary and are put together by an ordered aggregation
 per document. Bytes travel as Latin-1 characters, one for each byte.
 
-Everything is per partition: no shuffle, no files. The memory of a task is bounded by ``SLICE`` characters of text, a
-cache of about ``CACHE_BYTES``, which a worker process without a task drops after ``IDLE_SECONDS``, and some 100 bytes for each byte of the rows of one query (``ROWS`` or one pre-token).
+Everything is per partition: no shuffle, no files. The memory of a task is bounded by ``SLICE`` characters of text or one
+text, a cache of about ``CACHE_BYTES``, and some 100 bytes for each byte of the rows of one query (``ROWS`` or one
+pre-token). A worker process that has had no task for ``IDLE_SECONDS`` drops encoder, decoder and cache.
 
 Defined results: a null text is empty and has no tokens; a column of the same name as a result is replaced; an empty
 table gives an empty result; texts and words of any length are encoded whole; rows that repeat are rows of the result;
@@ -29,20 +30,23 @@ unknown IDs raise an error.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import threading
 from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewell.llm.word_bpe import marked_word, slices
+from tidewell.llm.word_bpe import marked_word, ranges, slices
 
-SLICE = 4_000_000
-DECODE_SLICE = 250_000
+SLICE = 1_000_000
+DECODE_SLICE = 100_000
 CACHE_BYTES = 90_000_000
 ENTRY_BYTES = 200
 ROWS = 300_000
@@ -254,6 +258,7 @@ class Decoder(_Coder):
         self._store("vocabulary", pa.table({"id": np.array([i for _, i in tokens], dtype=np.int32), "piece": [b.decode("latin-1") for b, _ in tokens]}))
         self.known = np.zeros(1 << 16, dtype=bool)
         self.known[[i for _, i in tokens]] = True
+        del self.ranks  # the table has them
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of token IDs."""
@@ -269,8 +274,17 @@ class Decoder(_Coder):
         return out
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, for the worker shares an executor's memory with others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a function of the GNU C library
+    if trim:
+        trim(0)
+
+
 class _Rest:
-    """Empties the caches of a worker process that has had no task for ``IDLE_SECONDS``."""
+    """Drops the encoders and decoders, caches included, of a worker process that has had no task for ``IDLE_SECONDS``."""
 
     def __init__(self) -> None:
         self.lock, self.running, self.timer = threading.Lock(), 0, None
@@ -291,8 +305,11 @@ class _Rest:
     def drop(self) -> None:
         with self.lock:
             if not self.running:
-                for coder in _encoders.values():
-                    coder.forget()
+                for coder in [*_encoders.values(), *_decoders.values()]:
+                    coder.db.close()
+                _encoders.clear()
+                _decoders.clear()
+                _give_back()
 
 
 _rest = _Rest()
@@ -337,9 +354,9 @@ def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
 
 
 def _encoded(batch: pa.RecordBatch, vocabulary: str, pattern: str, text_col: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    texts = [t or "" for t in batch.column(text_col).to_pylist()]
-    for lo, hi in slices(texts, SLICE):
-        yield lo, hi, encoder(vocabulary, pattern).encode(texts[lo:hi])
+    column = batch.column(text_col)
+    for lo, hi in ranges(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), SLICE):
+        yield lo, hi, encoder(vocabulary, pattern).encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
 
 
 def _id_lists(ids: list[np.ndarray]) -> pa.Array:

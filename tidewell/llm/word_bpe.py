@@ -15,7 +15,7 @@ import os
 import re
 import string
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -126,13 +126,18 @@ class ChunkCache(dict):
         self.update(zip(new, self.resolve(new), strict=True))
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterable[tuple[int, int]]:
+def ranges(sizes: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
+    """Ranges of rows whose sizes come to about ``most``, at least one row."""
+    lo = hi = n = 0
+    for size in sizes:
+        hi, n = hi + 1, n + size
+        if n >= most:
+            yield lo, hi
+            lo, n = hi, 0
+    if lo < hi:
+        yield lo, hi
+
+
+def slices(texts: Sequence, chars: int = 4_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of rows with about ``chars`` characters each, at least one row."""
-    lo = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= chars:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    return ranges(map(len, texts), chars)
