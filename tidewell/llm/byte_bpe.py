@@ -215,7 +215,7 @@ class Encoder(_Coder):
         coded = self._code([f" {c}".encode() for c in plain] + [p.encode() for p in others])
         self.chunks.update(zip(plain, coded, strict=False))
         self.others.update(zip(others, coded[len(plain) :], strict=True))
-        self.held += sum(map(len, coded)) + 2 * sum(map(len, seen)) + ENTRY_BYTES * (len(coded) + len(many))
+        self.held += sum(map(len, coded)) + 2 * (sum(map(len, new)) + sum(map(len, others))) + ENTRY_BYTES * (len(coded) + len(many))
         for c, pieces in many.items():
             # white space at a chunk's edge can belong to a run that goes on in the next chunk
             self.chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else b"".join(map(self._piece, pieces))
