@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, exact_dedup, langid, mixing, quality, secrets, simhash, token_count, token_files, url_filter
+from tidewell.llm import byte_bpe, exact_dedup, langid, mixing, packing, prefix_trie, quality, secrets, simhash, spelling, token_count, token_files, url_filter
 from tidewell.session import table
 
 # The rules that the query judges by, as (host, path, verdict).
@@ -71,6 +71,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True)
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id,
@@ -83,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_token_files,
         op10_secret_scan,
+        op11_prefix_trie,
+        op12_spelling_variants,
+        op13_packing,
     )}
 
 
@@ -148,5 +165,67 @@ SELECT b.doc_id, size, source_size, target, coalesce(served, 0)::BIGINT AS taken
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text of ASCII characters, bit by bit."""
+    byte = "list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, d: {byte}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, count(*) OVER (PARTITION BY conv_id) AS m,
+           coalesce(role, '') || chr(1) || coalesce(text, '') AS v, length(coalesce(text, ''))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, any_value(m) AS m, {_crc32_sql("c::VARCHAR")} % 6 AS h FROM t GROUP BY c),
+k AS (SELECT s.*, least(s.h, coalesce(o.m, 0)) AS n FROM s LEFT JOIN s o ON o.c = s.c - s.c % 100),
+r AS (SELECT k.c, t.i, v, size FROM k JOIN t ON t.c = k.c - k.c % 100 AND t.i <= k.n
+      UNION ALL SELECT k.c, t.i - k.h + k.n, v, size FROM k JOIN t ON t.c = k.c AND t.i > k.h),
+q AS (SELECT k.c, coalesce(list(v ORDER BY i) FILTER (v IS NOT NULL), []) AS vs, coalesce(list(size ORDER BY i) FILTER (v IS NOT NULL), []) AS sizes
+      FROM k LEFT JOIN r ON r.c = k.c GROUP BY k.c),
+p AS (SELECT c, vs, d, vs[1:d] AS node, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(vs) + 1)) AS d FROM q)),
+v AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, count(*) FILTER (len(vs) = d) AS n_ends,
+      coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(vs) = d), '') AS ends FROM p GROUP BY node, d),
+e AS (SELECT d, node[1:d - 1] AS above, node FROM v WHERE d > 0),
+x AS (SELECT above, count(*) AS n_children FROM e GROUP BY above),
+u AS (SELECT node, d, n_convs = n_ends AS leaf, (n_convs - 1) * size AS saved FROM v),
+b AS (SELECT node[1:j] AS node, sum(leaf::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM u) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, coalesce(x.n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN b ON b.node = v.node LEFT JOIN v o ON v.d > 0 AND o.node = v.node[1:v.d - 1] LEFT JOIN x ON x.above = v.node
+"""
+
+OP12_SQL = rf"""
+WITH t AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM t GROUP BY doc_id, run),
+h AS (SELECT run, n, {{crc}} AS h FROM g),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS cut FROM (SELECT *, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.cut UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.cut),
+f AS (SELECT v.word, v.n, count(near) AS n_near, first(near ORDER BY near_n DESC, near) AS best, first(near_n ORDER BY near_n DESC, near) AS best_n
+      FROM v LEFT JOIN p ON p.word = v.word GROUP BY v.word, v.n),
+o AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM f)
+"""
+
+
+def _op12_sql() -> str:
+    bytes_of = "list_transform(string_split(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), ''), lambda x: strpos('0123456789ABCDEF', x) - 1)"
+    half = "list_reduce([xor(c, d), 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))"
+    swapped = f"flatten(list_transform(range(1, len({bytes_of}), 2), lambda i: [({bytes_of})[i + 1], ({bytes_of})[i]]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {swapped}), lambda c, d: {half}), 4294967295)"
+    return (
+        OP12_SQL.replace("{crc}", crc).replace("WITH t AS", "WITH RECURSIVE t AS").rstrip()
+        + """,
+r AS (SELECT word, word AS root, form AS ahead FROM o UNION ALL SELECT r.word, o.word, o.form FROM r JOIN o ON o.word = r.ahead)
+SELECT o.word, o.form, r.root, o.n, o.n_near, o.form_n FROM o JOIN r ON r.word = o.word AND r.ahead IS NULL
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_quality_rules": _op6_sql(), "op7_url_filters": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {
+        "op5_exact_dedup": OP5_SQL,
+        "op6_quality_rules": _op6_sql(),
+        "op7_url_filters": OP7_SQL,
+        "op8_mixing": OP8_SQL,
+        "op11_prefix_trie": OP11_SQL,
+        "op12_spelling_variants": _op12_sql(),
+    }
