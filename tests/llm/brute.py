@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -105,3 +106,76 @@ def brute_queue(rows, packet, max_epochs=3):
         following = next(lines[None if null else source], None)
         heapq.heapreplace(heap, following) if following else heapq.heappop(heap)
     return targets, taken, copies
+
+
+def _chunks_of(rows):
+    by = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            by.setdefault(conv, []).append((turn, role or "", text or ""))
+    turn_id = lambda r: hashlib.sha256(f"{len(r[1].encode())}:{r[1]}{len(r[2].encode())}:{r[2]}".encode()).hexdigest()[:32] + str(len(r[2]))
+    return {c: [r[1:] for r in sorted(turns, key=lambda r: (r[0] is not None, r[0] or 0, turn_id(r)))] for c, turns in by.items()}
+
+
+def brute_trie(rows, shared):
+    """Nodes by their whole sequences, from dictionaries of members."""
+    own = _chunks_of(rows)
+    built = own
+    if shared:
+        built = {}
+        for c, turns in own.items():
+            h, base = zlib.crc32(str(c).encode()) % 6, c - int(math.fmod(c, 100))
+            built[c] = own.get(base, [])[:h] + turns[h:]
+    members = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    for node, convs in members.items():
+        below = [v for v in members if v[: len(node)] == node]
+        has_child = {v[:-1] for v in members if v}
+        ends = sorted(c for c in convs if len(built[c]) == len(node))
+        out.append(
+            (
+                min(convs),
+                len(node),
+                min(members[node[:-1]]) if node else None,
+                len(convs),
+                sum(v[:-1] == node for v in members if v),
+                sum(v not in has_child for v in below),
+                sum((len(members[v]) - 1) * len(v[-1][1]) for v in below if v),
+                hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest(),
+            )
+        )
+    return sorted(out, key=repr)
+
+
+def brute_spelling(rows, one_in=199, ratio=5):
+    counts = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % one_in == 0 else run] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 6 and k >= 5}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    out, form = {}, {}
+    for w in n:
+        about = [v for v in n if near(w, v)]
+        best = min(about, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= ratio * n[w] else None
+        out[w] = n[w], len(about), n[best] if form[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return sorted((w, form[w], root(w), *out[w]) for w in n)
