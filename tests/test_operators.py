@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,3 +305,23 @@ def test_character_errors_count_beyond_sixty_characters(spark, tmp_path):
     spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["cer"] for r in catalog.queries()["ev13_character_error_rate"](spark, f"file://{tmp_path}").collect()}
     assert got == {0: round(5 / 80, 6), 1: 0.0, 2: None}
+
+
+def test_many_spans_of_one_text_are_chosen_like_one_by_one(spark):
+    draw = random.Random(7)
+    rows = [(draw.randrange(6000), draw.choice((0, 1, 2, 5, 9, 30)), draw.choice("AB")) for _ in range(3000)]
+    spans = [(a, a + n, t, f"{a}") for a, n, t in rows]
+    kept = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[2], s)):
+        if not any(k[0] < s[1] and s[0] < k[1] for k in kept):
+            kept.append(s)
+    df = spark.createDataFrame([(spans,)], f"spans {A.SPAN}")
+    got = df.select(A.without_overlap(F.col("spans"), "longest", "earliest", "type")).first()[0]
+    assert [tuple(s) for s in got] == sorted(kept)
+
+
+def test_fifty_thousand_spans_of_one_text(spark):
+    df = spark.range(50_000).select(F.lit(1).alias("doc"), (F.col("id") * 7).cast("int").alias("start"), (F.col("id") * 7 + 5 + F.col("id") % 4).cast("int").alias("stop"), F.lit("PSC").alias("pii_type"), F.lit("model").alias("source"), F.lit(0.5).alias("confidence"))
+    began = time.perf_counter()
+    assert A.merge_by_precedence(df, "doc").count() > 25_000
+    assert time.perf_counter() - began < 30

@@ -84,7 +84,10 @@ def nearest_controls(items: DataFrame, flagged: str, kind: str, size: str, key:
     row per distinct size, bring each size the next ``n`` sizes that have controls below and above; a flagged row finds
     its controls among them, however far away they are.
     """
-    of = items.groupBy(kind, size).agg(F.slice(F.sort_array(F.collect_set(F.when(~F.col(flagged), F.col(key)))), 1, n).alias("_ids"))
+    clean = items.where(~F.col(flagged)).select(kind, size, F.col(key).alias("_id")).distinct()
+    first = clean.withColumn("_k", F.row_number().over(Window.partitionBy(kind, size).orderBy("_id"))).where(F.col("_k") <= n)  # cut before the shuffle too
+    ids = first.groupBy(kind, size).agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
+    of = items.select(kind, size).distinct().join(ids, [kind, size], "left").withColumn("_ids", F.coalesce("_ids", F.slice(F.array(F.lit(None).cast(items.schema[key].dataType)), 1, 0)))
     sizes = of.withColumn("_own", F.when(F.size("_ids") > 0, F.transform("_ids", lambda i: F.struct(F.col(size).alias("size"), i.alias("id")))))
     w = Window.partitionBy(kind).orderBy(size)
     some = sizes.where("_own IS NOT NULL")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers as I
+from tidewell.functions.text import let
 
 SPAN = "array<struct<start:int,stop:int,pii_type:string,surface:string>>"
 #: Types whose spans give way to any other span.
@@ -31,15 +32,37 @@ def matches(text: Column, pattern: str, pii_type: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
 
 
-def without_overlap(spans: Column, *order: str) -> Column:
-    """Greedy choice in the given order; the result is ordered by start.
+def overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+
+
+def chosen_greedily(spans: Column, order, clash=overlap) -> Column:
+    """Of an array of structs with start and stop, those that clash with none that comes before them in ``order``.
 
-    A text has few spans, so the fold over its array is short.
+    ``order`` gives the columns to order an element by, the element itself last; ``clash`` holds between elements that
+    overlap only. The array is sorted by start and cut into islands, where no element reaches beyond a cut: the choice in
+    one does not depend on another, so the fold over an island looks back at the island's own choices alone.
     """
-    keys = F.transform(spans, lambda s: F.struct(*[_key(s, o) for o in order], s.alias("span")))
-    clash = lambda kept, s: F.exists(kept, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"]))
-    chosen = F.aggregate(F.sort_array(keys), F.array().cast(SPAN), lambda kept, k: F.when(clash(kept, k["span"]), kept).otherwise(F.array_append(kept, k["span"])))
-    return F.sort_array(chosen)
+
+    def islands(a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("k"), F.lit(-1).alias("end"), F.array().cast("array<int>").alias("cuts"))
+        step = lambda acc, s: F.struct(
+            (acc["k"] + 1).alias("k"), F.greatest(acc["end"], s["stop"]).alias("end"), F.when(s["start"] >= acc["end"], F.array_append(acc["cuts"], acc["k"])).otherwise(acc["cuts"]).alias("cuts")
+        )
+        cuts = F.aggregate(a, start, step, lambda acc: acc["cuts"])
+        return let(cuts, lambda c: F.transform(c, lambda at, i: F.slice(a, at + 1, F.coalesce(F.get(c, i + 1), F.size(a)) - at)))
+
+    def choose(island: Column) -> Column:
+        keys = F.sort_array(F.transform(island, lambda s: F.struct(*order(s), s.alias("span"))))
+        step = lambda kept, k: F.when(F.exists(kept, lambda x: clash(x, k["span"])), kept).otherwise(F.array_append(kept, k["span"]))
+        return F.when(F.size(island) == 1, island).otherwise(F.aggregate(keys, F.slice(island, 1, 0), step))
+
+    return let(F.sort_array(spans), lambda a: F.when(F.size(a) < 2, a).otherwise(F.flatten(F.transform(islands(a), choose))))
+
+
+def without_overlap(spans: Column, *order: str) -> Column:
+    """Greedy choice in the given order; the result is ordered by start."""
+    return F.sort_array(chosen_greedily(spans, lambda s: [_key(s, o) for o in order]))
 
 
 def _key(s: Column, name: str) -> Column:
@@ -99,11 +122,9 @@ def merge_by_precedence(spans: DataFrame, key: str) -> DataFrame:
     ``spans`` has key, start, stop, pii_type, source ('rule' or 'model') and confidence.
     """
     tier = F.when((F.col("source") == "rule") & ~F.col("pii_type").isin(*YIELDING), 0).when(F.col("source") == "model", 1).otherwise(2)
-    item = F.struct(tier.alias("tier"), (-F.coalesce("confidence", F.lit(0.0))).alias("doubt"), "start", "stop", "pii_type", "source")
-    lists = spans.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    empty = F.slice("all", 1, 0)
-    clash = lambda kept, s: F.exists(kept, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"]))
-    chosen = F.aggregate("all", empty, lambda kept, s: F.when(clash(kept, s), kept).otherwise(F.array_append(kept, s)))
+    item = F.struct("start", "stop", "pii_type", "source", tier.alias("tier"), (-F.coalesce("confidence", F.lit(0.0))).alias("doubt"))
+    lists = spans.groupBy(key).agg(F.collect_list(item).alias("all"))
+    chosen = chosen_greedily(F.col("all"), lambda s: [s["tier"].alias("t"), s["doubt"].alias("d"), s["start"].alias("a"), s["stop"].alias("b")])
     return lists.select(key, F.explode(chosen).alias("s")).select(key, "s.start", "s.stop", "s.pii_type", "s.source")
 
 

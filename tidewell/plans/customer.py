@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -508,10 +510,16 @@ def top8_candidate_shuffle(spark, d):
     return S.shuffled(candidates, "user", "item", "p").select("user", "item", "position")
 
 
-@area.query("SELECT k, round(k / (SELECT count(*) FROM part)::DOUBLE, 6) AS full_floor, round(k / 21.0::DOUBLE, 6) AS sampled_floor FROM (VALUES (5), (10)) t(k)")
+@area.query(
+    f"""WITH {Q.CANDIDATES}, s AS (SELECT avg(n)::DOUBLE AS n FROM (SELECT user, count(*) AS n FROM cand GROUP BY user))
+SELECT k, round(k / (SELECT count(*) FROM part)::DOUBLE, 6) AS full_floor, round(k / n, 6) AS sampled_floor FROM (VALUES (5), (10)) t(k), s"""
+)
 def top9_random_floor(spark, d):
+    """Hit rate of guessing, over the catalogue and over the candidates that the sampler draws by default, the hidden item among them."""
     n = P.catalog(spark, d).agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(5,), (10,)], "k int").crossJoin(n).select("k", F.round(F.col("k") / F.col("n"), 6).alias("full_floor"), F.round(F.col("k") / F.lit(21.0), 6).alias("sampled_floor"))
+    ks = spark.createDataFrame([(5,), (10,)], "k int").crossJoin(n)
+    drawn = inspect.signature(S.sampled_candidates).parameters["n"].default + 1
+    return ks.select("k", F.round(F.col("k") / F.col("n"), 6).alias("full_floor"), F.round(F.col("k") / F.least(F.col("n"), F.lit(float(drawn))), 6).alias("sampled_floor"))
 
 
 @area.query("SELECT doc_id FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")

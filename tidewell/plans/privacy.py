@@ -422,11 +422,9 @@ def txt5_clean_nested(spark, d):
 
 @area.query(None)
 def txt6_stage_trace(spark, d):
-    """Class counts before, after unescaping and after cleaning."""
+    """Class counts before, after unescaping and after cleaning, with the first text that has the class and its surroundings."""
     pages = table(spark, d, "pages").select("page_id", F.col("html").alias("v"))
-    stages = F.array(*[F.struct(F.lit(n).alias("stage"), c.alias("v")) for n, c in (("raw", F.col("v")), ("unescaped", X.unescape(F.col("v"))), ("clean", X.clean_text(F.col("v"))))])
-    long = pages.select(F.explode(stages).alias("s")).select("s.stage", F.explode(X.class_counts(F.col("s.v"))).alias("class", "n"))
-    return long.groupBy("stage", "class").agg(F.sum("n").cast("long").alias("n"))
+    return X.stage_trace(pages, "page_id", "v")
 
 
 @area.query("SELECT l_orderkey || '::' || l_partkey || '::' || epoch(l_shipdate)::BIGINT AS key, count(*) AS n FROM lineitem GROUP BY 1")
@@ -463,7 +461,7 @@ def txt11_recase(spark, d):
     return docs.where(F.length(F.lower("text")) == F.length("text")).select("doc_id", F.md5(F.lower("text")).alias("lower_md5"), (F.length(F.upper("text")) == F.length("text")).alias("upper_fits"))
 
 
-@area.query(f"SELECT doc_id, md5(regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9]', '', 'g')) AS folded FROM documents")
+@area.query("SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS folded FROM documents")
 def txt12_ascii_fold(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(X.ascii_fold(F.col("text"))).alias("folded"))
 
