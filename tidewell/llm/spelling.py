@@ -7,9 +7,10 @@ Two words are near if they differ by one inserted, deleted or replaced code poin
 of each a dimension of its own, are a binary vector; near words are at Hamming distance two at most (one if a letter is
 inserted). PartEnum turns that into equality: the dimensions are dealt to ``PARTS`` parts by a hash, and for each choice
 of all but two parts (all but one for insertions) the letters in them are a signature. Two vectors within the distance
-agree in at least one signature, so an equi-join of signatures, of words of equal length or of a word with the next
-longer ones, has every near pair; an edit distance of exactly one confirms it. Signatures are joined as 64-bit hashes,
-which can only add candidates. Both joins are of the vocabulary, not of the texts.
+agree in at least one signature. One edit also leaves the first or the second half of a word as it is, so each signature
+comes twice, with either half. An equi-join of signatures, of words of equal length or of a word with those one letter
+longer, then has every near pair, and an edit distance of exactly one confirms it. Signatures are joined as 64-bit
+hashes, which can only add candidates. Both joins are of the vocabulary, not of the texts.
 
 Words are counted where they are read and combined before the shuffle. Where many words share a signature, adaptive
 execution splits the join.
@@ -30,15 +31,15 @@ from tidewell.llm.text import null_as_empty
 from tidewell.session import checkpointed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parts of the letters for replaced and for inserted ones: 15 signatures of four parts in six, and 3 of two in three.
-PARTS = {2: 6, 1: 3}
+#: Parts of the letters for replaced and for inserted ones: 6 signatures of two parts in four, and 3 of two in three.
+PARTS = {2: 4, 1: 3}
 
 
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 6, min_count: int = 5, one_in: int = 199) -> DataFrame:
     """``word, n``: the frequent words. One run in ``one_in`` loses a letter, by CRC-32 of ``<id>:<run>``; 0 leaves all as they are."""
-    runs = F.regexp_extract_all(null_as_empty(F.col(text_col)), F.lit(rf"([A-Za-zÀ-ÿ]{{{min_length},}})"), 1)
+    text = F.translate(null_as_empty(F.col(text_col)), UPPER, LOWER)
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"))
-    rows = docs.select(key.alias("key"), F.explode(runs).alias("run")).select("key", F.translate("run", UPPER, LOWER).alias("run"))
+    rows = docs.select(key.alias("key"), F.explode(F.regexp_extract_all(text, F.lit(f"[a-zÀ-ÿ]{{{min_length},}}"), 0)).alias("run"))
     word = F.col("run")
     if one_in:
         h, size = F.col("h"), F.char_length("run")
@@ -49,33 +50,32 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
-def signatures(word: Column, distance: int) -> Column:
-    """The PartEnum signatures of a word's letters for a Hamming distance, as an array of (choice of parts, hash)."""
+def signed(words: DataFrame, distance: int, longer: int = 0) -> DataFrame:
+    """``word, signature``: the PartEnum signatures of each word's letters for a Hamming distance, each with either half.
+
+    ``longer``: by how much the word is longer than the words that it is to meet; the shorter length is part of all
+    signatures and sets their halves.
+    """
     parts = PARTS[distance]
-    letters = F.array_sort(F.split(word, ""))
+    letters, word, size = F.col("letters"), F.col("word"), F.char_length("word") - longer
     # the place of a letter after the first one of its kind tells its occurrences apart
     dims = F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))
-    dealt = F.transform(dims, lambda d: F.struct((F.crc32(d.cast("binary")) % parts).cast("int").alias("part"), d.alias("dim")))
-
-    def of(chosen: tuple[int, ...]) -> Column:
-        kept = F.transform(F.filter(dealt, lambda d: d["part"].isin(*chosen)), lambda d: d["dim"])
-        return F.struct(F.lit(sum(1 << k for k in chosen)).alias("parts"), F.xxhash64(F.array_join(kept, " ")).alias("hash"))
-
-    return F.array(*[of(chosen) for chosen in combinations(range(parts), parts - distance)])
+    dealt = words.select("word", F.array_sort(F.split("word", "")).alias("letters")).select("word", dims.alias("dims"))
+    part = lambda k: F.array_join(F.filter("dims", lambda d: F.crc32(d.cast("binary")) % parts == k), " ")
+    half = F.floor(size / 2).cast("int")
+    halves = [F.substring(word, F.lit(1), half), F.substring(word, F.char_length(word) - half + 1, half)]
+    cut = dealt.select("word", *[part(k).alias(f"part{k}") for k in range(parts)], *[h.alias(f"half{k}") for k, h in enumerate(halves)])
+    chosen = combinations(range(parts), parts - distance)
+    return cut.select("word", F.explode(F.array(*[F.xxhash64(size, F.lit(j), *[F.lit(k) if k not in c else F.concat(F.lit("="), f"part{k}") for k in range(parts)], f"half{j}") for c in chosen for j in (0, 1)])).alias("signature"))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, b``: all pairs of ``word``s at an edit distance of one, each once; a < b among equal lengths, else b is longer."""
-    sized = words.select("word", F.char_length("word").alias("size"))
-    signed = {d: checkpointed(sized.select("word", "size", F.explode(signatures(F.col("word"), d)).alias("s")).select("word", "size", "s.parts", "s.hash")) for d in PARTS}
-    joined = lambda d, longer: (
-        signed[d]
-        .select(F.col("word").alias("a"), (F.col("size") + longer).alias("size"), "parts", "hash")
-        .join(signed[d].withColumnRenamed("word", "b"), ["size", "parts", "hash"])
-        .where((F.levenshtein("a", "b", 1) == 1) & (F.lit(bool(longer)) | (F.col("a") < F.col("b"))))
-        .select("a", "b")
-    )
-    return joined(2, 0).unionByName(joined(1, 1)).distinct()
+    of = lambda name, *how: signed(words, *how).withColumnRenamed("word", name)
+    near = F.levenshtein("a", "b", 1) == 1
+    replaced = of("a", 2).join(of("b", 2), "signature").where((F.col("a") < F.col("b")) & near)
+    inserted = of("a", 1).join(of("b", 1, 1), "signature").where((F.char_length("b") == F.char_length("a") + 1) & near)
+    return replaced.select("a", "b").unionByName(inserted.select("a", "b")).distinct()
 
 
 def with_roots(forms: DataFrame, most: int, ratio: int) -> DataFrame:
