@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from brute import brute_spelling, brute_trie
 
-from tidewell.llm import packing, prefix_trie, queries, spelling
+from tidewell.llm import exact_dedup, langid, mixing, packing, prefix_trie, queries, spelling
 
 VOCABULARY = P.path("word_bpe_49k.json")
 TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -216,3 +216,18 @@ def test_packing_query_on_the_given_table(spark):
     for r in rows:
         sums[r["sequence_id"]] = sums.get(r["sequence_id"], 0) + r["length"]
     assert all(n <= 2048 and n & n - 1 == 0 for n in sums.values())
+
+
+# ---- columns named like the operators' own helpers
+
+
+def test_helper_names_do_not_clash_with_columns(spark):
+    rows = [(1, "the river and the house of stone", "en", "a"), (1, "the river and the house of stone", "en", "a"), (2, "der fluss und das haus aus stein", "de", "b"), (3, "the garden and a letter", "en", "a")] * 3
+    own = ["_language", "_digest", "_mix_key", "_mix_times", "_mix_finish", "_MIX_KEY_"]
+    df = spark.createDataFrame([(*r, *own) for r in rows], ["doc_id", "text", "lang", "source", *own])
+    for stage in (langid.accepted, exact_dedup.drop_exact_duplicates, mixing.mixed_documents):
+        got = stage(df)
+        assert got.columns == df.columns
+        found = got.collect()
+        assert found and all([r[c] for c in own] == own for r in found)
+    assert exact_dedup.drop_exact_duplicates(df).count() == 3

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.text import null_as_empty
+from tidewell.llm.text import free_name, null_as_empty
 from tidewell.session import checkpointed
 
 DIGEST = ("digest", "n_bytes", "verify")
@@ -97,5 +97,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays = docs.join(dropped, hit(dropped), "left_anti")
     if repeated.isEmpty():
         return stays
-    once = docs.join(repeated, hit(repeated), "left_semi").withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    by_digest = free_name(docs, "_digest")
+    once = docs.join(repeated, hit(repeated), "left_semi").withColumn(by_digest, digest).dropDuplicates([id_col, by_digest]).drop(by_digest)
     return stays.unionByName(once)

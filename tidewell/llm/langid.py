@@ -15,7 +15,8 @@ its size is languages x clusters x ``DIM`` floats whatever the input. Every text
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and counts as rejected; the same holds
 for every text if no labelled row exists; an empty table gives an empty result. Ties go to the language first by code
-point. Only text (and, for fitting, label and identifier) are read.
+point. Repeated rows are judged each for itself and count once in learning. Only text (and, for fitting, label and
+identifier) are read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ UNKNOWN = "und"
 CLASSES = DIM.bit_length()
 _letters: list[np.ndarray] = []
 
+from tidewell.llm.text import free_name
+
+
 
 def _is_letter() -> np.ndarray:
     if not _letters:
@@ -199,5 +203,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    judged = with_language(docs, fit(docs, id_col, text_col, lang_col, **options), text_col, "_language")
-    return judged.where("NOT _language.rejected").drop("_language")
+    language = free_name(docs, "_language")
+    judged = with_language(docs, fit(docs, id_col, text_col, lang_col, **options), text_col, language)
+    return judged.where(~F.col(language)["rejected"]).drop(language)

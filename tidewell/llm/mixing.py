@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.text import word_count
+from tidewell.llm.text import free_name, word_count
 from tidewell.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
@@ -158,7 +158,8 @@ def mixed_documents(
     placed = _placed(queue, targets)
     copies = _line(placed, targets, max_epochs, packet).where("served > 0").groupBy("row_no", "epoch").agg(F.max("finish").alias("finish"))
     keyed = copies.join(queue.select("row_no", "shuffled"), "row_no").groupBy("shuffled", "epoch").agg(F.min("finish").alias("finish"))
-    times = keyed.groupBy(F.col("shuffled").alias("_mix_key")).agg(F.collect_list("finish").alias("_mix_times"))  # max_epochs of them at most
-    joined = docs.join(times, _key(docs[id_col], docs[text_col]) == times["_mix_key"])
-    ordered = joined.withColumn("_mix_finish", F.explode("_mix_times")).orderBy("_mix_finish", "_mix_key")
+    key, times, finish = [free_name(docs, n) for n in ("_mix_key", "_mix_times", "_mix_finish")]
+    served = keyed.groupBy(F.col("shuffled").alias(key)).agg(F.collect_list("finish").alias(times))  # max_epochs of them at most
+    joined = docs.join(served, _key(docs[id_col], docs[text_col]) == served[key])
+    ordered = joined.withColumn(finish, F.explode(times)).orderBy(finish, key)
     return ordered.select(*[docs[c] for c in docs.columns])
