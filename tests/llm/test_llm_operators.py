@@ -209,18 +209,9 @@ def test_the_cache_is_bounded_and_changes_nothing(reference, monkeypatch):
         assert len(coder.chunks) <= 41
 
 
-def test_an_idle_worker_drops_its_cache(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "IDLE_SECONDS", 0.1)
-    coder, rest = byte_bpe.encoder(BPE, P.PATTERN), byte_bpe._Rest()
-    rest.begin()
-    coder.encode(["some words to keep"])
-    rest.end()
-    rest.begin()
-    time.sleep(0.4)
-    assert coder.chunks
-    rest.end()
-    time.sleep(0.4)
-    assert not coder.chunks and coder.encode(["some words"])[0].size == 2
+def test_words_of_all_lengths_keep_their_order(coder, reference):
+    words = [b" " + bytes([97 + k % 26]) * (1 + 37 * k % 150) + b"ing" for k in range(60)]
+    assert coder[0].merge(words) == [np.array(reference.encode_ordinary(w.decode()), "<u2").tobytes() for w in words]
 
 
 def test_unknown_ids_are_an_error(coder):

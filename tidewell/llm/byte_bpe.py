@@ -2,8 +2,9 @@
 
 Encoding. A text is cut into pre-tokens by the vocabulary's pattern; each distinct pre-token is encoded once per worker
 process, within a cache of bounded size. Its bytes become token-position rows that meet the merge table in a recursive
-query: every round contracts leftmost pairs of the lowest rank, until no row joins. One query serves words of any
-length, as a round contracts in many places at once wherever that is proven to give the same tokens:
+query: every round contracts each word's leftmost pair of the lowest rank, until no row joins. Words of over ``SHORT``
+bytes go through a second query, a round of which contracts in many places at once wherever that is proven to give the
+same tokens, so that a long word does not need a round for each of its merges:
 
 * The merge table also holds the pairs that no merge joins but some merge spans: one whose left part ends with the left
   token and whose right part begins with the right one. Between two tokens that are in neither way in the table no merge
@@ -18,9 +19,9 @@ takes some 16 rounds.
 Decoding. The token IDs of the documents become rows, join the vocabulary and are put together by an ordered aggregation
 per document. Bytes travel as Latin-1 characters, one for each byte.
 
-Everything is per partition: no shuffle, no files. The memory of a task is bounded by ``SLICE`` characters of text or one
-text, a cache of about ``CACHE_BYTES``, and some 100 bytes for each byte of the rows of one query (``ROWS`` or one
-pre-token). A worker process that has had no task for ``IDLE_SECONDS`` drops encoder, decoder and cache.
+Everything is per partition: no shuffle, no files. The memory of a worker process is bounded by ``SLICE``
+characters of text or one text, a cache of about ``CACHE_BYTES`` that lasts from task to task, and some 100 bytes for each
+byte of the rows of one query (``ROWS`` or one pre-token).
 
 Defined results: a null text is empty and has no tokens; a column of the same name as a result is replaced; an empty
 table gives an empty result; texts and words of any length are encoded whole; rows that repeat are rows of the result;
@@ -30,9 +31,6 @@ unknown IDs raise an error.
 from __future__ import annotations
 
 import base64
-import ctypes
-import gc
-import threading
 from collections.abc import Iterator
 
 import duckdb
@@ -45,12 +43,12 @@ from pyspark.sql import types as T
 
 from tidewell.llm.word_bpe import marked_word, ranges, slices
 
-SLICE = 1_000_000
+SLICE = 2_000_000
 DECODE_SLICE = 100_000
 CACHE_BYTES = 90_000_000
 ENTRY_BYTES = 200
 ROWS = 300_000
-IDLE_SECONDS = 2.0
+SHORT = 64
 _NONE = 2_147_483_647
 _encoders: dict[tuple[str, str], Encoder] = {}
 _decoders: dict[str, Decoder] = {}
@@ -58,6 +56,24 @@ _decoders: dict[str, Decoder] = {}
 #: x, y: this and the next position; t, n: this and the next token (-1 at a boundary); s: first position of the segment;
 #: rk: rank of the pair (t, n). A row is done once its segment has no pair left.
 MERGE = f"""
+WITH RECURSIVE b(x, y, t, n, s, rk, done) AS (
+  SELECT x, x + 1, t, n, s, coalesce(m.rk, {_NONE})::INT, false FROM word_bytes LEFT JOIN pairs m ON m.lr = t::BIGINT * 65536 + n
+  UNION ALL
+  (WITH lowest AS (SELECT s, min((rk::BIGINT << 32) + x) AS m FROM b WHERE NOT done GROUP BY s),
+        live AS (SELECT x, y, t, n, b.s, rk, m & 4294967295 AS hx, (m >> 32)::INT AS r FROM b JOIN lowest USING (s) WHERE NOT done),
+        hit AS (SELECT s, x AS hx, y AS hy FROM live WHERE x = hx AND r < {_NONE}),
+        pair AS (SELECT h.s, h.hx, h.hy, live.y AS y2, live.n AS n2 FROM live JOIN hit h ON live.x = h.hy),
+        -- the left row becomes the new token, the row before it gets a new neighbour, the right row goes
+        edit AS (SELECT x, CASE WHEN x = p.hx THEN y2 ELSE y END AS y, CASE WHEN x = p.hx THEN r ELSE t END AS t,
+                        CASE WHEN x = p.hx THEN n2 WHEN y = p.hx AND n >= 0 THEN r ELSE n END AS n, live.s, rk, r = {_NONE} AS done, x = p.hx OR y = p.hx AS changed
+                 FROM live LEFT JOIN pair p ON p.s = live.s WHERE p.hy IS NULL OR x <> p.hy)
+   SELECT x, y, t, n, s, rk, done FROM edit WHERE changed IS NOT TRUE
+   UNION ALL
+   SELECT x, y, t, n, s, coalesce(m.rk, {_NONE}), done FROM pairs m RIGHT JOIN (SELECT * FROM edit WHERE changed) e ON m.lr = e.t::BIGINT * 65536 + e.n))
+SELECT x, t FROM b WHERE done ORDER BY x
+"""
+
+MERGE_LONG = f"""
 WITH RECURSIVE b(x, y, t, n, s, rk, done) AS (
   SELECT x, x + 1, t, n, s, coalesce(m.rk, {_NONE})::INT, false FROM word_bytes LEFT JOIN pairs m ON m.lr = t::BIGINT * 65536 + n
   UNION ALL
@@ -171,6 +187,10 @@ class Encoder(_Coder):
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The token IDs, two bytes each, of byte strings that are no tokens themselves."""
+        short, long = [iter(self._merged([w for w in words if (len(w) > SHORT) == k], sql)) for k, sql in enumerate((MERGE, MERGE_LONG))]
+        return [next(long if len(w) > SHORT else short) for w in words]
+
+    def _merged(self, words: list[bytes], sql: str) -> list[bytes]:
         out: list[bytes] = []
         for lo, hi in slices(words, ROWS):
             raw = np.frombuffer(b"".join(words[lo:hi]), dtype=np.uint8)
@@ -180,7 +200,7 @@ class Encoder(_Coder):
             goes_on[ends - 1] = False
             n = np.where(goes_on, np.append(t[1:], -1), -1).astype(np.int32)
             s = np.maximum.accumulate(np.where(np.append(True, ~goes_on[:-1]), x, 0))
-            got = self._run("word_bytes", pa.table({"x": x, "t": t, "n": n, "s": s}), MERGE)
+            got = self._run("word_bytes", pa.table({"x": x, "t": t, "n": n, "s": s}), sql)
             ids = got.column("t").to_numpy().astype("<u2").tobytes()
             at = (np.searchsorted(got.column("x").to_numpy(), np.append(0, ends)) * 2).tolist()
             out += [ids[i:j] for i, j in zip(at, at[1:], strict=False)]
@@ -274,55 +294,6 @@ class Decoder(_Coder):
         return out
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, for the worker shares an executor's memory with others."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a function of the GNU C library
-    if trim:
-        trim(0)
-
-
-class _Rest:
-    """Drops the encoders and decoders, caches included, of a worker process that has had no task for ``IDLE_SECONDS``."""
-
-    def __init__(self) -> None:
-        self.lock, self.running, self.timer = threading.Lock(), 0, None
-
-    def begin(self) -> None:
-        with self.lock:
-            self.running += 1
-            if self.timer:
-                self.timer.cancel()
-
-    def end(self) -> None:
-        with self.lock:
-            self.running -= 1
-            self.timer = threading.Timer(IDLE_SECONDS, self.drop)
-            self.timer.daemon = True
-            self.timer.start()
-
-    def drop(self) -> None:
-        with self.lock:
-            if not self.running:
-                for coder in [*_encoders.values(), *_decoders.values()]:
-                    coder.db.close()
-                _encoders.clear()
-                _decoders.clear()
-                _give_back()
-
-
-_rest = _Rest()
-
-
-def _task_begins() -> None:
-    _rest.begin()
-
-
-def _task_ends() -> None:
-    _rest.end()
-
-
 def encoder(vocabulary: str, pattern: str) -> Encoder:
     if (vocabulary, pattern) not in _encoders:
         _encoders[vocabulary, pattern] = Encoder(vocabulary, pattern)
@@ -341,14 +312,10 @@ def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
     names = [*[f.name for f in kept], *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _task_begins()
-        try:
-            for batch in batches:
-                for lo, hi, made in make(batch):
-                    part = batch.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
-        finally:
-            _task_ends()
+        for batch in batches:
+            for lo, hi, made in make(batch):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names)
 
     return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, kind) for c, kind in columns.items()]]))
 
