@@ -45,7 +45,7 @@ from tidewell.llm.word_bpe import marked_word, ranges, slices
 
 SLICE = 2_000_000
 DECODE_SLICE = 100_000
-CACHE_BYTES = 90_000_000
+CACHE_BYTES = 120_000_000
 ENTRY_BYTES = 200
 ROWS = 300_000
 SHORT = 64
@@ -57,7 +57,7 @@ _decoders: dict[str, Decoder] = {}
 #: rk: rank of the pair (t, n). A row is done once its segment has no pair left.
 MERGE = f"""
 WITH RECURSIVE b(x, y, t, n, s, rk, done) AS (
-  SELECT x, x + 1, t, n, s, coalesce(m.rk, {_NONE})::INT, false FROM word_bytes LEFT JOIN pairs m ON m.lr = t::BIGINT * 65536 + n
+  SELECT x, x + 1, t, n, s, rk, false FROM word_bytes
   UNION ALL
   (WITH lowest AS (SELECT s, min((rk::BIGINT << 32) + x) AS m FROM b WHERE NOT done GROUP BY s),
         live AS (SELECT x, y, t, n, b.s, rk, m & 4294967295 AS hx, (m >> 32)::INT AS r FROM b JOIN lowest USING (s) WHERE NOT done),
@@ -69,13 +69,13 @@ WITH RECURSIVE b(x, y, t, n, s, rk, done) AS (
                  FROM live LEFT JOIN pair p ON p.s = live.s WHERE p.hy IS NULL OR x <> p.hy)
    SELECT x, y, t, n, s, rk, done FROM edit WHERE changed IS NOT TRUE
    UNION ALL
-   SELECT x, y, t, n, s, coalesce(m.rk, {_NONE}), done FROM pairs m RIGHT JOIN (SELECT * FROM edit WHERE changed) e ON m.lr = e.t::BIGINT * 65536 + e.n))
+   SELECT x, y, t, n, s, coalesce(m.rk, {_NONE}), done FROM merges m RIGHT JOIN (SELECT * FROM edit WHERE changed) e ON m.lr = e.t::BIGINT * 65536 + e.n))
 SELECT x, t FROM b WHERE done ORDER BY x
 """
 
 MERGE_LONG = f"""
 WITH RECURSIVE b(x, y, t, n, s, rk, done) AS (
-  SELECT x, x + 1, t, n, s, coalesce(m.rk, {_NONE})::INT, false FROM word_bytes LEFT JOIN pairs m ON m.lr = t::BIGINT * 65536 + n
+  SELECT x, x + 1, t, n, s, rk, false FROM word_bytes
   UNION ALL
   (WITH lowest AS (SELECT s, min(rk) AS r FROM b WHERE NOT done GROUP BY s),
         live AS (SELECT x, y, t, n, b.s, rk, r FROM b JOIN lowest USING (s) WHERE NOT done),
@@ -182,7 +182,12 @@ class Encoder(_Coder):
         pairs, ranks = _spanned_pairs(self.ranks)
         self._store("pairs", pa.table({"lr": pairs, "rk": ranks}))
         ids = self.byte_id.astype(np.int64)
-        self.warm = np.isin(ids[:, None] * 65536 + ids, pairs)  # between which two bytes a merge can happen
+        joined = ranks < _NONE
+        self._store("merges", pa.table({"lr": pairs[joined], "rk": ranks[joined]}))
+        lr = ids[:, None] * 65536 + ids
+        at = np.minimum(np.searchsorted(pairs, lr), len(pairs) - 1)
+        self.warm = pairs[at] == lr  # between which two bytes a merge can happen
+        self.first_rank = np.where(self.warm, ranks[at], _NONE).astype(np.int32)  # the rank of two bytes side by side
         self.forget()
 
     def merge(self, words: list[bytes]) -> list[bytes]:
@@ -200,7 +205,8 @@ class Encoder(_Coder):
             goes_on[ends - 1] = False
             n = np.where(goes_on, np.append(t[1:], -1), -1).astype(np.int32)
             s = np.maximum.accumulate(np.where(np.append(True, ~goes_on[:-1]), x, 0))
-            got = self._run("word_bytes", pa.table({"x": x, "t": t, "n": n, "s": s}), sql)
+            rk = np.where(goes_on, np.append(self.first_rank[raw[:-1], raw[1:]], _NONE), _NONE).astype(np.int32)
+            got = self._run("word_bytes", pa.table({"x": x, "t": t, "n": n, "s": s, "rk": rk}), sql)
             ids = got.column("t").to_numpy().astype("<u2").tobytes()
             at = (np.searchsorted(got.column("x").to_numpy(), np.append(0, ends)) * 2).tolist()
             out += [ids[i:j] for i, j in zip(at, at[1:], strict=False)]
@@ -218,20 +224,23 @@ class Encoder(_Coder):
 
     def _learn(self, splits: list[list[str]], whole: list[list[str]]) -> None:
         """IDs of all new chunks, and of all new pre-tokens of texts that are cut as a whole."""
-        if splits and self.held > CACHE_BYTES:
-            self.forget()
+        if splits and self.held > CACHE_BYTES // 2:  # what is not met again while the cache fills once more goes
+            self.old_chunks, self.old_others, self.chunks, self.others, self.held = self.chunks, self.others, {}, {}, 0
         seen: set[str] = set()
         for chunks in splits:
             seen.update(chunks)
-        new = {c for c in seen if c not in self.chunks}
+        new = self._kept({c for c in seen if c not in self.chunks}, self.chunks, self.old_chunks)
         many = {c: [f" {cut[0]}", cut[1]] if (cut := marked_word(c)) else self.pattern.findall(f" {c}") for c in new if not c.isalpha()}
         plain, others = new.difference(many), set()
+        more: set[str] = set()
         for piece in set().union(*many.values(), *whole):
             if piece[0] == " " and piece[1:].isalpha():
                 if piece[1:] not in self.chunks:
-                    plain.add(piece[1:])
+                    more.add(piece[1:])
             elif piece not in self.others:
                 others.add(piece)
+        plain |= self._kept(more, self.chunks, self.old_chunks)
+        others = self._kept(others, self.others, self.old_others)
         coded = self._code([f" {c}".encode() for c in plain] + [p.encode() for p in others])
         self.chunks.update(zip(plain, coded, strict=False))
         self.others.update(zip(others, coded[len(plain) :], strict=True))
@@ -240,8 +249,17 @@ class Encoder(_Coder):
             # white space at a chunk's edge can belong to a run that goes on in the next chunk
             self.chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else b"".join(map(self._piece, pieces))
 
+    def _kept(self, new: set[str], to: dict, old: dict) -> set[str]:
+        """Moves what the older half of the cache has of ``new``; the rest."""
+        found = {c: old[c] for c in new if c in old} if old else {}
+        to.update(found)
+        self.held += sum(ENTRY_BYTES + 2 * len(c) for c in found)
+        return new.difference(found) if found else new
+
     def forget(self) -> None:
         """Empties the cache. It is filled again from the texts at hand."""
+        self.old_chunks: dict[str, bytes | None] = {}
+        self.old_others: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}  # what stands between two spaces, encoded with the space before it
         self.others: dict[str, bytes] = {}  # pre-tokens that are no letters after a space
         self.held = 0
