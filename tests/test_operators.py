@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 import time
 
@@ -14,6 +15,7 @@ from tidewell.functions import text as X
 from tidewell.operators import changes as H
 from tidewell.operators import customer as C
 from tidewell.operators import evaluate as E
+from tidewell.operators import fullrank
 from tidewell.operators import messages as M
 from tidewell.operators import pii as A
 from tidewell.operators import purchases as P
@@ -325,3 +327,28 @@ def test_fifty_thousand_spans_of_one_text(spark):
     began = time.perf_counter()
     assert A.merge_by_precedence(df, "doc").count() > 25_000
     assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("blocks", [(2048, 4096), (3, 5)])
+def test_full_ranks_by_blocks_equal_sorting(spark, monkeypatch, blocks):
+    monkeypatch.setattr(fullrank, "USER_BLOCK", blocks[0])
+    monkeypatch.setattr(fullrank, "ITEM_BLOCK", blocks[1])
+    draw = random.Random(12)
+    items = {i: [draw.choice((0.0, 0.5, 1.0)), draw.choice((0.0, 1.0))] for i in range(23)}
+    users = {u: [draw.choice((0.5, 1.0)), draw.choice((0.0, 1.0))] for u in range(14) if u != 5}
+    hidden = {u: draw.randrange(30) for u in range(14)}  # items from 23 on, and user 5, have no vector
+    seen = {(u, i) for u in range(14) for i in draw.sample(range(30), 4) if i != hidden[u]}
+    tie = lambda u, i: hashlib.md5(f"t|{u}|{i}".encode()).hexdigest()
+    want = {}
+    for u, target in hidden.items():
+        open_items = [i for i in range(30) if (u, i) not in seen]
+        score = {i: round(sum(a * b for a, b in zip(users[u], items[i], strict=True)), 5) for i in open_items if u in users and i in items}
+        if target in score:
+            want[u] = 1 + sorted(score, key=lambda i: (-score[i], tie(u, i))).index(target)
+        else:
+            want[u] = len(score) + 1 + int(tie(u, target)[:8], 16) % max(len(open_items) - len(score), 1)
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema).repartition(3)
+    got = fullrank.factor_ranks(
+        frame(hidden.items(), "user long, item long"), frame(seen, "user long, item long"), frame(users.items(), "user long, u array<double>"), frame(items.items(), "item long, v array<double>"), frame([(30,)], "n long")
+    )
+    assert {r["user"]: r["rank"] for r in got.collect()} == want

@@ -115,11 +115,16 @@ def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(key, F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
 
 
-def dense(owned: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """REC8 and REC9: cosine of an item with the mean of the user's item vectors. ``items`` has item and unit ``v``."""
+def mean_vectors(owned: DataFrame, items: DataFrame) -> DataFrame:
+    """``user, u``: the mean of the user's item vectors, at length one."""
     parts = owned.select("user", "item").join(items, "item").select("user", F.posexplode("v").alias("i", "x"))
     mean = parts.groupBy("user", "i").agg(F.avg("x").alias("x")).groupBy("user").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    user = unit(mean, "user", "mean").withColumnRenamed("v", "u")
+    return unit(mean, "user", "mean").withColumnRenamed("v", "u")
+
+
+def dense(owned: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """REC8 and REC9: cosine of an item with the mean of the user's item vectors. ``items`` has item and unit ``v``."""
+    user = mean_vectors(owned, items)
     dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return candidates.select("user", "item").join(items, "item").join(user, "user").select("user", "item", F.round(dot, 5).alias("score"))
 
@@ -161,9 +166,13 @@ def ranked_list_scores(answers: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def best_query(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """REC18: rows queries(user, q) with unit vectors; an item's score is its largest cosine with any of the queries."""
+    """REC18: rows queries(user, q) with unit vectors; an item's score is its largest cosine with any of the queries.
+
+    All items are met, so the queries of the whole table are a bounded list (a few for each of a few users), which is
+    broadcast.
+    """
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return queries.join(items, "bucket").groupBy("user", "item").agg(F.round(F.max(dot), 5).alias("score"))
+    return items.crossJoin(F.broadcast(queries)).groupBy("user", "item").agg(F.round(F.max(dot), 5).alias("score"))
 
 
 def price_offer(recommended: DataFrame, discount: int = 15, from_rank: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from tidewell.operators import evaluate as E
 from tidewell.operators import purchases as P
 from tidewell.operators import recommend as R
 from tidewell.operators import sampling as S
+from tidewell.operators.fullrank import factor_ranks
 from tidewell.plans import sql as Q
 from tidewell.plans.registry import Registry
 from tidewell.session import table
@@ -127,10 +128,11 @@ def _vectors(spark, d):
     return items.join(v, "vec_id").select("item", "v")
 
 
-VEC = """nv AS (SELECT count(*) AS n FROM embeddings), uv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+USER_VEC = """nv AS (SELECT count(*) AS n FROM embeddings), uv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 un AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM uv), iv AS (SELECT p_partkey AS item, v FROM part, nv JOIN un ON un.vec_id = p_partkey % n),
 ex AS (SELECT user, i, avg(x) AS x FROM (SELECT user, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM hist JOIN iv USING (item)) GROUP BY ALL), mu AS (SELECT user, list(x ORDER BY i) AS m FROM ex GROUP BY user),
-us AS (SELECT user, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS u FROM mu),
+us AS (SELECT user, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS u FROM mu)"""
+VEC = USER_VEC + """,
 de AS (SELECT c.user, c.item, round(list_dot_product(u, v), 5) AS score FROM cand c JOIN iv USING (item) JOIN us USING (user))"""
 
 
@@ -199,14 +201,16 @@ def rec17_rerank_pool(spark, d):
 
 @area.query(
     """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM u),
-q AS (SELECT label AS user, label AS bucket, v AS q FROM n QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3)
-SELECT q.user, n.vec_id AS item, round(max(list_dot_product(q, v)), 5) AS score FROM q JOIN n ON n.label = q.bucket GROUP BY ALL"""
+q AS (SELECT label AS user, v AS q FROM n QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3)
+SELECT q.user, n.vec_id AS item, round(max(list_dot_product(q, v)), 5) AS score FROM q, n GROUP BY ALL"""
 )
 def rec18_best_of_queries(spark, d):
+    """Three queries for each label, against all items."""
     e = table(spark, d, "embeddings")
-    items = R.unit(e, "vec_id", "embedding").join(e.select("vec_id", F.col("label").alias("bucket")), "vec_id").withColumnRenamed("vec_id", "item")
-    first = items.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("item"))).where("k <= 3")
-    return R.best_query(first.select(F.col("bucket").alias("user"), "bucket", F.col("v").alias("q")), items.select("item", "bucket", "v"))
+    items = R.unit(e, "vec_id", "embedding").withColumnRenamed("vec_id", "item")
+    labelled = items.join(e.select(F.col("vec_id").alias("item"), F.col("label").alias("user")), "item")
+    first = labelled.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy("item"))).where("k <= 3")
+    return R.best_query(first.select("user", F.col("v").alias("q")), items)
 
 
 @area.query(
@@ -270,6 +274,33 @@ def ev1_full_ranks(spark, d):
     return E.full_ranks(a.hidden, a.hist, scores, a.catalog.agg(F.count("*").alias("n")))
 
 
+def _full_ranks_sql(scores: str) -> str:
+    """Ranks in the whole catalogue without the history, from all scores (user, item, score)."""
+    return f"""{scores}, left_ AS (SELECT * FROM rs ANTI JOIN hist USING (user, item)), t AS (SELECT hid.user, hid.item AS target, rs.score AS own, md5('t|' || hid.user || '|' || hid.item) AS tk FROM hid LEFT JOIN rs USING (user, item)),
+c AS (SELECT t.user, t.own, t.tk, count(o.score) AS scored, count(*) FILTER (o.score > own OR (o.score = own AND md5('t|' || o.user || '|' || o.item) < tk)) AS ahead FROM t LEFT JOIN left_ o ON o.user = t.user GROUP BY ALL),
+b AS (SELECT user, count(*) AS bought FROM hist GROUP BY 1)
+SELECT user, CASE WHEN own IS NOT NULL THEN ahead + 1 ELSE scored + 1 + ('0x' || substr(tk, 1, 8))::BIGINT % greatest((SELECT count(*) FROM part) - bought - scored, 1) END AS rank FROM c JOIN b USING (user)"""
+
+
+def _catalog_size(a):
+    return a.catalog.agg(F.count("*").alias("n"))
+
+
+@area.query(f"WITH {Q.SPLIT}, {USER_VEC}, " + _full_ranks_sql("rs AS (SELECT user, item, round(list_dot_product(u, v), 5) AS score FROM us, iv)"))
+def ev1_full_ranks_dense(spark, d):
+    """By the cosine of every item with the mean of the user's item vectors."""
+    a = Arena(spark, d)
+    items = _vectors(spark, d)
+    return factor_ranks(a.hidden, a.hist, R.mean_vectors(a.hist, items), items, _catalog_size(a))
+
+
+@area.query(f"WITH {Q.SPLIT}, pop AS (SELECT item, count(DISTINCT user)::DOUBLE AS score FROM hist GROUP BY item), " + _full_ranks_sql("rs AS (SELECT hid.user, pop.item, score FROM hid, pop)"))
+def ev1_full_ranks_popularity(spark, d):
+    a = Arena(spark, d)
+    items = R.popularity(a.hist).select("item", F.array("score").alias("v"))
+    return factor_ranks(a.hidden, a.hist, a.hidden.select("user", F.array(F.lit(1.0)).alias("u")), items, _catalog_size(a))
+
+
 @area.query(f"WITH {Q.CANDIDATES}, {POP}, {Q.ranked('pops')} SELECT user, rank FROM ranks")
 def ev2_sampled_ranks(spark, d):
     a = Arena(spark, d)
