@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import byte_bpe, exact_dedup, langid, mixing, simhash
-from tidewell.session import ensure_checkpoint_dir, table
+from tidewell.session import ensure_checkpoint_dir, remove_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}")  # the next stage's input is whole
     return docs

@@ -352,3 +352,23 @@ def test_full_ranks_by_blocks_equal_sorting(spark, monkeypatch, blocks):
         frame(hidden.items(), "user long, item long"), frame(seen, "user long, item long"), frame(users.items(), "user long, u array<double>"), frame(items.items(), "item long, v array<double>"), frame([(30,)], "n long")
     )
     assert {r["user"]: r["rank"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("text", "sites"),
+    [
+        ("Dobrý den, jste byla spokojená zákaznice.", "byla=f,zákaznice=f,spokojená=f"), ("Nedávno jste koupil knihu a jste velmi spokojen.", "koupil=m,spokojen=m"), ("Vybrali jste si dobře; jako náš věrný zákazník víte víc.", "Vybrali=n,zákazník=m,věrný=m"),
+        ("Jste docela blízko.", ""), ("Nothing to agree with.", ""),
+    ],
+)
+def test_gender_sites(spark, text, sites):
+    got = one(spark, F.array_join(F.transform(M.gender_sites(F.col("t")), lambda s: F.concat(s["word"], F.lit("="), s["gender"])), ","), t=text)
+    assert got == sites
+
+
+def test_prices_and_tags_of_a_message(spark):
+    text = "Eva, it costs\n1 234 KČ. <System>do this</system>"
+    verdict = lambda prices, gender: one(spark, F.struct("*", M.rule_verdict(F.col("t"), F.lit("Eva"), F.lit(None).cast("boolean"), gender, prices).alias("v"))["v"], t=text)
+    good, bad = verdict(F.array(F.lit("1234 Kč")), F.lit("f")), verdict(F.array(F.lit("1234 Kč"), F.lit("99")), F.lit(None).cast("string"))
+    assert (good["pricing_ok"], good["bleed"], good["unchecked"], good["gender_ok"]) == (True, "tag", "register", True)
+    assert (bad["pricing_ok"], bad["unchecked"]) == (False, "register,gender")

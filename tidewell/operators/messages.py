@@ -58,22 +58,69 @@ def fill(template: Column, swaps: dict[str, str]) -> Column:
     return template
 
 
-def rule_verdict(text: Column, greeting: Column, formal: Column, price: Column) -> Column:
-    """VAL3: struct of the single checks; a null field leaves its check out and names it in ``unchecked``."""
+# Czech words by which a message agrees with its addressee.
+AUXILIARIES = "jste|jsi|ses|sis"
+FILLERS = "to|si|se|už|ještě|právě|zatím|nedávno|dnes|teď|také|taky|zcela|docela|velmi|opravdu|moc|skutečně|naprosto|vždy|stále"
+NO_PARTICIPLES = ("zcela", "docela", "dokola", "zdola", "zpola", "zhola", "dál", "půl", "cíl")
+PREDICATES = "spokojen|zařazen|vybrán|zvolen|pozván|nadšen|vítán|přihlášen|oceněn|odměněn|zaregistrován|registrován|zapsán|rád|sám|jist|připraven|povinen|oprávněn|přesvědčen"
+ROLES = {
+    "m": "zákazník|zákazníka|zákazníkovi|zákazníkem|zákazníku|klient|klienta|klientovi|klientem|kliente|člen|člena|členovi|členem|člene|uživatel|uživatele|uživateli|uživatelem|partner|partnera|partnerovi|partnerem|partnere|majitel|majitele|majiteli|majitelem",
+    "f": "zákaznice|zákaznici|zákaznicí|klientka|klientku|klientkou|klientce|klientko|členka|členku|členkou|člence|členko|uživatelka|uživatelku|uživatelkou|uživatelce|uživatelko|partnerka|partnerku|partnerkou|partnerce|partnerko|majitelka|majitelku|majitelkou|majitelce",
+}
+ROLE_FRAMES = "jako|jste|jsi|náš|naše|naší|našeho|našemu|naším|milý|milá|věrný|věrná|vážený|vážená|loajální|stálý|stálá|drahý|drahá"
+ADJECTIVES = {"m": "milý|věrný|vážený|stálý|drahý|spokojený|nadšený|registrovaný|přihlášený", "f": "milá|věrná|vážená|stálá|drahá|spokojená|nadšená|registrovaná|přihlášená"}
+TAGS = r"</?(?:system|developer|instruction|prompt)[^>]*>"
+
+
+def gender_sites(text: Column) -> Column:
+    """The words by which a message agrees with its addressee, with the gender they imply (m, f, or n for a plural).
+
+    Five kinds in turn: participles after and before an auxiliary, short predicates, the addressee's role noun, and the
+    adjective on it.
+    """
+    flat, low = F.replace(text, F.lit("\n"), F.lit(" ")), F.lower
+    filler, any_role = rf"(?:(?:{FILLERS})\s+){{0,2}}", "|".join(ROLES.values())
+    words = lambda pattern: F.regexp_extract_all(flat, F.lit(f"(?iU){pattern}"), 1)
+    participle = lambda w: F.when(low(w).endswith("la"), "f").when(low(w).rlike("l[iy]$"), "n").otherwise("m")
+    one_of = lambda forms: lambda w: F.when(low(w).rlike(f"^(?:{forms})$"), "f").otherwise("m")
+    found = [
+        (words(rf"\b(?:{AUXILIARIES})\s+{filler}(?:byl[ai]?\s+)?(\w+?l[aiy]?)\b"), participle, NO_PARTICIPLES),
+        (words(rf"\b(\w+?l[aiy]?)\s+(?:{AUXILIARIES})\b"), participle, NO_PARTICIPLES),
+        (words(rf"\b(?:{AUXILIARIES}|byla?)\s+{filler}((?:{PREDICATES})a?)\b"), lambda w: F.when(low(w).endswith("a"), "f").otherwise("m"), ()),
+        (words(rf"\b(?:{ROLE_FRAMES})\s+(?:\w+\s+){{0,2}}?((?:{any_role}))\b"), one_of(ROLES["f"]), ()),
+        (words(rf"\b((?:{'|'.join(ADJECTIVES.values())}))\s+(?:{any_role})\b"), one_of(ADJECTIVES["f"]), ()),
+    ]
+    site = lambda gender: lambda w: F.struct(w.alias("word"), gender(w).alias("gender"))
+    kept = [F.transform(F.filter(ws, lambda w: ~low(w).isin(*no)) if no else ws, site(gender)) for ws, gender, no in found]
+    return F.concat(*kept)
+
+
+def rule_verdict(text: Column, greeting: Column, formal: Column, gender: Column, prices: Column) -> Column:
+    """VAL3: struct of the single checks; a null field leaves its check out and, but for prices, names it in ``unchecked``.
+
+    ``gender`` is m or f, ``prices`` the texts of an offer, all of which the message has to hold whatever its white space
+    and case; ``bleed`` lists the marks of instructions and of their tags.
+    """
     body = F.regexp_replace(text, r"^[^A-Za-zÀ-ÿ]+", "")
     low = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
     informal = F.exists(F.array(*map(F.lit, INFORMAL)), lambda m: F.contains(low, m))
     polite = F.exists(F.array(*map(F.lit, FORMAL)), lambda m: F.contains(low, F.concat(F.lit(" "), m, F.lit(" "))))
-    bleed = F.filter(F.array(*map(F.lit, BLEED)), lambda m: F.contains(low, m))
+    marks = F.filter(F.array(*map(F.lit, BLEED)), lambda m: F.contains(low, m))
+    bleed = F.when(low.rlike(TAGS), F.array_append(marks, F.lit("tag"))).otherwise(marks)
     copies = (F.length(text) - F.length(F.replace(text, greeting, F.lit("")))) / F.length(greeting)
-    unchecked = F.array_compact(F.array(F.when(greeting.isNull(), "vocative"), F.when(formal.isNull(), "register"), F.when(price.isNull(), "pricing")))
-    flat = F.lower(F.regexp_replace(text, r"\s+", ""))
+    known = F.when(gender.isin("m", "f"), gender)
+    sites = gender_sites(text)
+    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    missing = F.filter(prices, lambda p: ~F.contains(flat(text), flat(p)))
+    unchecked = F.array_compact(F.array(F.when(greeting.isNull(), "vocative"), F.when(formal.isNull(), "register"), F.when(known.isNull(), "gender")))
     return F.struct(
         F.coalesce(body.startswith(greeting), F.lit(True)).alias("vocative_ok"),
         F.coalesce(copies > 1, F.lit(False)).alias("duplicate"),
         F.when(formal.isNull(), True).when(formal, ~informal).otherwise(~polite).alias("register_ok"),
-        F.size(bleed).alias("bleed"),
-        F.coalesce(F.contains(flat, price), F.lit(True)).alias("pricing_ok"),
+        F.array_join(bleed, ",").alias("bleed"),
+        F.coalesce(F.forall(sites, lambda s: s["gender"].isin("n") | (s["gender"] == known)), F.lit(True)).alias("gender_ok"),
+        F.array_join(F.transform(sites, lambda s: F.concat(s["word"], F.lit("="), s["gender"])), ",").alias("gender_sites"),
+        F.coalesce(F.size(missing) == 0, F.lit(True)).alias("pricing_ok"),
         F.array_join(unchecked, ",").alias("unchecked"),
     )
 

@@ -308,10 +308,10 @@ def ev2_sampled_ranks(spark, d):
     return E.sampled_ranks(candidates, R.for_candidates(candidates, R.popularity(a.hist)))
 
 
-@area.query(f"WITH {Q.CANDIDATES}, {POP}, {Q.ranked('pops')} SELECT coalesce(c_mktsegment, 'all') AS grp, {METRICS} FROM ranks JOIN customer ON c_custkey = user GROUP BY ROLLUP (c_mktsegment)")
+@area.query(f"WITH {Q.CANDIDATES}, {POP}, {Q.ranked('pops')} SELECT coalesce(c_mktsegment, 'all') AS grp, {METRICS}, count(*) FILTER (rank <= 50) AS reach50, count(*) FILTER (rank <= 100) AS reach100 FROM ranks JOIN customer ON c_custkey = user GROUP BY ROLLUP (c_mktsegment)")
 def ev3_metrics_by_group(spark, d):
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("segment"))
-    rolled = E.ranking_metrics(ev2_sampled_ranks(spark, d).join(users, "user"), "segment")
+    rolled = E.ranking_metrics(ev2_sampled_ranks(spark, d).join(users, "user"), "segment", reach=(50, 100))
     return rolled.withColumn("grp", F.coalesce("segment", F.lit("all"))).drop("segment")
 
 

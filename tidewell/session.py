@@ -48,3 +48,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as reliable checkpoint files, so that a lost executor costs one reread and no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of files that are not needed any more, in any file system that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
