@@ -20,7 +20,7 @@ Decoding. The token IDs of the documents become rows, join the vocabulary and ar
 per document. Bytes travel as Latin-1 characters, one for each byte.
 
 Everything is per partition: no shuffle, no files. The memory of a worker process is bounded by ``SLICE``
-characters of text or one text, a cache of about ``CACHE_BYTES`` that lasts from task to task, and some 100 bytes for each
+characters of text or one text, a cache of about ``cache_bytes`` (``CACHE_BYTES`` unless given) that lasts from task to task, and some 100 bytes for each
 byte of the rows of one query (``ROWS`` or one pre-token).
 
 Defined results: a null text is empty and has no tokens; a column of the same name as a result is replaced; an empty
@@ -45,7 +45,7 @@ from tidewell.llm.word_bpe import marked_word, ranges, slices
 
 SLICE = 2_000_000
 DECODE_SLICE = 100_000
-CACHE_BYTES = 90_000_000
+CACHE_BYTES = 120_000_000
 ENTRY_BYTES = 200
 ROWS = 300_000
 SHORT = 64
@@ -175,9 +175,10 @@ def _spanned_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 class Encoder(_Coder):
     """Texts to token IDs."""
 
-    def __init__(self, vocabulary: str, pattern: str) -> None:
+    def __init__(self, vocabulary: str, pattern: str, cache_bytes: int | None = None) -> None:
         super().__init__(vocabulary)
         self.pattern = regex.compile(pattern)
+        self.cache_bytes = cache_bytes or CACHE_BYTES
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs, ranks = _spanned_pairs(self.ranks)
         self._store("pairs", pa.table({"lr": pairs, "rk": ranks}))
@@ -224,7 +225,7 @@ class Encoder(_Coder):
 
     def _learn(self, splits: list[list[str]], whole: list[list[str]]) -> None:
         """IDs of all new chunks, and of all new pre-tokens of texts that are cut as a whole."""
-        if splits and self.held > CACHE_BYTES // 2:  # what is not met again while the cache fills once more goes
+        if splits and self.held > self.cache_bytes // 2:  # what is not met again while the cache fills once more goes
             self.old_chunks, self.old_others, self.chunks, self.others, self.held = self.chunks, self.others, {}, {}, 0
         seen: set[str] = set()
         for chunks in splits:
@@ -312,10 +313,12 @@ class Decoder(_Coder):
         return out
 
 
-def encoder(vocabulary: str, pattern: str) -> Encoder:
+def encoder(vocabulary: str, pattern: str, cache_bytes: int | None = None) -> Encoder:
     if (vocabulary, pattern) not in _encoders:
         _encoders[vocabulary, pattern] = Encoder(vocabulary, pattern)
-    return _encoders[vocabulary, pattern]
+    coder = _encoders[vocabulary, pattern]
+    coder.cache_bytes = cache_bytes or CACHE_BYTES
+    return coder
 
 
 def decoder(vocabulary: str) -> Decoder:
@@ -338,10 +341,10 @@ def _append(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, kind) for c, kind in columns.items()]]))
 
 
-def _encoded(batch: pa.RecordBatch, vocabulary: str, pattern: str, text_col: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def _encoded(batch: pa.RecordBatch, vocabulary: str, pattern: str, text_col: str, cache_bytes: int | None) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     column = batch.column(text_col)
     for lo, hi in ranges(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), SLICE):
-        yield lo, hi, encoder(vocabulary, pattern).encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
+        yield lo, hi, encoder(vocabulary, pattern, cache_bytes).encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
 
 
 def _id_lists(ids: list[np.ndarray]) -> pa.Array:
@@ -353,11 +356,11 @@ def _decoded(ids: list[np.ndarray], vocabulary: str) -> list[bytes]:
     return [b for lo, hi in slices(ids, DECODE_SLICE) for b in decoder(vocabulary).decode(ids[lo:hi])]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", to: str = "ids", cache_bytes: int | None = None) -> DataFrame:
     """``docs`` with the token IDs of ``text_col`` in the array column ``to``."""
 
     def make(batch: pa.RecordBatch):
-        for lo, hi, ids in _encoded(batch, vocabulary, pattern, text_col):
+        for lo, hi, ids in _encoded(batch, vocabulary, pattern, text_col, cache_bytes):
             yield lo, hi, [_id_lists(ids)]
 
     return _append(docs, {to: T.ArrayType(T.IntegerType())}, make)
@@ -375,11 +378,13 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids_col: str = "ids", to:
     return _append(docs, {to: T.BinaryType()}, make)
 
 
-def round_trip_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", to: str = "ids", decoded: str = "decoded") -> DataFrame:
+def round_trip_documents(
+    docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", to: str = "ids", decoded: str = "decoded", cache_bytes: int | None = None
+) -> DataFrame:
     """``docs`` with token IDs and the bytes decoded from them, by one worker process per task instead of two."""
 
     def make(batch: pa.RecordBatch):
-        for lo, hi, ids in _encoded(batch, vocabulary, pattern, text_col):
+        for lo, hi, ids in _encoded(batch, vocabulary, pattern, text_col, cache_bytes):
             yield lo, hi, [_id_lists(ids), pa.array(_decoded(ids, vocabulary), pa.binary())]
 
     return _append(docs, {to: T.ArrayType(T.IntegerType()), decoded: T.BinaryType()}, make)
