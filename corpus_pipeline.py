@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from tidewell.llm import byte_bpe, exact_dedup, langid, mixing, simhash
 from tidewell.session import ensure_checkpoint_dir, remove_folder, table
 
+#: Bytes of the encoder's cache in a worker process; less than its default, as the executors still hold what the stages
+#: before have left in their memory.
+CACHE_BYTES = 40_000_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects."""
@@ -46,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token IDs of each document, and whether decoding them gives its text again."""
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.round_trip_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary, pattern)
+    coded = byte_bpe.round_trip_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary, pattern, cache_bytes=CACHE_BYTES)
     return coded.select(
         "doc_id",
         "lang",
