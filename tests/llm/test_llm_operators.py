@@ -209,6 +209,16 @@ def test_the_cache_is_bounded_and_changes_nothing(reference, monkeypatch):
         assert len(coder.chunks) <= 41
 
 
+def test_the_cache_size_is_a_parameter(spark, reference):
+    texts = [f"word{j} shared, {'q' * (j % 90)} tail{j * j}" for j in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    for size in (1000, None):
+        for coded in (byte_bpe.round_trip_documents(docs, BPE, P.PATTERN, cache_bytes=size), byte_bpe.encode_documents(docs, BPE, P.PATTERN, cache_bytes=size)):
+            assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {k: reference.encode_ordinary(t) for k, t in enumerate(texts)}
+    coder = byte_bpe.encoder(BPE, P.PATTERN, 1000)
+    assert coder.cache_bytes == 1000 and byte_bpe.encoder(BPE, P.PATTERN) is coder and coder.cache_bytes == byte_bpe.CACHE_BYTES
+
+
 def test_words_of_all_lengths_keep_their_order(coder, reference):
     words = [b" " + bytes([97 + k % 26]) * (1 + 37 * k % 150) + b"ing" for k in range(60)]
     assert coder[0].merge(words) == [np.array(reference.encode_ordinary(w.decode()), "<u2").tobytes() for w in words]
