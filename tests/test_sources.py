@@ -45,6 +45,20 @@ def test_pinned_files(spark, tmp_path):
     assert got == {"ok.txt": "ok", "size.txt": "size-mismatch", "sum.txt": "md5-mismatch", "gone.txt": "missing"}
 
 
+def test_pinned_files_of_several_chunks_and_odd_names(spark, tmp_path):
+    big = bytes(range(256)) * 40_000
+    contents = {"big.bin": big, "a b%20c.gz": b"not packed", "empty": b"", "ž.txt": "ž".encode()}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    rows = [(n, len(c), hashlib.md5(c).hexdigest()) for n, c in contents.items()]
+    rows += [("big.bin", len(big), hashlib.md5(big[:-1]).hexdigest()), ("big.bin", 1, "x"), ("empty", None, "x"), ("gone", None, None), (None, 1, "x")]
+    manifest = spark.createDataFrame(rows, "name string, size long, md5 string")
+    got = sorted((r["name"] or "-", r["state"]) for r in readers.verify_pinned(spark, f"file://{tmp_path}", manifest).collect())
+    odd = [("big.bin", "md5-mismatch"), ("big.bin", "size-mismatch"), ("empty", "size-mismatch"), ("gone", "missing"), ("-", "missing")]
+    assert got == sorted([(n, "ok") for n in contents] + odd)
+    assert readers.verify_pinned(spark, f"file://{tmp_path}", manifest.limit(0)).count() == 0
+
+
 def test_database_is_not_overwritten_unasked(spark, tmp_path):
     df = spark.range(3)
     writers.write_database({"t": df}, f"file://{tmp_path}/db")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,8 +75,42 @@ def require_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) ->
     return out
 
 
+def _pinned_state(folder: str, chunk: int = 4 << 20):
+    """A function over batches of manifest rows that looks each file up, sizes first."""
+
+    def state(name: str, size: float, md5: str | None) -> str:
+        scheme, _, rest = f"{folder.rstrip('/')}/{name}".partition(":")
+        host, _, tail = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest)
+        system, root = (fs.LocalFileSystem(), "/") if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        path = f"{root.rstrip('/')}/{tail.lstrip('/')}"
+        found = system.get_file_info(path)
+        if not found.is_file:
+            return "missing"
+        if found.size != size:
+            return "size-mismatch"
+        digest = hashlib.md5()
+        with system.open_input_stream(path, compression=None) as stream:
+            while part := stream.read(chunk):
+                digest.update(part)
+        return "ok" if digest.hexdigest() == md5 else "md5-mismatch"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            states = ["missing" if n is None else state(n, s, m) for n, s, m in zip(batch["name"], batch["size"], batch["md5"], strict=True)]
+            yield pd.DataFrame({"name": batch["name"], "state": pd.Series(states, dtype=object)})
+
+    return run
+
+
 def verify_pinned(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """SRC6: state of each file of a manifest (name, size, md5): ok, missing, size-mismatch or md5-mismatch."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("found_size"), F.md5("content").alias("found_md5"))
-    state = F.when(F.col("found_size").isNull(), "missing").when(F.col("found_size") != F.col("size"), "size-mismatch").when(F.col("found_md5") != F.col("md5"), "md5-mismatch").otherwise("ok")
-    return manifest.join(files, "name", "left").select("name", state.alias("state"))
+    """SRC6: state of each file of a manifest (name, size, md5): ok, missing, size-mismatch or md5-mismatch.
+
+    The folder is on a shared path or in a store that Arrow can open. Sizes come first; only files of the right size are
+    read, by chunks of a few MB, so that a file may be of any size. Each row of the manifest has its state: a null name is
+    missing, a null size or digest matches no file, an empty file is a file, and an empty manifest gives no rows.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # a row per file is little data and much work, so the files are dealt out before any is read
+    dealt = manifest.select("name", "size", "md5").repartition(spark.sparkContext.defaultParallelism * 4)
+    return dealt.mapInPandas(_pinned_state(whole), "name string, state string")
