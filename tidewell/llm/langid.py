@@ -37,7 +37,6 @@ CLASSES = DIM.bit_length()
 _letters: list[np.ndarray] = []
 
 
-
 def _is_letter() -> np.ndarray:
     if not _letters:
         _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
@@ -153,9 +152,14 @@ def fit(
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pieces = [(lang, k == 0, ngram_counts(p)) for lang, t in zip(batch["lang"], batch["text"], strict=True) for k, p in enumerate(beginnings(t or ""))]
-            found = [(lang, whole, np.flatnonzero(c).astype("<u2"), c[c > 0].astype("<f4")) for lang, whole, c in pieces if c is not None]
-            yield pd.DataFrame({"lang": [f[0] for f in found], "whole": [f[1] for f in found], "at": [f[2].tobytes() for f in found], "n": [f[3].tobytes() for f in found]})
+            for lo in range(0, len(batch), 32):  # full counts are 32 kB a piece, so each goes before the next comes
+                found = [
+                    (lang, k == 0, np.flatnonzero(c).astype("<u2").tobytes(), c[c > 0].astype("<f4").tobytes())
+                    for lang, t in zip(batch["lang"][lo : lo + 32], batch["text"][lo : lo + 32], strict=True)
+                    for k, p in enumerate(beginnings(t or ""))
+                    if (c := ngram_counts(p)) is not None
+                ]
+                yield pd.DataFrame(found, columns=["lang", "whole", "at", "n"])
 
     columns = "lang string, whole boolean, at binary, n binary"
     got = sorted((r["lang"], r["whole"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInPandas(sparse, columns).collect())
