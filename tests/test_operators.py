@@ -372,3 +372,64 @@ def test_prices_and_tags_of_a_message(spark):
     good, bad = verdict(F.array(F.lit("1234 Kč")), F.lit("f")), verdict(F.array(F.lit("1234 Kč"), F.lit("99")), F.lit(None).cast("string"))
     assert (good["pricing_ok"], good["bleed"], good["unchecked"], good["gender_ok"]) == (True, "tag", "register", True)
     assert (bad["pricing_ok"], bad["unchecked"]) == (False, "register,gender")
+
+
+def test_random_numbers_are_a_permutation(spark):
+    places = spark.range(9999)
+    for seed in ("a", "b"):
+        got = [r["n"] for r in places.select("id", A.shuffled_number(F.col("id"), seed).alias("n")).orderBy("id").collect()]
+        assert sorted(got) == list(range(1, 10_000)) and got[:20] != sorted(got[:20])
+
+
+def test_token_policies(spark):
+    text = "Novák, Nováka, Novák <PERSON_2> a@b.cz <EMAIL_7b> a@b.cz <PERSON_99999999999999999999>"
+    at = [(0, 5, "PERSON"), (7, 13, "PERSON"), (15, 20, "PERSON"), (32, 38, "EMAIL"), (50, 56, "EMAIL")]
+    texts = spark.createDataFrame([(1, text), (2, "no names")], "k int, text string")
+    spans = spark.createDataFrame([(1, a, b, t, text[a:b]) for a, b, t in at], "k int, start int, stop int, pii_type string, surface string")
+    tokens = lambda **how: [r["token"] for r in A.tokens_for(spans, texts, "k", **how).orderBy("start").collect()]
+    assert tokens(unify="none") == ["<PERSON_1>", "<PERSON_3>", "<PERSON_4>", "<EMAIL_1>", "<EMAIL_2>"]
+    assert tokens(unify="exact") == ["<PERSON_1>", "<PERSON_3>", "<PERSON_1>", "<EMAIL_1>", "<EMAIL_1>"]
+    assert tokens() == ["<PERSON_1>", "<PERSON_1b>", "<PERSON_1>", "<EMAIL_1>", "<EMAIL_1>"]
+    for secret in "abcdef":
+        drawn = tokens(unify="none", numbering="random", secret=secret)
+        numbers = [int(t.strip("<>").split("_")[1]) for t in drawn]
+        assert len(set(numbers)) == 5 and not {2, 7} & set(numbers) and all(1 <= n <= 9999 for n in numbers)
+        assert drawn == tokens(unify="none", numbering="random", secret=secret)
+    masked = A.masked(texts, A.tokens_for(spans, texts, "k", numbering="random", secret="a"), "k")
+    assert all(r["again"] == r["text"] for r in masked.withColumn("again", A.restored(F.col("masked"), F.col("back"))).collect())
+    with pytest.raises(ValueError):
+        A.tokens_for(spans, texts, "k", unify="all")
+
+
+def test_random_numbers_run_out(spark):
+    texts = spark.createDataFrame([(1, "x")], "k int, text string")
+    spans = spark.range(9999).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("start"), (F.col("id") + 1).cast("int").alias("stop"), F.lit("PERSON").alias("pii_type"), F.lit("x").alias("surface"))
+    assert A.tokens_for(spans, texts, "k", unify="none", numbering="random").select("token").distinct().count() == 9999
+    tagged = spark.createDataFrame([(1, "x <PERSON_5>")], "k int, text string")
+    with pytest.raises(Exception, match="no free token number"):
+        A.tokens_for(spans, tagged, "k", unify="none", numbering="random").collect()
+
+
+def test_vault_gives_out_and_resolves(spark):
+    rows = [(1, "PERSON", "novak", "Novák", 3), (1, "PERSON", "novak", "Nováka", 5), (1, "PERSON", "cerny", "Černý", 4), (1, "EMAIL", "a", "a@b.cz", 9), (2, "PERSON", "cerny", "Černý", 1)]
+    vault = A.session_vault(spark.createDataFrame(rows, "s int, pii_type string, entity string, surface string, at int"), "s", "at")
+    assert {(r["s"], r["surface"], r["token"]) for r in vault.collect()} == {(1, "Novák", "<PERSON_1>"), (1, "Nováka", "<PERSON_1b>"), (1, "Černý", "<PERSON_2>"), (1, "a@b.cz", "<EMAIL_1>"), (2, "Černý", "<PERSON_1>")}
+    asked = spark.createDataFrame([(1, "<PERSON_1b>"), (2, "<PERSON_1b>"), (1, "<person_1>"), (1, None), (3, "<EMAIL_1>")], "s int, token string")
+    got = {(r["s"], r["token"]): (r["surface"], r["status"]) for r in A.resolved(asked, vault, "s").collect()}
+    assert got == {(1, "<PERSON_1b>"): ("Nováka", "ok"), (2, "<PERSON_1b>"): (None, "unknown"), (1, "<person_1>"): (None, "malformed"), (1, None): (None, "malformed"), (3, "<EMAIL_1>"): (None, "unknown")}
+
+
+def test_stored_index_reads_ranges_and_finds_the_newest(spark, tmp_path):
+    rows = [(i, i % 3, i * 7 % 50, f"Kabel č. {i}" if i % 2 else "Kabelka", "Žlutý" if i % 5 == 0 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id int, who int, at int, title string, body string")
+    M.write_term_index(docs, "id", ("title", "body"), ("who", "at"), f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    asked = {"a": ("Kabel*", None), "b": ("kabel žlutý", None), "c": ("kabel* kabel*", 1), "d": ("", None), "e": ("kabe", None)}
+    found = M.search_index(index, "id", asked, "at", "who", limit=7)
+    want = set()
+    for q, keep in (("a", lambda r: True), ("b", lambda r: r[0] % 2 and r[0] % 5 == 0), ("c", lambda r: r[1] == 1)):
+        want |= {(q, r[0], k + 1) for k, r in enumerate(sorted(filter(keep, rows), key=lambda r: (-r[2], -r[0]))[:7])}
+    assert {(r["query"], r["id"], r["rank"]) for r in found.collect()} == want
+    assert M.search_index(index, "id", {"d": ("", None)}, "at", "who").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(term,kabel)" in plan

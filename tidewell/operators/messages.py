@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,12 +152,12 @@ def categorise(text: Column) -> Column:
     return F.when(count == 0, none).otherwise(F.struct(best["name"].alias("category"), F.round(F.least(F.lit(0.95), 0.55 + 0.15 * count), 2).alias("confidence")))
 
 
-def term_index(docs: DataFrame, key: str, *columns: str) -> DataFrame:
-    """SRCH1: rows (term, key) of folded words over several text columns."""
+def term_index(docs: DataFrame, key: str, *columns: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """SRCH1: rows (term, key) of folded words over several text columns, with the columns ``kept``."""
     from tidewell.functions.text import ACCENTED, PLAIN
 
     folded = F.translate(F.lower(F.concat_ws(" ", *columns)), ACCENTED, PLAIN)
-    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit("[a-z0-9]{2,}"), 0))).alias("term"), key)
+    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit("[a-z0-9]{2,}"), 0))).alias("term"), key, *kept)
 
 
 def search(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
@@ -173,3 +175,39 @@ def search(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     begun = prefixes.join(starts, "head").select("query", "word", "n", key)
     found = exact.unionByName(begun).groupBy("query", key, "n").agg(F.countDistinct("word").alias("hits"))
     return found.where("hits = n").select("query", key)
+
+
+def write_term_index(docs: DataFrame, key: str, columns: tuple[str, ...], kept: tuple[str, ...], folder: str) -> None:
+    """SRCH1: the term index as Parquet in ``folder``, in ranges of term and key.
+
+    Files are sorted, so their statistics leave those with a query's words to be read; a frequent term has several.
+    """
+    index = term_index(docs, key, *columns, kept=kept)
+    index.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(folder)
+
+
+def search_index(index: DataFrame, key: str, queries: dict[str, tuple[str, object]], newest: str, owner: str, limit: int = 10) -> DataFrame:
+    """SRCH1: of each query, the ``limit`` newest keys that hold all its words; rows (query, key, newest, rank).
+
+    ``queries`` gives words, folded like the index, and an owner or None; a final ``*`` of a word asks for a prefix. Words
+    and prefixes are ranges of terms that reach the scan of a written index; texts are not read. Ties go to the larger
+    key; a query without words finds nothing.
+    """
+    from tidewell.functions.text import ACCENTED, PLAIN
+
+    asked = []
+    for name, (words, who) in queries.items():
+        distinct = sorted({w.lower().translate(str.maketrans(ACCENTED, PLAIN)) for w in words.split()})
+        for k, w in enumerate(distinct):  # "!" is before, "~" after all that a term is made of
+            asked.append((name, w.rstrip("*"), w.rstrip("*") + ("~" if w.endswith("*") else "!"), who, 1 << k, (1 << len(distinct)) - 1))
+    ranges = [(F.col("term") >= lo) & (F.col("term") < hi) for _, lo, hi, *_ in asked]
+    of = index.schema[owner].dataType
+    hits = F.array_compact(
+        F.array(*[F.when(r & (F.lit(who is None) | F.col(owner).eqNullSafe(F.lit(who).cast(of))), F.struct(F.lit(q).alias("query"), F.lit(bit).alias("bit"), F.lit(whole).alias("whole"))) for r, (q, _, _, who, bit, whole) in zip(ranges, asked, strict=True)])
+    )
+    if not asked:
+        return index.where(F.lit(False)).select(F.lit("").alias("query"), key, newest, F.lit(0).alias("rank"))
+    some = index.where(functools.reduce(lambda a, b: a | b, ranges)).select(key, newest, F.explode(hits).alias("h"))
+    found = some.groupBy("h.query", "h.whole", key, newest).agg(F.bit_or("h.bit").alias("bits")).where("bits = whole")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col(newest).desc(), F.col(key).desc()))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", key, newest, "rank")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers as I
 from tidewell.functions.text import let
+from tidewell.operators.sampling import draw
 
 SPAN = "array<struct<start:int,stop:int,pii_type:string,surface:string>>"
 #: Types whose spans give way to any other span.
@@ -134,24 +135,85 @@ def form_suffix(index: Column) -> Column:
     return F.when(index == 0, "").when(index < 26, letter(index)).otherwise(F.concat(letter(F.floor(index / 26) - 1), letter(index % 26)))
 
 
-def tokens_for(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """PII10: the token of each span: number by first occurrence of the entity in its text, suffix by surface form.
+def shuffled_number(place: Column, *seed: Column | str) -> Column:
+    """The number from 1 to 9999 at a place from 0 to 9998, in an order of its own for each seed.
 
-    Numbers that a text already uses in a tag of that type are skipped.
+    A place has two digits, to the bases 99 and 101. Four rounds in turn add a keyed hash of one digit to the other; each
+    round can be undone, so no number comes twice, without any state.
     """
-    keyed = spans.withColumn("entity", I.entity_key(F.col("pii_type"), F.col("surface")))
+
+    def rounds(at: Column, k: int) -> Column:
+        high, low = at["high"], at["low"]
+        if k == 4:
+            return high * 101 + low + 1
+        if k % 2:
+            low = (low + draw(*seed, str(k), high.cast("string"))) % 101
+        else:
+            high = (high + draw(*seed, str(k), low.cast("string"))) % 99
+        return let(F.struct(high.alias("high"), low.alias("low")), lambda x: rounds(x, k + 1))
+
+    low = place.cast("long") % 101
+    return let(F.struct(((place.cast("long") - low) / 101).cast("long").alias("high"), low.alias("low")), lambda x: rounds(x, 0))
+
+
+def tokens_for(spans: DataFrame, texts: DataFrame, key: str, unify: str = "entity", numbering: str = "reading", secret: str = "") -> DataFrame:
+    """PII10: the token of each span, with a suffix by surface form where forms share a number.
+
+    ``unify`` says which spans of a text share a number: 'none', those of one type and surface ('exact') or those of one
+    'entity'. ``numbering`` counts each type by first occurrence ('reading'), or takes numbers from 1 to 9999 in an order
+    that ``secret`` and key shuffle, each once in a text whatever the type ('random'); a text with more is an error.
+    Numbers that a text already uses in a tag (in reading order, of that type) are skipped.
+    """
+    if numbering not in ("reading", "random"):
+        raise ValueError(f"numbering is reading or random, not {numbering!r}")
+    one = {"none": F.col("start").cast("string"), "exact": F.col("surface"), "entity": I.entity_key(F.col("pii_type"), F.col("surface"))}
+    if unify not in one:
+        raise ValueError(f"unify is one of {', '.join(one)}, not {unify!r}")
+    keyed = spans.withColumn("entity", one[unify])
     first = keyed.groupBy(key, "pii_type", "entity").agg(F.min("start").alias("_at"))
-    numbered = first.withColumn("_number", F.row_number().over(Window.partitionBy(key, "pii_type").orderBy("_at"))).drop("_at")
+    line = Window.partitionBy(key).orderBy("_at", "pii_type") if numbering == "random" else Window.partitionBy(key, "pii_type").orderBy("_at")
+    numbered = first.withColumn("_number", F.row_number().over(line)).drop("_at")
     forms = keyed.groupBy(key, "pii_type", "entity", "surface").agg(F.min("start").alias("_at"))
     suffixed = forms.withColumn("_form", F.row_number().over(Window.partitionBy(key, "pii_type", "entity").orderBy("_at")) - 1).drop("_at")
     tags = texts.select(key, F.regexp_extract_all("text", F.lit(r"<([A-Z_]+_[0-9]+)[a-z]*>"), 1).alias("_tags"))
+    used = lambda t: F.regexp_extract(t, "([0-9]+)$", 1).try_cast("long")
+    if numbering == "random":
+        places = F.sequence(F.lit(0), F.least(F.col("_n") + F.size("_tags"), F.lit(9999)).cast("int") - 1)
+        order = F.transform(places, lambda j: shuffled_number(j, secret, F.col(key).cast("string")))
+        tags = tags.join(numbered.groupBy(key).agg(F.count("*").alias("_n")), key).select(key, F.array_except(order, F.transform("_tags", used)).alias("_free"))
+        free = F.col("_free")
+    else:
+        own = F.transform(F.filter("_tags", lambda t: F.regexp_replace(t, "_[0-9]+$", "") == F.col("pii_type")), used)
+        free = F.array_except(F.sequence(F.lit(1).cast("long"), F.col("_number") + F.size(own).cast("long")), own)
     joined = keyed.join(numbered, [key, "pii_type", "entity"]).join(suffixed, [key, "pii_type", "entity", "surface"]).join(tags, key)
-    own = F.transform(F.filter("_tags", lambda t: F.regexp_replace(t, "_[0-9]+$", "") == F.col("pii_type")), lambda t: F.regexp_extract(t, "([0-9]+)$", 1).cast("int"))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_number") + F.size(own)), own)
-    token = F.concat(F.lit("<"), "pii_type", F.lit("_"), F.element_at(free, F.col("_number")).cast("string"), form_suffix(F.col("_form")), F.lit(">"))
+    number = F.when(F.col("_number") <= F.size(free), F.element_at(free, F.col("_number"))).otherwise(F.raise_error(F.lit("a text has no free token number left")).cast("long"))
+    token = F.concat(F.lit("<"), "pii_type", F.lit("_"), number.cast("string"), form_suffix(F.col("_form")), F.lit(">"))
     return joined.select(key, "start", "stop", "pii_type", "surface", "entity", token.alias("token"))
 
 
+def session_vault(mentions: DataFrame, session: str, at: str) -> DataFrame:
+    """PII14: rows (session, pii_type, entity, surface, token, uses) of mentions (session, pii_type, entity, surface, at).
+
+    Entities are numbered by their first use in a session, type by type; further surface forms get a suffix each.
+    """
+    forms = mentions.groupBy(session, "pii_type", "entity", "surface").agg(F.min(at).alias("_at"), F.count("*").alias("uses"))
+    of = Window.partitionBy(session, "pii_type", "entity")
+    placed = forms.withColumn("_first", F.min("_at").over(of)).withColumn("_form", F.row_number().over(of.orderBy("_at", "surface")) - 1)
+    number = F.dense_rank().over(Window.partitionBy(session, "pii_type").orderBy("_first", "entity"))
+    token = F.concat(F.lit("<"), "pii_type", F.lit("_"), number.cast("string"), form_suffix(F.col("_form")), F.lit(">"))
+    return placed.select(session, "pii_type", "entity", "surface", token.alias("token"), "uses")
+
+
+def resolved(requests: DataFrame, vault: DataFrame, session: str) -> DataFrame:
+    """PII14: requests (session, token) with the surface behind the token and a status.
+
+    'ok'; 'malformed' for what is no token; 'unknown' for a token that this session never gave out, whoever else did.
+    """
+    known = vault.select(session, "token", "surface")
+    status = F.when(~F.coalesce("token", F.lit("")).rlike("^<[A-Z_]+_[0-9]+[a-z]*>$"), "malformed").when(F.col("surface").isNull(), "unknown").otherwise("ok")
+    return requests.join(known, [session, "token"], "left").select(session, "token", "surface", status.alias("status"))
+
+
 def masked(texts: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     """Texts with their spans replaced by tokens, and the map back; a text without spans stays."""
     lists = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "token", "surface"))).alias("found"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tidewell.operators import changes as H
 from tidewell.operators import messages as M
 from tidewell.plans.privacy import NAMES
 from tidewell.plans.registry import Registry
-from tidewell.session import table
+from tidewell.session import ensure_checkpoint_dir, table
 
 area = Registry()
 
@@ -194,6 +196,23 @@ def srch1_full_text(spark, d):
     return M.search(M.term_index(table(spark, d, "documents"), "doc_id", "text"), "doc_id", asked)
 
 
+SEARCHES = {"s1": ("furnit* 1997", None), "s2": ("MEDIUM customer", None), "s3": ("build* 00000001*", None), "s4": ("customer", 85), "s5": ("19* high auto*", None), "s6": ("nowhere customer", None)}
+
+
+@area.query(
+    "WITH q(query, word, owner, n) AS (VALUES " + ", ".join(f"('{q}', '{w.lower()}', {o or 'NULL'}, {len(ws.split())})" for q, (ws, o) in SEARCHES.items() for w in ws.split()) + """),
+t AS (SELECT o_orderkey, o_custkey, o_orderdate, unnest(regexp_extract_all(lower(concat_ws(' ', c_name, c_mktsegment, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'))), '[a-z0-9]{2,}')) AS term FROM orders JOIN customer ON c_custkey = o_custkey),
+m AS (SELECT query, o_orderkey, o_orderdate FROM q JOIN t ON (owner IS NULL OR owner = o_custkey) AND CASE WHEN ends_with(word, '*') THEN starts_with(term, rtrim(word, '*')) ELSE term = word END GROUP BY query, o_orderkey, o_orderdate, n HAVING count(DISTINCT word) = n)
+SELECT query, o_orderkey, row_number() OVER (PARTITION BY query ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM m QUALIFY rank <= 10"""
+)
+def srch1_stored_index(spark, d):
+    """The ten newest orders of each search over four columns, one of them by one customer, from an index that is written first."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/term-index-{uuid.uuid4().hex}"
+    M.write_term_index(orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")), "o_orderkey", ("c_name", "c_mktsegment", "o_orderpriority", "day"), ("o_custkey", "o_orderdate"), folder)
+    return M.search_index(spark.read.parquet(folder), "o_orderkey", SEARCHES, "o_orderdate", "o_custkey").select("query", "o_orderkey", "rank")
+
+
 @area.query("SELECT n_nationkey AS company, n_name AS name, count(c_custkey) AS people, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FILTER (k <= 5), '') AS first_five FROM nation LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) ON c_nationkey = n_nationkey GROUP BY ALL")
 def srch2_company_people(spark, d):
     k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))

@@ -194,6 +194,33 @@ def pii10_masked_texts(spark, d):
     return _masked(spark, d).select("doc_id", "masked")
 
 
+@area.query(
+    f"""WITH {TOKENS}, ex AS (SELECT doc_id, pii_type, surface, row_number() OVER (PARTITION BY doc_id, pii_type ORDER BY min(start)) AS k FROM ent GROUP BY doc_id, pii_type, surface)
+SELECT 'none' AS policy, doc_id, start, '<' || pii_type || '_' || row_number() OVER (PARTITION BY doc_id, pii_type ORDER BY start) || '>' AS token FROM ent
+UNION ALL SELECT 'exact', doc_id, start, '<' || pii_type || '_' || k || '>' FROM ent JOIN ex USING (doc_id, pii_type, surface)"""
+)
+def pii10_policies(spark, d):
+    """Tokens where no spans share a number, and where those of one surface do."""
+    spans, texts = _ruled(spark, d), _docs(spark, d).select("doc_id", "text")
+    none, exact = (A.tokens_for(spans, texts, "doc_id", unify=u).select(F.lit(u).alias("policy"), "doc_id", "start", "token") for u in ("none", "exact"))
+    return none.unionByName(exact)
+
+
+_DRAWN = lambda k, digit: f"('0x' || substr(md5('s1|' || doc_id || '|{k}|' || {digit}), 1, 8))::BIGINT"
+
+
+@area.query(
+    f"""WITH {TOKENS}, r0 AS (SELECT doc_id, pii_type, entity, row_number() OVER (PARTITION BY doc_id ORDER BY min(start), pii_type) - 1 AS j FROM ent GROUP BY doc_id, pii_type, entity),
+r1 AS (SELECT doc_id, pii_type, entity, (j // 101 + {_DRAWN(0, "j % 101")}) % 99 AS h, j % 101 AS l FROM r0), r2 AS (SELECT * REPLACE ((l + {_DRAWN(1, "h")}) % 101 AS l) FROM r1),
+r3 AS (SELECT * REPLACE ((h + {_DRAWN(2, "l")}) % 99 AS h) FROM r2), r4 AS (SELECT * REPLACE ((l + {_DRAWN(3, "h")}) % 101 AS l) FROM r3)
+SELECT doc_id, start, '<' || pii_type || '_' || (h * 101 + l + 1) || regexp_extract(token, '[a-z]*>$') AS token FROM tok JOIN r4 USING (doc_id, pii_type, entity)"""
+)
+def pii10_random_numbers(spark, d):
+    """Tokens whose numbers tell no order."""
+    texts = _docs(spark, d).select("doc_id", "text")
+    return A.tokens_for(_ruled(spark, d), texts, "doc_id", numbering="random", secret="s1").select("doc_id", "start", "token")
+
+
 @area.query("SELECT count(*) AS texts, count(*) AS restored FROM documents")
 def pii11_restore(spark, d):
     """Every masked text comes back exactly."""
@@ -223,6 +250,23 @@ def pii14_session_vault(spark, d):
     return per.select("session", "entity", F.format_string("<EVENT_%d>", k).alias("token"), "uses")
 
 
+@area.query(
+    """WITH m AS (SELECT user_id AS session, upper(event_type) AS pii_type, event_id, regexp_extract(props, '[0-9]+') AS surface FROM events), e AS (SELECT *, surface::INT // 10 AS entity FROM m),
+n AS (SELECT session, pii_type, entity, row_number() OVER (PARTITION BY session, pii_type ORDER BY min(event_id), entity) AS k FROM e GROUP BY session, pii_type, entity),
+f AS (SELECT session, pii_type, entity, surface, row_number() OVER (PARTITION BY session, pii_type, entity ORDER BY min(event_id), surface) AS f FROM e GROUP BY session, pii_type, entity, surface),
+v AS (SELECT session, surface, '<' || pii_type || '_' || k || CASE WHEN f = 1 THEN '' ELSE chr((96 + f)::INT) END || '>' AS token FROM f JOIN n USING (session, pii_type, entity)),
+r AS (SELECT session, token FROM v UNION ALL SELECT session + 1, token FROM v UNION ALL SELECT session, trim(token, '<>') FROM v)
+SELECT r.session, r.token, surface, CASE WHEN r.token NOT LIKE '<%' THEN 'malformed' WHEN surface IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM r LEFT JOIN v ON v.session = r.session AND v.token = r.token"""
+)
+def pii14_token_lookup(spark, d):
+    """Each session's tokens asked for in it, in the next session, and without their brackets."""
+    surface = F.regexp_extract("props", "[0-9]+", 0)
+    mentions = table(spark, d, "events").select(F.col("user_id").alias("session"), F.upper("event_type").alias("pii_type"), F.floor(surface.cast("int") / 10).alias("entity"), surface.alias("surface"), "event_id")
+    vault = A.session_vault(mentions, "session", "event_id")
+    asked = F.explode(F.array(F.struct("session", "token"), F.struct((F.col("session") + 1).alias("session"), "token"), F.struct("session", F.regexp_replace("token", "[<>]", "").alias("token"))))
+    return A.resolved(vault.select(asked.alias("r")).select("r.*"), vault, "session")
+
+
 #: Stand-in for a corpus' planted values, longest first; one of them is part of another.
 PLANTED = ("License", "licen", "password", "word", "die ", "the ")
 PLANTED_SQL = f"""pl AS (SELECT doc_id, text, unnest([{", ".join(f"'{p}'" for p in PLANTED)}]) AS value FROM documents),
