@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import string
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,11 +154,13 @@ def categorise(text: Column) -> Column:
     return F.when(count == 0, none).otherwise(F.struct(best["name"].alias("category"), F.round(F.least(F.lit(0.95), 0.55 + 0.15 * count), 2).alias("confidence")))
 
 
+#: Small Latin letters with marks and the letters that they decompose to.
+UNACCENTED = {c: base for c in map(chr, range(0xE0, 0x250)) if c == c.lower() and (base := unicodedata.normalize("NFD", c)[0]) in string.ascii_lowercase}
+
+
 def term_index(docs: DataFrame, key: str, *columns: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """SRCH1: rows (term, key) of folded words over several text columns, with the columns ``kept``."""
-    from tidewell.functions.text import ACCENTED, PLAIN
-
-    folded = F.translate(F.lower(F.concat_ws(" ", *columns)), ACCENTED, PLAIN)
+    folded = F.translate(F.lower(F.concat_ws(" ", *columns)), "".join(UNACCENTED), "".join(UNACCENTED.values()))
     return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit("[a-z0-9]{2,}"), 0))).alias("term"), key, *kept)
 
 
@@ -193,11 +197,9 @@ def search_index(index: DataFrame, key: str, queries: dict[str, tuple[str, objec
     and prefixes are ranges of terms that reach the scan of a written index; texts are not read. Ties go to the larger
     key; a query without words finds nothing.
     """
-    from tidewell.functions.text import ACCENTED, PLAIN
-
     asked = []
     for name, (words, who) in queries.items():
-        distinct = sorted({w.lower().translate(str.maketrans(ACCENTED, PLAIN)) for w in words.split()})
+        distinct = sorted({w.lower().translate(str.maketrans(UNACCENTED)) for w in words.split()})
         for k, w in enumerate(distinct):  # "!" is before, "~" after all that a term is made of
             asked.append((name, w.rstrip("*"), w.rstrip("*") + ("~" if w.endswith("*") else "!"), who, 1 << k, (1 << len(distinct)) - 1))
     ranges = [(F.col("term") >= lo) & (F.col("term") < hi) for _, lo, hi, *_ in asked]
