@@ -114,7 +114,7 @@ def rule_verdict(text: Column, greeting: Column, formal: Column, gender: Column,
     copies = (F.length(text) - F.length(F.replace(text, greeting, F.lit("")))) / F.length(greeting)
     known = F.when(gender.isin("m", "f"), gender)
     sites = gender_sites(text)
-    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    flat = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
     missing = F.filter(prices, lambda p: ~F.contains(flat(text), flat(p)))
     unchecked = F.array_compact(F.array(F.when(greeting.isNull(), "vocative"), F.when(formal.isNull(), "register"), F.when(known.isNull(), "gender")))
     return F.struct(
