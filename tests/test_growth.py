@@ -55,3 +55,48 @@ def test_ranks_by_item_scores_need_no_user(spark):
     cand = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, False), (2, 3, True), (2, 1, False), (3, 2, False)], "user long, item long, hidden boolean")
     scores = spark.createDataFrame([(1, 1.0), (2, 2.0)], "item long, score double")
     assert {tuple(r) for r in E.sampled_ranks(cand, scores).collect()} == {(1, 2), (2, 2)}
+
+
+def test_small_blocks_of_much_work_are_many_tasks(spark):
+    from tidewell.operators import fullrank
+
+    hidden = spark.range(40).select(F.col("id").alias("user"), (F.col("id") % 7).alias("item"))
+    users, items = hidden.select("user", F.array(F.lit(1.0)).alias("u")), spark.range(64).select(F.col("id").alias("item"), F.array(F.lit(1.0)).alias("v"))
+    blocks, n = fullrank._blocked(items, "item", "v", fullrank.ITEM_BLOCK, "ib", least=fullrank.LEAST_BLOCKS)
+    assert n == fullrank.LEAST_BLOCKS and blocks.count() > 16
+    ranks = fullrank.factor_ranks(hidden, hidden.limit(0), users, items, items.agg(F.count("*").alias("n"))).collect()
+    assert len(ranks) == 40 and all(1 <= r["rank"] <= 64 for r in ranks)
+
+
+def test_equal_training_rows_become_weights(spark):
+    from tidewell.operators import learned as L
+
+    draw = random.Random(5)
+    rows = [(i % 2, *[round(draw.choice((0.1, 0.2, 0.3)) + 0.1 * (i % 2), 1) for _ in range(4)], 0.5) for i in range(400)]
+    train = spark.createDataFrame(rows, f"label int, {', '.join(f'{f} double' for f in L.FEATURES)}")
+    assert L.distinct_rows(train).agg(F.sum("n")).first()[0] == 400 and L.distinct_rows(train).count() < 400
+    wanted = train.limit(9).withColumn("user", F.lit(1)).withColumn("item", F.monotonically_increasing_id())
+    got = {r["item"]: r["score"] for r in L.svm_scores(train, wanted).collect()}
+    again = {r["item"]: r["score"] for r in L.svm_scores(train.union(train), wanted, c=0.25).collect()}
+    assert len(got) == 9 and all(abs(got[i] - again[i]) < 0.05 for i in got)
+
+
+def test_prices_are_found_whatever_their_case(spark):
+    from tidewell.operators import messages as M
+
+    row = spark.createDataFrame([("Die große Kiste", ["GROSSE K"], ["GROSSER K"])], "t string, p array<string>, q array<string>")
+    verdict = lambda p: M.rule_verdict(F.col("t"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(None).cast("string"), F.col(p))["pricing_ok"].alias(p)
+    assert tuple(row.select(verdict("p"), verdict("q")).first()) == (True, False)
+
+
+def test_character_errors_agree_with_sql_on_long_and_empty_urls(spark, tmp_path):
+    import duckdb
+    from comparing import agree
+
+    from tidewell import catalog
+
+    urls = ["http://A/" + "b" * 70 + "XYZ", "ab", "a", "", None]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    agree(catalog.queries()["ev13_character_error_rate"], catalog.oracle_sql()["ev13_character_error_rate"], spark, con, f"file://{tmp_path}")
