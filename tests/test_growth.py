@@ -100,3 +100,42 @@ def test_character_errors_agree_with_sql_on_long_and_empty_urls(spark, tmp_path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     agree(catalog.queries()["ev13_character_error_rate"], catalog.oracle_sql()["ev13_character_error_rate"], spark, con, f"file://{tmp_path}")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_are_detected_once(spark):
+    from conftest import DATA
+
+    from tidewell import catalog
+    from tidewell.functions import identifiers as I
+
+    for name in ("pii5_rule_spans", "pii10_tokens", "pii10_masked_texts", "ev10_unification_rate"):
+        assert _plan(catalog.queries()[name](spark, DATA)).count("regexp_extract_all(text#") - _plan(catalog.queries()[name](spark, DATA)).count("<([A-Z_]+_[0-9]+)[a-z]*>") == len(I.SHAPES) - 1, name
+    for name in ("pii10_policies", "pii10_random_numbers", "ev8_partial_matching", "ev11_overlap_recall"):
+        assert I.SHAPES["EMAIL"] not in _plan(catalog.queries()[name](spark, DATA)), name
+
+
+def test_shapes_are_looked_for_only_where_they_can_be(spark):
+    from tidewell.operators import pii as A
+
+    texts = ["a@b.cz", "tel. 602 123 456", "a@b.cz 12345678 1/2000", "PSČ ٣٤٥ ١٢", "nic", "", None, "a@b.cz 110 00 x@y.eu"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    every = [A.matches(F.col("text"), A.I.SHAPES[t], t) for t in A.RULES]
+    checked = [F.filter(m, A._checked(t)) if t in A.CHECKS else m for m, t in zip(every, A.RULES, strict=True)]
+    plain = A.without_overlap(F.concat(*checked), "longest", "earliest", "type")
+    got = df.select(A.rule_spans(F.col("text")).alias("a"), plain.alias("b"), A.matches(F.col("text"), "nic", "X").alias("m")).collect()
+    assert all(r["a"] == r["b"] for r in got) and got[6]["a"] is None and got[6]["m"] is None and got[5]["a"] == [] and [len(r["m"]) for r in got if r["m"] is not None] == [0, 0, 0, 0, 1, 0, 0]
+    assert [s["pii_type"] for s in got[7]["a"]] == ["EMAIL", "PSC", "EMAIL"]
+
+
+def test_entities_that_begin_together_have_numbers_of_their_own(spark):
+    from tidewell.operators import pii as A
+
+    spans = spark.createDataFrame([(1, 0, 4, "X", "Jana"), (1, 0, 9, "X", "Jana Malá"), (1, 12, 16, "X", "Jana")], "k int, start int, stop int, pii_type string, surface string")
+    texts = spark.createDataFrame([(1, "Jana Malá a Jana")], "k int, text string")
+    tokens = A.tokens_for(spans, texts, "k", unify="exact")
+    assert [r["token"] for r in tokens.orderBy("start", "stop").collect()] == ["<X_1>", "<X_2>", "<X_1>"]
+    assert _plan(tokens).count("regexp_extract_all") == 1 and _plan(tokens).count("Join") == 1

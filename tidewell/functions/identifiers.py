@@ -17,6 +17,8 @@ SHAPES = {
     "BBAN": r"\b(?:\d{1,6}-)?\d{2,10}/\d{4}\b",
     "PSC": r"\b\d{3}\s?\d{2}\b",
 }
+#: What a text needs to have for a shape to be in it; a digit, if not named.
+NEEDED = {"EMAIL": "@"}
 # Surname endings, longest first, with their paradigm.
 ENDINGS = (
     ("ovou", "f"), ("ové", "f"), ("ová", "f"), ("ého", "adj"), ("ému", "adj"), ("ým", "adj"), ("ém", "adj"), ("ovi", "m"), ("em", "m"),

@@ -19,9 +19,9 @@ YIELDING = ("PSC",)
 
 
 def matches(text: Column, pattern: str, pii_type: str) -> Column:
-    """PII1: the spans of a pattern in a text; null for a null text."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    """PII1: the spans of a pattern in a text; null for a null text. A text without any is read once."""
+    gaps = F.split(text, pattern, -1)
+    pairs = lambda found: F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -30,7 +30,8 @@ def matches(text: Column, pattern: str, pii_type: str) -> Column:
         span = F.struct(begin.alias("start"), stop.alias("stop"), F.lit(pii_type).alias("pii_type"), x["m"].alias("surface"))
         return F.struct(stop.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    offsets = lambda found: F.aggregate(pairs(found), start, step, lambda acc: acc["spans"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(offsets(found)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -75,12 +76,17 @@ CHECKS = {"ICO": I.ico_ok, "RC": I.birth_number_ok, "IBAN_CZ": I.iban_ok}
 
 
 def rule_spans(text: Column, types: tuple[str, ...] = RULES) -> Column:
-    """PII5: all shapes, checksums where there are any; of overlapping spans the longest stays, then the earliest."""
-    parts = []
+    """PII5: all shapes, checksums where there are any; of overlapping spans the longest stays, then the earliest.
+
+    A shape is only looked for in texts with a character that it cannot do without; most texts have none.
+    """
+    parts = {}
     for t in types:
         found = matches(text, I.SHAPES[t], t)
-        parts.append(F.filter(found, _checked(t)) if t in CHECKS else found)
-    return without_overlap(F.concat(*parts), "longest", "earliest", "type")
+        parts.setdefault(I.NEEDED.get(t, "[0-9]"), []).append(F.filter(found, _checked(t)) if t in CHECKS else found)
+    none = F.array().cast(SPAN)
+    gated = [F.when(text.rlike(needed), F.concat(*some)).otherwise(none) for needed, some in parts.items()]
+    return F.when(text.isNotNull(), without_overlap(F.concat(*gated), "longest", "earliest", "type"))
 
 
 def _checked(pii_type: str):
@@ -104,7 +110,8 @@ def snapped(text: Column, start: Column, stop: Column, letter: str = "[A-Za-zÀ-
 
 
 def exploded(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
-    return df.select(key, F.explode(spans).alias("s")).select(key, "s.*")
+    """A row per span. The outer form, as for the plain one the optimizer adds a filter that detects all spans once more."""
+    return df.select(key, F.explode_outer(spans).alias("s")).where("s IS NOT NULL").select(key, "s.*")
 
 
 def join_fragments(spans: DataFrame, texts: DataFrame, key: str, gap: str = r"^[\s,]*$") -> DataFrame:
@@ -169,23 +176,26 @@ def tokens_for(spans: DataFrame, texts: DataFrame, key: str, unify: str = "entit
     one = {"none": F.col("start").cast("string"), "exact": F.col("surface"), "entity": I.entity_key(F.col("pii_type"), F.col("surface"))}
     if unify not in one:
         raise ValueError(f"unify is one of {', '.join(one)}, not {unify!r}")
-    keyed = spans.withColumn("entity", one[unify])
-    first = keyed.groupBy(key, "pii_type", "entity").agg(F.min("start").alias("_at"))
-    line = Window.partitionBy(key).orderBy("_at", "pii_type") if numbering == "random" else Window.partitionBy(key, "pii_type").orderBy("_at")
-    numbered = first.withColumn("_number", F.row_number().over(line)).drop("_at")
-    forms = keyed.groupBy(key, "pii_type", "entity", "surface").agg(F.min("start").alias("_at"))
-    suffixed = forms.withColumn("_form", F.row_number().over(Window.partitionBy(key, "pii_type", "entity").orderBy("_at")) - 1).drop("_at")
+    # a text's spans come together once, as a list; windows within the text number them, so they are computed once
+    row = F.struct("start", "stop", "pii_type", "surface", one[unify].alias("entity"))
+    lists = spans.groupBy(key).agg(F.collect_list(row).alias("_spans"))
+    keyed = lists.select(key, F.explode("_spans").alias("s")).select(key, "s.*")
+    of = lambda *more: Window.partitionBy(key, *more)
+    placed = keyed.withColumn("_at", F.min("start").over(of("pii_type", "entity"))).withColumn("_form_at", F.min("start").over(of("pii_type", "entity", "surface")))
+    line = of().orderBy("_at", "pii_type", "entity") if numbering == "random" else of("pii_type").orderBy("_at", "entity")
+    numbered = placed.withColumn("_number", F.dense_rank().over(line)).withColumn("_form", F.dense_rank().over(of("pii_type", "entity").orderBy("_form_at", "surface")) - 1)
     tags = texts.select(key, F.regexp_extract_all("text", F.lit(r"<([A-Z_]+_[0-9]+)[a-z]*>"), 1).alias("_tags"))
     used = lambda t: F.regexp_extract(t, "([0-9]+)$", 1).try_cast("long")
     if numbering == "random":
         places = F.sequence(F.lit(0), F.least(F.col("_n") + F.size("_tags"), F.lit(9999)).cast("int") - 1)
         order = F.transform(places, lambda j: shuffled_number(j, secret, F.col(key).cast("string")))
-        tags = tags.join(numbered.groupBy(key).agg(F.count("*").alias("_n")), key).select(key, F.array_except(order, F.transform("_tags", used)).alias("_free"))
+        entities = F.size(F.array_distinct(F.transform("_spans", lambda s: F.struct(s["pii_type"], s["entity"]))))
+        tags = lists.select(key, entities.alias("_n")).join(tags, key).select(key, F.array_except(order, F.transform("_tags", used)).alias("_free"))
         free = F.col("_free")
     else:
         own = F.transform(F.filter("_tags", lambda t: F.regexp_replace(t, "_[0-9]+$", "") == F.col("pii_type")), used)
         free = F.array_except(F.sequence(F.lit(1).cast("long"), F.col("_number") + F.size(own).cast("long")), own)
-    joined = keyed.join(numbered, [key, "pii_type", "entity"]).join(suffixed, [key, "pii_type", "entity", "surface"]).join(tags, key)
+    joined = numbered.join(tags, key)
     number = F.when(F.col("_number") <= F.size(free), F.element_at(free, F.col("_number"))).otherwise(F.raise_error(F.lit("a text has no free token number left")).cast("long"))
     token = F.concat(F.lit("<"), "pii_type", F.lit("_"), number.cast("string"), form_suffix(F.col("_form")), F.lit(">"))
     return joined.select(key, "start", "stop", "pii_type", "surface", "entity", token.alias("token"))

@@ -11,7 +11,7 @@ from tidewell.operators import evaluate as E
 from tidewell.operators import pii as A
 from tidewell.operators.containment import containing
 from tidewell.plans.registry import Registry
-from tidewell.session import table
+from tidewell.session import checkpointed, table
 
 area = Registry()
 TYPES = A.RULES
@@ -31,6 +31,11 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "text")
 
 
+def _texts(spark, d):
+    """Keys and texts, dealt out by key: a file's texts may be one task's to read, but not to look through."""
+    return table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def _sql_spans(pattern: str, pii_type: str, check: str = "true") -> str:
     """One row per match with offsets, from the gaps between matches."""
     p = pattern.replace("'", "''")
@@ -51,7 +56,7 @@ ruled AS (SELECT doc_id, s.start AS start, s.stop AS stop, s.pii_type AS pii_typ
 
 
 def _ruled(spark, d):
-    return A.exploded(_docs(spark, d).select("doc_id", A.rule_spans(F.col("text"), TYPES).alias("spans")), "doc_id")
+    return A.exploded(_texts(spark, d).select("doc_id", A.rule_spans(F.col("text"), TYPES).alias("spans")), "doc_id")
 
 
 @area.query(f"WITH {SHAPED} SELECT doc_id, pii_type, start, stop, surface FROM spans")
@@ -109,7 +114,7 @@ round((('0x' || substr(md5(doc_id || '|' || start), 1, 8))::BIGINT % 100) / 100.
 
 def _model(spark, d):
     """Stand-in for a model's output: long capitalised words with a hashed confidence."""
-    words = A.exploded(_docs(spark, d).select("doc_id", A.matches(F.col("text"), WORD, "PERSON").alias("spans")), "doc_id")
+    words = A.exploded(_texts(spark, d).select("doc_id", A.matches(F.col("text"), WORD, "PERSON").alias("spans")), "doc_id")
     score = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("start").cast("string"))), 1, 8), 16, 10).cast("long") % 100
     return words.withColumn("pii_type", F.when(F.col("start") % 3 == 0, "ADDRESS").otherwise("PERSON")).withColumn("confidence", F.round(score / 100.0, 2))
 
@@ -120,7 +125,7 @@ i AS (SELECT *, sum(CASE WHEN pt = pii_type AND regexp_full_match(substr(text, p
 SELECT doc_id, pii_type, min(start) AS start, max(stop) AS stop, min(confidence) AS confidence FROM i GROUP BY doc_id, island, pii_type"""
 )
 def pii6_join_fragments(spark, d):
-    return A.join_fragments(_model(spark, d), _docs(spark, d).select("doc_id", "text"), "doc_id", r"^[\s,.]*$")
+    return A.join_fragments(_model(spark, d), _texts(spark, d), "doc_id", r"^[\s,.]*$")
 
 
 @area.query(
@@ -180,13 +185,13 @@ msk AS (SELECT doc_id, string_agg(gap || token, '' ORDER BY start) || substr(any
 
 
 def _masked(spark, d):
-    texts = _docs(spark, d).select("doc_id", "text")
+    texts = _texts(spark, d)
     return A.masked(texts, A.tokens_for(_ruled(spark, d), texts, "doc_id"), "doc_id")
 
 
 @area.query(f"WITH {TOKENS} SELECT doc_id, start, token FROM tok")
 def pii10_tokens(spark, d):
-    return A.tokens_for(_ruled(spark, d), _docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", "start", "token")
+    return A.tokens_for(_ruled(spark, d), _texts(spark, d), "doc_id").select("doc_id", "start", "token")
 
 
 @area.query(f"WITH {TOKENS} SELECT doc_id, coalesce(masked, text) AS masked FROM documents LEFT JOIN msk USING (doc_id)")
@@ -201,7 +206,7 @@ UNION ALL SELECT 'exact', doc_id, start, '<' || pii_type || '_' || k || '>' FROM
 )
 def pii10_policies(spark, d):
     """Tokens where no spans share a number, and where those of one surface do."""
-    spans, texts = _ruled(spark, d), _docs(spark, d).select("doc_id", "text")
+    spans, texts = checkpointed(_ruled(spark, d)), _texts(spark, d)
     none, exact = (A.tokens_for(spans, texts, "doc_id", unify=u).select(F.lit(u).alias("policy"), "doc_id", "start", "token") for u in ("none", "exact"))
     return none.unionByName(exact)
 
@@ -217,8 +222,7 @@ SELECT doc_id, start, '<' || pii_type || '_' || (h * 101 + l + 1) || regexp_extr
 )
 def pii10_random_numbers(spark, d):
     """Tokens whose numbers tell no order."""
-    texts = _docs(spark, d).select("doc_id", "text")
-    return A.tokens_for(_ruled(spark, d), texts, "doc_id", numbering="random", secret="s1").select("doc_id", "start", "token")
+    return A.tokens_for(checkpointed(_ruled(spark, d)), _texts(spark, d), "doc_id", numbering="random", secret="s1").select("doc_id", "start", "token")
 
 
 @area.query("SELECT count(*) AS texts, count(*) AS restored FROM documents")
@@ -326,7 +330,7 @@ def pii18_label_normalisation(spark, d):
 SELECT pii_type, count(*) AS hits, round(1000.0::DOUBLE * count(*) / any_value(texts), 4) AS per_1000, round(count(DISTINCT doc_id) / any_value(texts)::DOUBLE, 6) AS touched, any_value(examples) AS examples FROM ruled JOIN n ON true JOIN e USING (pii_type) GROUP BY pii_type"""
 )
 def agg17_detection_rates(spark, d):
-    spans = _ruled(spark, d)
+    spans = checkpointed(_ruled(spark, d))
     texts = _docs(spark, d).agg(F.count("*").alias("texts"))
     rank = F.row_number().over(Window.partitionBy("pii_type").orderBy("surface"))
     some = spans.select("pii_type", "surface").distinct().withColumn("k", rank).where("k <= 3").groupBy("pii_type").agg(F.array_join(F.sort_array(F.collect_list("surface")), " ; ").alias("examples"))
@@ -343,7 +347,7 @@ c AS (SELECT coalesce(pii_type, 'all') AS pii_type, count(*) FILTER (g AND p) AS
 SELECT *, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c"""
 )
 def ev7_ev9_strict_scores(spark, d):
-    spans = _ruled(spark, d)
+    spans = checkpointed(_ruled(spark, d))
     return E.span_scores(spans.where("doc_id % 7 <> 0"), spans.where("doc_id % 5 <> 0"), "doc_id", "start", "stop", "pii_type")
 
 
@@ -358,7 +362,7 @@ SELECT (SELECT count(*) FROM exact) AS strict, (SELECT coalesce(sum(n), 0)::BIGI
 )
 def ev8_partial_matching(spark, d):
     """Shifted predictions of all types: exact ones first, the rest one to one by the largest overlap within each text."""
-    gold = _ruled(spark, d).select("doc_id", "start", "stop", "pii_type")
+    gold = checkpointed(_ruled(spark, d).select("doc_id", "start", "stop", "pii_type"))
     stays = F.col("start") % 4 == 0
     kind = F.when((F.col("pii_type") == "PSC") & (F.col("start") % 3 == 0), "ADDRESS").otherwise(F.col("pii_type"))
     pred = gold.where("doc_id % 3 <> 0").select("doc_id", F.when(stays, F.col("start")).otherwise(F.col("start") + 2).alias("start"), F.when(stays, F.col("stop")).otherwise(F.col("stop") + 9).alias("stop"), kind.alias("pii_type"))
@@ -367,14 +371,14 @@ def ev8_partial_matching(spark, d):
 
 @area.query(f"WITH {TOKENS} SELECT pii_type, count(*) AS spans, count(DISTINCT doc_id || entity) AS entities, round(1 - count(DISTINCT doc_id || entity) / count(*)::DOUBLE, 6) AS unification FROM tok GROUP BY 1")
 def ev10_unification_rate(spark, d):
-    tokens = A.tokens_for(_ruled(spark, d), _docs(spark, d).select("doc_id", "text"), "doc_id")
+    tokens = A.tokens_for(_ruled(spark, d), _texts(spark, d), "doc_id")
     counts = tokens.groupBy("pii_type").agg(F.count("*").alias("spans"), F.countDistinct("doc_id", "entity").alias("entities"))
     return counts.withColumn("unification", F.round(1 - F.col("entities") / F.col("spans"), 6))
 
 
 @area.query(f"WITH {EV_SQL}, sh AS (SELECT doc_id, start + 1 AS s, stop + 1 AS e FROM pred) SELECT count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM sh WHERE sh.doc_id = gold.doc_id AND s < gold.stop AND gold.start < e)) AS found FROM gold")
 def ev11_overlap_recall(spark, d):
-    spans = _ruled(spark, d).select("doc_id", "start", "stop", "pii_type").distinct()
+    spans = checkpointed(_ruled(spark, d).select("doc_id", "start", "stop", "pii_type").distinct())
     gold, pred = spans.where("doc_id % 7 <> 0"), spans.where("doc_id % 5 <> 0").select("doc_id", (F.col("start") + 1).alias("s"), (F.col("stop") + 1).alias("e"))
     found = gold.join(pred, (gold["doc_id"] == pred["doc_id"]) & (F.col("s") < F.col("stop")) & (F.col("start") < F.col("e")), "left_semi")
     return gold.agg(F.count("*").alias("gold")).crossJoin(found.agg(F.count("*").alias("found")))  # one row each
