@@ -139,3 +139,13 @@ def test_entities_that_begin_together_have_numbers_of_their_own(spark):
     tokens = A.tokens_for(spans, texts, "k", unify="exact")
     assert [r["token"] for r in tokens.orderBy("start", "stop").collect()] == ["<X_1>", "<X_2>", "<X_1>"]
     assert _plan(tokens).count("regexp_extract_all") == 1 and _plan(tokens).count("Join") == 1
+
+
+def test_fragments_are_joined_beside_the_text_not_with_it(spark):
+    from tidewell.operators import pii as A
+
+    texts = spark.createDataFrame([(1, "Jan Novák, Praha a Eva"), (2, "x")], "k int, text string")
+    spans = spark.createDataFrame([(1, 0, 3, "P", 0.5), (1, 4, 9, "P", 0.25), (1, 11, 16, "A", 0.75), (1, 19, 22, "A", 1.0)], "k int, start int, stop int, pii_type string, confidence double")
+    joined = A.join_fragments(spans, texts, "k")
+    assert sorted(tuple(r) for r in joined.select("pii_type", "start", "stop", "confidence").collect()) == [("A", 11, 16, 0.75), ("A", 19, 22, 1.0), ("P", 0, 9, 0.25)]
+    assert "lag(" not in _plan(joined)

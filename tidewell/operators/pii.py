@@ -116,11 +116,17 @@ def exploded(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
 
 def join_fragments(spans: DataFrame, texts: DataFrame, key: str, gap: str = r"^[\s,]*$") -> DataFrame:
     """PII6: neighbouring spans of one type with nothing but the gap pattern between them become one (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy("start", "stop")
-    joined = spans.join(texts, key)
-    between = F.col("text").substr(F.lag("stop").over(w) + 1, F.col("start") - F.lag("stop").over(w))
-    new = F.when((F.lag("pii_type").over(w) == F.col("pii_type")) & between.rlike(gap), 0).otherwise(1)
-    islands = joined.withColumn("island", new).withColumn("island", F.sum("island").over(w))
+    item = F.struct("start", "stop", "pii_type", "confidence")
+    # a text travels once, to the list of its spans, and never with each of them
+    joined = spans.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("all")).join(texts.select(key, "text"), key)
+
+    def goes_on(s: Column, i: Column) -> Column:
+        last = F.get("all", i - 1)
+        return F.when(last["pii_type"] == s["pii_type"], F.col("text").substr(last["stop"] + 1, s["start"] - last["stop"]).rlike(gap))
+
+    marked = F.transform("all", lambda s, i: F.struct(i.alias("place"), s.alias("span"), F.when(goes_on(s, i), 0).otherwise(1).alias("new")))
+    rows = exploded(joined.select(key, marked.alias("spans")), key).select(key, "place", "span.*", "new")
+    islands = rows.withColumn("island", F.sum("new").over(Window.partitionBy(key).orderBy("place")))
     return islands.groupBy(key, "island", "pii_type").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("confidence").alias("confidence")).drop("island")
 
 
