@@ -149,3 +149,36 @@ def test_fragments_are_joined_beside_the_text_not_with_it(spark):
     joined = A.join_fragments(spans, texts, "k")
     assert sorted(tuple(r) for r in joined.select("pii_type", "start", "stop", "confidence").collect()) == [("A", 11, 16, 0.75), ("A", 19, 22, 1.0), ("P", 0, 9, 0.25)]
     assert "lag(" not in _plan(joined)
+
+
+def test_co_buyers_meet_in_buckets(spark, monkeypatch):
+    from conftest import DATA
+
+    from tidewell import catalog
+    from tidewell.operators import cobuyers as C
+    from tidewell.operators import recommend as R
+
+    monkeypatch.setattr(C, "LISTED", 3)
+    draw = random.Random(5)
+    owned = sorted({(draw.choice((1, 2, 3, 5, 8, 2**40, -7, 40, 41)), draw.randrange(12)) for _ in range(60)} | {(1, 77), (99, 78)})
+    offered = [(u, i) for u in (1, 2, 8, 2**40, -7, 99, 500) for i in range(13) if (u, i) not in owned]
+    buyers = {i: {u for u, j in owned if i == j} for _, i in owned}
+    near = {}
+    for us in buyers.values():
+        for u in us:
+            for o in us - {u}:
+                near[u, o] = near.get((u, o), 0.0) + 1 / np.log(len(us))
+    want = {(u, i): sum(near.get((u, o), 0.0) for o in buyers.get(i, ())) for u, i in offered if any((u, o) in near for o in buyers.get(i, ()))}
+    hist, cand = spark.createDataFrame(owned, "user long, item long"), spark.createDataFrame(offered, "user long, item long")
+    for rows in (hist, hist.where("user between 0 and 100")):
+        if rows is hist:
+            got = {(r["user"], r["other"]): r["w"] for r in C.co_buyers(rows).collect()}
+            assert set(got) == set(near) and all(np.isclose(got[k], near[k]) for k in near)
+            scores = {(r["user"], r["item"]): r["score"] for r in R.adamic_adar(rows, cand).collect()}
+            assert set(scores) == set(want) and all(np.isclose(scores[k], want[k], atol=1e-6) for k in want)
+        else:
+            small = {(r["user"], r["other"]) for r in C.co_buyers(rows).collect()}
+            assert small == {(u, o) for u, o in near if 0 <= u <= 100 and 0 <= o <= 100}
+    assert C.co_buyers(hist.where("false")).count() == 0 and R.adamic_adar(hist.where("false"), cand).count() == 0
+    for name in ("jn9_co_buyers", "rec6_adamic_adar"):
+        assert "other" not in " ".join(x for x in catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x), name
