@@ -182,3 +182,20 @@ def test_co_buyers_meet_in_buckets(spark, monkeypatch):
     assert C.co_buyers(hist.where("false")).count() == 0 and R.adamic_adar(hist.where("false"), cand).count() == 0
     for name in ("jn9_co_buyers", "rec6_adamic_adar"):
         assert "other" not in " ".join(x for x in catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x), name
+
+
+def test_topics_of_a_user_come_from_vectors(spark):
+    from tidewell.operators import learned as L
+
+    shares = spark.createDataFrame([(1, [0.25, 0.75, 0.0]), (2, [0.5, 0.25, 0.25]), (3, [0.0, 0.0, 0.0])], "key long, v array<double>")
+    owned = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 2), (9, 99)], "user long, item long")
+    got = {tuple(r) for r in L.user_topics(owned, shares, 2).select("user", "rank", "topic", "weight").collect()}
+    assert got == {(7, 1, 1, 0.5), (7, 2, 0, 0.375), (8, 1, 0, 0.0), (8, 2, 1, 0.0), (9, 1, 0, 0.5), (9, 2, 1, 0.25)}
+
+
+def test_texts_in_ascii_are_not_looked_through_for_broken_sequences(spark):
+    from tidewell.functions import text as X
+
+    df = spark.createDataFrame([("plain & &amp;amp; x",), ("CafÃ© &eacute;",), ("sound é",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(X.unescape(X.repair_mojibake(F.col("t")))).collect()] == ["plain & & x", "Café é", "sound é", None, ""]
+    assert "octet_length" in _plan(df.select(X.repair_mojibake(F.col("t"))))

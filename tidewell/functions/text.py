@@ -104,7 +104,8 @@ def _unescape_once(text: Column) -> Column:
 def unescape(text: Column, rounds: int = 4) -> Column:
     """References to characters by the rules of HTML5, repeated for double escapes; each round is one pass over the pieces
     between ampersands: numbers with or without a semicolon, full names, else the longest of the older names."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda s, _: _unescape_once(s))
+    again = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), t, lambda s, _: _unescape_once(s))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), again(t)).otherwise(t))
 
 
 @dataclass(frozen=True)
@@ -181,7 +182,9 @@ def repair_mojibake(text: Column, rounds: int = 4) -> Column:
         return s
 
     shown = rf"(?=[^\x00-\x7F])(?:{'|'.join([*[page.sequences for page in PAGES], _LOST_BYTE])})"
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda s, _: F.when(s.rlike(shown), let(s, once)).otherwise(s))
+    again = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), t, lambda s, _: F.when(s.rlike(shown), let(s, once)).otherwise(s))
+    # a text without such a sequence is looked through once, one in ASCII not at all
+    return let(text, lambda t: F.when((F.octet_length(t) > F.length(t)) & t.rlike(shown), again(t)).otherwise(t))
 
 
 def control_characters(text: Column) -> Column:

@@ -464,7 +464,7 @@ def txt1_clean_text(spark, d):
 @area.query(f"SELECT doc_id, {TIDY_SQL.format('source')} AS source, {TIDY_SQL.format('text')} AS text FROM documents")
 def txt5_clean_nested(spark, d):
     """Cleaning within structs, arrays and maps; the given documents hold no entities, which the SQL leaves alone."""
-    nested = table(spark, d, "documents").select("doc_id", F.struct(F.array("text").alias("texts"), F.create_map(F.lit("source"), F.col("source")).alias("facts")).alias("n"))
+    nested = table(spark, d, "documents").repartition("doc_id").select("doc_id", F.struct(F.array("text").alias("texts"), F.create_map(F.lit("source"), F.col("source")).alias("facts")).alias("n"))
     return X.clean_nested(nested, "n").select("doc_id", F.col("n.facts")["source"].alias("source"), F.col("n.texts")[0].alias("text"))
 
 
