@@ -10,7 +10,7 @@ from tidewell.functions import identifiers as I
 from tidewell.operators import sampling as S
 from tidewell.plans.customer import KEYS
 from tidewell.plans.registry import Registry
-from tidewell.session import ensure_checkpoint_dir, table
+from tidewell.session import checkpointed, ensure_checkpoint_dir, table
 from tidewell.sources import readers, writers
 from tidewell.streaming import jobs
 
@@ -97,9 +97,11 @@ def src6_pinned_files(spark, d):
     """One file per supplier against a manifest of which three quarters are off, each in its own way."""
     folder = _folder(spark)
     names = table(spark, d, "supplier").select("s_name")
-    names.repartition(names.count(), "s_name").write.option("maxRecordsPerFile", 1).text(folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    listed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+    # a task writes many files, and puts them in place itself instead of the driver
+    spread = min(names.count(), spark.sparkContext.defaultParallelism * 4)
+    names.repartition(max(1, spread)).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0")  # a task without names may leave an empty file
+    listed = checkpointed(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5")))
     k = S.positions(listed, "md5", hashed=True)
     off = F.col("pos") % 4
     manifest = k.select(F.when(off == 3, F.concat("name", F.lit(".gone"))).otherwise(F.col("name")).alias("name"), F.when(off == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(off == 2, "x").otherwise(F.col("md5")).alias("md5"))
