@@ -199,3 +199,46 @@ def test_texts_in_ascii_are_not_looked_through_for_broken_sequences(spark):
     df = spark.createDataFrame([("plain & &amp;amp; x",), ("CafÃ© &eacute;",), ("sound é",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(X.unescape(X.repair_mojibake(F.col("t")))).collect()] == ["plain & & x", "Café é", "sound é", None, ""]
     assert "octet_length" in _plan(df.select(X.repair_mojibake(F.col("t"))))
+
+
+def test_documents_meet_words_in_buckets(spark):
+    import math
+    from collections import Counter
+
+    from tidewell.operators import recommend as R
+    from tidewell.operators import sampling as S
+
+    draw = random.Random(5)
+    words = ["a", "b", "Ä", "zz", "z", "", "ring", "bolt"] + [f"w{i}" for i in range(20)]
+    text = {i: [draw.choice(words[: 3 + i % 25]) for _ in range(1 + i % 6)] for i in range(60)}
+    rows = [(u, i, 3, k == 0) for u in range(15) for k, i in enumerate(draw.sample(range(60), 2 + u))] + [(99, 7, 3, True), (99, 777, 3, False), (100, 888, 1, True), (100, 8, 1, False)]
+    split = spark.createDataFrame(rows, "user long, item long, n long, hidden boolean")
+    catalog = spark.range(60).withColumnRenamed("id", "item")
+    docs = spark.createDataFrame([(i, t) for i, ts in text.items() for t in ts], "item long, term string")
+    n, avg = len(text), sum(map(len, text.values())) / len(text)
+    df = Counter(t for ts in text.values() for t in set(ts))
+    raw = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    candidates = [(r["user"], r["item"]) for r in S.sampled_candidates(split, catalog, 12, "7").collect()]
+    for top in (200, 3):
+        want = {}
+        for u, i in candidates:
+            owned = Counter(t for w, j, _, hidden in rows if w == u and not hidden for t in text.get(j, []))
+            query = {t for t, _ in sorted(owned.items(), key=lambda x: (-x[1], x[0].encode()))[:top]}
+            met = [idf[t] * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * len(text[i]) / avg)) for t, c in Counter(text.get(i, [])).items() if t in query]
+            if met:
+                want[u, i] = sum(met)
+        scores = R.bm25(split, catalog, docs, 12, top=top)
+        got = [tuple(r) for r in scores.collect()]
+        assert len(got) == len(want) > 100 and all(abs(s - want[u, i]) < 2e-6 for u, i, s in got)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" in plan and "term#" not in plan  # no word of a user, and none of a candidate, is a row
+
+
+def test_documents_without_terms_score_nothing(spark):
+    from tidewell.operators import lexical as L
+
+    owned = spark.createDataFrame([(1, [1, 1, 2], [0.5, 0.5, 0.25]), (2, None, None), (3, [4], [1.0])], "user long, terms array<int>, idfs array<double>")
+    offered = spark.createDataFrame([(1, 5, [1, 3]), (1, 6, None), (1, 7, [3]), (2, 5, [1]), (4, 5, [1]), (1, 5, [2])], "user long, item long, terms array<int>")
+    got = {(r["user"], r["item"]): r["score"] for r in L.okapi(owned, offered, 9, 2.0, 200, 1.5, 0.75).collect()}
+    assert set(got) == {(1, 5)} and abs(got[1, 5] - (0.5 + 0.25 * 2.5 / (1 + 1.5 * (0.25 + 0.75 / 2)))) < 1e-9  # an item that is offered twice adds up

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.cells import grid, vector_dots, vector_sums
 from tidewell.operators.cobuyers import reached
+from tidewell.operators.lexical import indexed, okapi
+from tidewell.operators.sampling import fresh_items
+from tidewell.session import checkpointed
 
 
 def popularity(hist: DataFrame) -> DataFrame:
@@ -88,23 +91,22 @@ def adamic_adar(hist: DataFrame, candidates: DataFrame) -> DataFrame:
     return reached(hist, candidates).select("user", "item", F.round("score", 6).alias("score"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """REC7: Okapi scores of rows queries(user, term) against docs(item, term), for the candidates.
+def bm25(split: DataFrame, catalog: DataFrame, docs: DataFrame, negatives: int = 100, seed: str = "7", top: int = 200, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """REC7: Okapi scores of the candidates of ``sampled_candidates`` by rows docs(item, term).
 
-    Candidates meet the terms of their items, and those the terms of the user, so a frequent term never pairs all users
-    with all items. Negative idf values become ``epsilon`` times the mean idf. No common term is no opinion.
+    A user's query is the ``top`` most frequent terms of the history, ties by the terms' order. Documents come along where
+    candidates are drawn, so a candidate is shuffled once to its item and once to its user. Negative idf values become
+    ``epsilon`` times the mean idf. No common term is no opinion. ``split`` is read three times.
     """
-    tf = docs.groupBy("item", "term").agg(F.count("*").alias("tf"))
-    size = docs.groupBy("item").agg(F.count("*").alias("len"))
-    corpus = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + F.lit(0.5)))  # one row
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    gains = tf.join(size, "item").join(idf, "term").select("item", "term", gain.alias("gain"))
-    met = candidates.select("user", "item").join(gains, "item").join(queries.select("user", "term").distinct(), ["user", "term"])
-    return met.groupBy("user", "item").agg(F.round(F.sum("gain"), 6).alias("score"))
+    index = checkpointed(indexed(docs, epsilon))
+    avg_len = index.agg(F.avg(F.size("terms"))).first()[0] or 1.0
+    sizes = split.agg(F.count("*"), F.count_if("hidden")).first()
+    mine = split.select("user", "item", "hidden").join(index, "item")
+    wants = split.where("hidden").select("user", F.lit(negatives).alias("n"))
+    drawn = fresh_items(wants, split.select("user", "item"), catalog.select("item").join(index, "item", "left"), seed, keep=("terms",))
+    offered = drawn.select("user", "item", "terms").union(mine.where("hidden").select("user", "item", "terms"))
+    scores = okapi(mine.where("NOT hidden"), offered, sizes[0] + sizes[1] * negatives, avg_len, top, k1, b)
+    return scores.select("user", "item", F.round("score", 6).alias("score"))
 
 
 def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
