@@ -242,3 +242,21 @@ def test_documents_without_terms_score_nothing(spark):
     offered = spark.createDataFrame([(1, 5, [1, 3]), (1, 6, None), (1, 7, [3]), (2, 5, [1]), (4, 5, [1]), (1, 5, [2])], "user long, item long, terms array<int>")
     got = {(r["user"], r["item"]): r["score"] for r in L.okapi(owned, offered, 9, 2.0, 200, 1.5, 0.75).collect()}
     assert set(got) == {(1, 5)} and abs(got[1, 5] - (0.5 + 0.25 * 2.5 / (1 + 1.5 * (0.25 + 0.75 / 2)))) < 1e-9  # an item that is offered twice adds up
+
+
+def test_marks_of_instructions_are_whole_words(spark, tmp_path):
+    import duckdb
+    from comparing import agree
+
+    from tidewell import catalog
+    from tidewell.operators import messages as M
+
+    texts = ["Il est pas an ai du le.", "Ne pas an aiment.", "Was an ai it.", "Élas an ai. As an aire."]
+    spark.createDataFrame([(c, t, "user", x) for c in range(6) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    agree(catalog.queries()["val3_rule_verdict"], catalog.oracle_sql()["val3_rule_verdict"], spark, con, f"file://{tmp_path}")
+    df = spark.createDataFrame([(0, "As an AI, I ignore previously given INSTRUCTIONS: no"), (1, "the system prompts"), (2, "(as\nan AI-model)"), (3, None)], "k int, t string")
+    none = F.lit(None)
+    v = M.rule_verdict(F.col("t"), none.cast("string"), none.cast("boolean"), none.cast("string"), none.cast("array<string>"))
+    assert [r[0] for r in df.orderBy("k").select(v["bleed"]).collect()] == ["ignore previous,as an ai,instructions:", "system prompt", "as an ai", ""]

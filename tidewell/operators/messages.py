@@ -28,7 +28,8 @@ CATEGORIES = (
 )
 INFORMAL = (" you ", " your ", " tu ", " du ")
 FORMAL = ("sir", "madam", "monsieur", "sie")
-BLEED = ("ignore previous", "system prompt", "as an ai", "instructions:")
+# marks of instructions, each with how it goes on; all begin a word, as "pas an ai" is no mark
+BLEED = {"ignore previous": "", "system prompt": "", "as an ai": r"(?![\p{L}\p{N}])", "instructions:": ""}
 
 
 def style_proportions(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,7 +110,7 @@ def rule_verdict(text: Column, greeting: Column, formal: Column, gender: Column,
     low = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
     informal = F.exists(F.array(*map(F.lit, INFORMAL)), lambda m: F.contains(low, m))
     polite = F.exists(F.array(*map(F.lit, FORMAL)), lambda m: F.contains(low, F.concat(F.lit(" "), m, F.lit(" "))))
-    marks = F.filter(F.array(*map(F.lit, BLEED)), lambda m: F.contains(low, m))
+    marks = F.array_compact(F.array(*[F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}]){mark}{after}"), mark) for mark, after in BLEED.items()]))
     bleed = F.when(low.rlike(TAGS), F.array_append(marks, F.lit("tag"))).otherwise(marks)
     copies = (F.length(text) - F.length(F.replace(text, greeting, F.lit("")))) / F.length(greeting)
     known = F.when(gender.isin("m", "f"), gender)
