@@ -260,3 +260,22 @@ def test_marks_of_instructions_are_whole_words(spark, tmp_path):
     none = F.lit(None)
     v = M.rule_verdict(F.col("t"), none.cast("string"), none.cast("boolean"), none.cast("string"), none.cast("array<string>"))
     assert [r[0] for r in df.orderBy("k").select(v["bleed"]).collect()] == ["ignore previous,as an ai,instructions:", "system prompt", "as an ai", ""]
+
+
+def test_sign_test_of_many_pairs_is_one_pass(spark):
+    import math
+    import time
+
+    from tidewell.operators import evaluate as E
+
+    def exact(a, b):
+        n, low = a + b, min(a, b)
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(low + 1))
+        return 1.0 if n == 0 else min(1.0, 2 * tail)
+
+    pairs = [(0, 0), (0, 1), (1, 0), (5, 1), (3, 3), (40, 61), (60_000, 60_300)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    began = time.perf_counter()
+    got = {(r["a"], r["b"]): r["p"] for r in df.withColumn("p", E.sign_test(F.col("a"), F.col("b"))).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(abs(got[p] - exact(*p)) < 2e-6 for p in pairs)
