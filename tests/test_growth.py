@@ -279,3 +279,27 @@ def test_sign_test_of_many_pairs_is_one_pass(spark):
     got = {(r["a"], r["b"]): r["p"] for r in df.withColumn("p", E.sign_test(F.col("a"), F.col("b"))).collect()}
     assert time.perf_counter() - began < 60
     assert all(abs(got[p] - exact(*p)) < 2e-6 for p in pairs)
+
+
+def test_population_learns_from_every_purchase(spark, monkeypatch):
+    from conftest import DATA
+
+    from tidewell import catalog
+    from tidewell.operators import learned as L
+    from tidewell.operators import purchases as P
+    from tidewell.plans.recommend import Arena
+
+    rows = spark.createDataFrame([(1, 5, 2), (1, 5, 4), (1, 6, 1), (2, 5, 3), (2, 7, 5), (3, 9, 1)], "user long, item long, rating int")
+    held = spark.createDataFrame([(1, 6), (3, 5)], "user long, item long")
+    assert {tuple(r) for r in P.population(rows, held).collect()} == {(1, 5, 7), (2, 5, 3), (2, 7, 5), (3, 9, 1)}
+
+    given = []
+    whole = L.als_scores
+    monkeypatch.setattr(L, "als_scores", lambda hist, pairs: given.append(hist) or whole(hist, pairs, rank=2, rounds=1))
+    catalog.queries()["rec14_population_als"](spark, DATA)
+    shop = spark.read.parquet(f"{DATA}/customer.parquet").where("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("user"))
+    hidden = Arena(spark, DATA).hidden.join(shop, "user", "left_semi")
+    bought = P.purchase_rows(spark, DATA)
+    want = bought.join(hidden, ["user", "item"], "left_anti")
+    assert given[0].agg(F.sum("rating"), F.count("*"), F.countDistinct("user")).first()[1:] == want.agg(F.countDistinct("user", "item"), F.countDistinct("user")).first()[:]
+    assert given[0].agg(F.sum(F.col("rating") + 1)).first()[0] == want.agg(F.sum(F.col("rating") + 1)).first()[0]
