@@ -303,3 +303,56 @@ def test_population_learns_from_every_purchase(spark, monkeypatch):
     want = bought.join(hidden, ["user", "item"], "left_anti")
     assert given[0].agg(F.sum("rating"), F.count("*"), F.countDistinct("user")).first()[1:] == want.agg(F.countDistinct("user", "item"), F.countDistinct("user")).first()[:]
     assert given[0].agg(F.sum(F.col("rating") + 1)).first()[0] == want.agg(F.sum(F.col("rating") + 1)).first()[0]
+
+
+def test_ties_are_hashed_together_and_meet_no_other_users(spark, monkeypatch):
+    import hashlib
+
+    from tidewell.operators import fullrank
+    from tidewell.operators import md5
+
+    digest = lambda u, i: hashlib.md5(f"t|{u}|{i}".encode()).digest()
+    draw = random.Random(9)
+    monkeypatch.setattr(md5, "FEW", 5)
+    keys = sorted({draw.choice((draw.randrange(10), draw.randrange(10**6), draw.randrange(2**60), -draw.randrange(1000))) for _ in range(900)})
+    held = md5.Keys(np.array(keys))
+    assert len(held.by_length) > 4 and held.few
+    for u in (7, 42, 123, 9999, 10**15, -5):
+        for target in (keys[0], keys[-1], 77):
+            assert held.ahead(b"t|%d|" % u, digest(u, target)) == sum(digest(u, k) < digest(u, target) for k in keys)
+
+    score = {i: float(draw.choice((1, 2, 3, 5))) for i in range(60)}
+    hidden = {u: draw.randrange(70) for u in range(30)}
+    seen = {(u, i) for u in range(30) if u != 3 for i in draw.sample(range(70), 6) if i != hidden[u]}
+    want = {}
+    for u, target in hidden.items():
+        open_ = [i for i in score if (u, i) not in seen]
+        left = 70 - sum(w == u for w, _ in seen)
+        if target in score:
+            want[u] = 1 + sorted(open_, key=lambda i: (-score[i], digest(u, i))).index(target)
+        else:
+            want[u] = len(open_) + 1 + int(digest(u, target).hex()[:8], 16) % max(left - len(open_), 1)
+    monkeypatch.setattr(fullrank, "TIED_USERS", 3)
+    monkeypatch.setattr(fullrank, "TIED_ITEMS", 4)
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    ranks = fullrank.item_ranks(frame(hidden.items(), "user long, item long"), frame(seen, "user long, item long"), frame(score.items(), "item long, score double"), frame([(70,)], "n long"))
+    assert {r["user"]: r["rank"] for r in ranks.collect()} == want
+
+
+def test_full_ranks_hold_no_vector_for_each_purchase(spark, monkeypatch):
+    from tidewell.operators import fullrank
+
+    draw = random.Random(4)
+    vectors = {k: [round(draw.uniform(-1, 1), 1) for _ in range(3)] for k in range(5)}
+    users = {u: [round(draw.uniform(-1, 1), 1) for _ in range(3)] for u in range(25)}
+    hidden, key = {u: draw.randrange(40) for u in users}, {i: i % 5 for i in range(40)}
+    seen = {(u, i) for u in users for i in draw.sample(range(40), 6) if i != hidden[u]}
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    given = [frame(hidden.items(), "user long, item long"), frame(seen, "user long, item long"), frame(users.items(), "user long, u array<double>")]
+    n, v = frame([(40,)], "n long"), "v array<double>"
+    monkeypatch.setattr(fullrank, "ITEM_BLOCK", 3)
+    plain = fullrank.factor_ranks(*given, frame([(i, vectors[k]) for i, k in key.items()], f"item long, {v}"), n)
+    shared = fullrank.factor_ranks(*given, frame(key.items(), "item long, key long"), n, vectors=frame(vectors.items(), f"key long, {v}"))
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in shared.collect()}
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
