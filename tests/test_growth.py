@@ -356,3 +356,26 @@ def test_full_ranks_hold_no_vector_for_each_purchase(spark, monkeypatch):
     assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in shared.collect()}
     plan = shared._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_factors_meet_pairs_in_cells_and_shuffles_are_freed(spark):
+    from tidewell.operators import learned as L
+    from tidewell.session import shuffles_freed
+
+    draw = random.Random(8)
+    hist = spark.createDataFrame([(u, i, draw.randrange(1, 6)) for u in range(12) for i in draw.sample(range(15), 5)], "user long, item long, rating int")
+    pairs = spark.createDataFrame([(u, i) for u in range(14) for i in range(0, 17, 2)], "user long, item long")
+    model = L._als(hist, 4, 3, 0.01)
+    want = {(r["user"], r["item"]): r["prediction"] for r in model.transform(pairs).collect()}
+    scores = L.als_scores(hist, pairs, 4, 3)
+    got = {(r["user"], r["item"]): r["score"] for r in scores.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    assert "FlatMapCoGroupsInArrow" in scores._jdf.queryExecution().executedPlan().toString()
+    collections = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = collections()
+    with shuffles_freed(spark, 0.05):
+        spark.range(10).repartition(3).count()
+        import time
+
+        time.sleep(0.5)
+    assert collections() > before
