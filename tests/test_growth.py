@@ -379,3 +379,26 @@ def test_factors_meet_pairs_in_cells_and_shuffles_are_freed(spark):
 
         time.sleep(0.5)
     assert collections() > before
+
+
+def test_decomposition_collects_no_factors(spark, monkeypatch):
+    from pyspark.mllib.linalg.distributed import SingularValueDecomposition as Decomposition
+
+    from tidewell.operators import learned as L
+
+    draw = random.Random(6)
+    rating = {(u, i): draw.randrange(1, 6) for u in range(20) for i in draw.sample(range(14), 6)}
+    matrix = np.zeros((20, 14))
+    for (u, i), r in rating.items():
+        matrix[u, i] = r
+    u, s, v = np.linalg.svd(matrix)
+    want = (u[:, :3] * s[:3]) @ v[:3]
+
+    def collected(_):
+        raise AssertionError("V came to the driver's Python process")
+
+    monkeypatch.setattr(Decomposition, "V", property(collected))
+    hist = spark.createDataFrame([(u, i, r) for (u, i), r in rating.items()], "user long, item long, rating int")
+    pairs = spark.createDataFrame([(u, i) for u in range(21) for i in range(14)], "user long, item long")
+    got = {(r["user"], r["item"]): r["score"] for r in L.svd_scores(hist, pairs, 3).collect()}
+    assert len(got) == 20 * 14 and all(abs(got[p] - want[p]) < 1e-6 for p in got)
