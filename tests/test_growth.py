@@ -402,3 +402,29 @@ def test_decomposition_collects_no_factors(spark, monkeypatch):
     pairs = spark.createDataFrame([(u, i) for u in range(21) for i in range(14)], "user long, item long")
     got = {(r["user"], r["item"]): r["score"] for r in L.svd_scores(hist, pairs, 3).collect()}
     assert len(got) == 20 * 14 and all(abs(got[p] - want[p]) < 1e-6 for p in got)
+
+
+def test_boosting_runs_all_rounds_over_bins(spark, monkeypatch):
+    from tidewell.operators import learned as L
+    from tidewell.plans import learned as plans
+
+    draw = random.Random(7)
+    rows = [(draw.randrange(2), *[draw.random() for _ in L.FEATURES[:2]], draw.choice((0.1, 0.2)), 0.5, draw.randrange(40) / 10) for _ in range(600)]
+    train = spark.createDataFrame(rows, "label int, " + ", ".join(f"{f} double" for f in L.FEATURES))
+    cuts = L._cuts(L.distinct_rows(train))
+    assert [len(cuts[f]) for f in L.FEATURES[2:4]] == [1, 0] and all(0 < len(cuts[f]) < L.BINS for f in (*L.FEATURES[:2], L.FEATURES[4]))
+    sizes = [r["count"] for r in L._binned(train, cuts).groupBy(L.FEATURES[0]).count().collect()]
+    assert len(sizes) == L.BINS and max(sizes) <= 2 * 600 / L.BINS
+
+    seen = []
+    fit = L.GBTClassifier.fit
+
+    def short(self, df):
+        seen.append((self.getMaxIter(), df.count()))
+        return fit(self.setMaxIter(1), df)
+
+    monkeypatch.setattr(L.GBTClassifier, "fit", short)
+    from conftest import DATA
+
+    assert plans.area.queries["rec12_boosted_metrics"](spark, DATA).count() == 1
+    assert seen[0][0] == 200
