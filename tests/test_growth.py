@@ -428,3 +428,17 @@ def test_boosting_runs_all_rounds_over_bins(spark, monkeypatch):
 
     assert plans.area.queries["rec12_boosted_metrics"](spark, DATA).count() == 1
     assert seen[0][0] == 200
+
+
+def test_ranked_answers_meet_candidates_as_lists(spark):
+    from conftest import DATA
+
+    from tidewell import catalog
+    from tidewell.operators import recommend as R
+
+    candidates = spark.createDataFrame([(u, i) for u in (1, 2, 3, 4, 5) for i in (30, 10, 20)], "user long, item long")
+    answers = spark.createDataFrame([(1, [20, 10]), (2, [20, 20]), (3, [20, 99]), (4, [30, 10, 20]), (6, [10])], "user long, ids array<long>")
+    got = {tuple(r) for r in R.ranked_list_scores(answers, candidates).collect()}
+    assert got == {(1, 20, 2.0, True), (1, 10, 1.0, True), (1, 30, 0.0, True), (4, 30, 2.0, False), (4, 10, 1.0, False), (4, 20, 0.0, False)}
+    assert R.ranked_list_scores(spark.createDataFrame([(1, [])], "user long, ids array<long>"), candidates).count() == 0
+    assert "Window" not in catalog.queries()["rec16_ranked_answers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]

@@ -159,16 +159,20 @@ def pair_features(hist: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFr
 
 def ranked_list_scores(answers: DataFrame, candidates: DataFrame) -> DataFrame:
     """REC16: answers (user, ids) become scores k - position. A repeated or unknown item voids the answer; items left
-    out are scored below all listed ones, in the order of their keys, and the answer counts as partial."""
-    listed = answers.select("user", F.size("ids").alias("k"), F.size(F.array_distinct("ids")).alias("u"), F.posexplode("ids").alias("pos", "item"))
-    known = candidates.select("user", "item").withColumn("known", F.lit(True))
-    checked = listed.join(known, ["user", "item"], "left")
-    bad = checked.groupBy("user").agg((F.max("k") != F.max("u")).alias("repeated"), F.bool_or(F.col("known").isNull()).alias("unknown")).where("NOT repeated AND NOT unknown").select("user")
-    good = candidates.select("user", "item").join(bad, "user").join(listed.select("user", "item", "pos"), ["user", "item"], "left")
-    size = F.count("*").over(Window.partitionBy("user"))
-    order = Window.partitionBy("user").orderBy(F.col("pos").asc_nulls_last(), "item")
-    partial = F.bool_or(F.col("pos").isNull()).over(Window.partitionBy("user"))
-    return good.select("user", "item", (size - F.row_number().over(order)).cast("double").alias("score"), partial.alias("partial"))
+    out are scored below all listed ones, in the order of their keys, and the answer counts as partial.
+
+    Candidates and answers meet as lists in the user's row, so a candidate is shuffled once.
+    """
+    offered = candidates.groupBy("user").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return list_scores(offered.join(answers.select("user", "ids"), "user"))
+
+
+def list_scores(met: DataFrame) -> DataFrame:
+    """``ranked_list_scores`` from rows met(user, items, ids) of sorted candidates and an answer."""
+    known = (F.size("ids") > 0) & (F.size(F.array_distinct("ids")) == F.size("ids")) & (F.size(F.array_except("ids", "items")) == 0)
+    rest = F.array_except("items", "ids")
+    good = met.where(known).select("user", F.size("items").alias("n"), (F.size(rest) > 0).alias("partial"), F.posexplode(F.concat("ids", rest)).alias("pos", "item"))
+    return good.select("user", "item", (F.col("n") - F.col("pos") - 1).cast("double").alias("score"), "partial")
 
 
 def best_query(queries: DataFrame, items: DataFrame) -> DataFrame:
