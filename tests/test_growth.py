@@ -442,3 +442,14 @@ def test_ranked_answers_meet_candidates_as_lists(spark):
     assert got == {(1, 20, 2.0, True), (1, 10, 1.0, True), (1, 30, 0.0, True), (4, 30, 2.0, False), (4, 10, 1.0, False), (4, 20, 0.0, False)}
     assert R.ranked_list_scores(spark.createDataFrame([(1, [])], "user long, ids array<long>"), candidates).count() == 0
     assert "Window" not in catalog.queries()["rec16_ranked_answers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_keys_of_vectors_come_along_with_candidates(spark):
+    from tidewell.operators import sampling as S
+
+    items = spark.range(50).select(F.col("id").alias("item"), (F.col("id") % 7).alias("key"))
+    split = spark.createDataFrame([(u, i, i == u * 3) for u in range(6) for i in (u * 3, u + 20, u + 30)] + [(9, 777, True), (9, 4, False)], "user long, item long, hidden boolean")
+    plain = {tuple(r) for r in S.sampled_candidates(split, items, 12).collect()}
+    kept = S.sampled_candidates(split, items, 12, keep=("key",)).collect()
+    assert {(r["user"], r["item"], r["hidden"]) for r in kept} == plain and len(kept) == len(plain)
+    assert all(r["key"] == (r["item"] % 7 if r["item"] < 50 else None) for r in kept)
